@@ -29,3 +29,29 @@ def nested_values(rows: DataFrame, keys: list[str], document: str, name: str, ma
     # The message names the rest, so the check cannot be moved below the explodes.
     deeper = F.raise_error(F.concat(F.lit("document is deeper than max_depth: "), F.col("v").cast("string"))).cast("string")
     return state.select(*keys, F.when(F.col("v").isNotNull(), deeper).otherwise(F.col("value")).alias("value"))
+
+
+def flatten_documents(rows: DataFrame, keys: list[str], document: str, max_depth: int = 8) -> DataFrame:
+    """Leaves of JSON documents as (path, number, text); list items get their place in the path."""
+    spark = rows.sparkSession
+    state = rows.select(*keys, F.lit("").alias("path"), F.try_parse_json(document).alias("v"), F.lit(False).alias("leaf"))
+    for _ in range(max_depth):
+        open_ = F.when(~F.col("leaf"), F.col("v"))
+        opened = state.lateralJoin(spark.tvf.variant_explode_outer(open_.outer()).select(
+            F.col("pos").alias("_i"), F.col("key").alias("_k"), F.col("value").alias("_v")))
+        step = F.when(F.col("_k").isNotNull(), F.concat(F.when(F.col("path") == "", "").otherwise("."), F.col("_k"))).otherwise(
+            F.concat(F.lit("["), F.col("_i").cast("string"), F.lit("]")))
+        container = F.schema_of_variant("_v").rlike("^(OBJECT|ARRAY)")
+        state = opened.select(
+            *keys, F.when(F.col("leaf"), F.col("path")).otherwise(F.concat("path", step)).alias("path"),
+            F.when(F.col("leaf"), F.col("v")).otherwise(F.col("_v")).alias("v"),
+            (F.col("leaf") | ~F.coalesce(container, F.lit(False))).alias("leaf"))
+    deeper = F.raise_error(F.concat(F.lit("document is deeper than max_depth: "), F.col("path"))).cast("string")
+    text = F.when(F.col("leaf"), F.col("v").cast("string")).otherwise(deeper)
+    return state.filter(F.col("path").isNotNull()).select(*keys, "path", text.try_cast("double").alias("number"), text.alias("text"))
+
+
+def average_documents(rows: DataFrame, keys: list[str], document: str) -> DataFrame:
+    """Mean of every numeric leaf per path over documents; other leaves keep one value."""
+    return flatten_documents(rows, keys, document).groupBy(*keys, "path").agg(
+        F.avg("number").alias("mean"), F.count("number").alias("n"), F.min("text").alias("sample_text"))

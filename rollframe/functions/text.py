@@ -59,6 +59,11 @@ LABEL_ALIASES = {
 }
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it in ``body`` as often as needed."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
@@ -178,13 +183,11 @@ def alias_pairs() -> list[tuple[str, str]]:
 
 def canonical_label(text: Column) -> Column:
     lookup = F.create_map(*[F.lit(x) for pair in alias_pairs() for x in pair])
-    key = label_key(text)
-    return F.coalesce(F.try_element_at(lookup, key), key)
+    return let(label_key(text), lambda key: F.coalesce(F.try_element_at(lookup, key), key))
 
 
 def labels_match(a: Column, b: Column) -> Column:
-    ca, cb = canonical_label(a), canonical_label(b)
-    return (ca != "") & (ca == cb)
+    return let(canonical_label(a), lambda ca: (ca != "") & (ca == canonical_label(b)))
 
 
 def extract_sequence(text: Column, kind: str = "string", clean: str | None = None) -> Column:
@@ -196,8 +199,7 @@ def extract_sequence(text: Column, kind: str = "string", clean: str | None = Non
         items = F.transform(items, lambda t: F.regexp_replace(t, clean, ""))
     if kind != "string":
         items = F.transform(items, lambda t: t.try_cast(kind))
-        items = F.when(F.exists(items, lambda t: t.isNull()), F.lit(None)).otherwise(items)
-    return F.when(F.size(items) > 0, items)
+    return let(items, lambda a: F.when((F.size(a) > 0) & ~F.exists(a, lambda t: t.isNull()), a))
 
 
 def error_pattern(line: Column) -> Column:

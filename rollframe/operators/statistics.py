@@ -280,10 +280,14 @@ def pearson(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     return stats.withColumn("p_value", I.pearson_p("r", "n"))
 
 
-def correlation_table(accuracy: DataFrame, sample: str, task: str, acc: str, map_score: DataFrame, score: str) -> DataFrame:
-    """Map score against accuracy per task and overall (mean of the sample's tasks)."""
-    overall = accuracy.groupBy(sample).agg(F.avg(acc).alias(acc)).withColumn(task, F.lit("overall"))
-    long = accuracy.select(sample, task, acc).unionByName(overall)
-    return pearson(long.join(map_score, sample), [task], score, acc)
-
+def correlation_table(map_score: DataFrame, task_accuracy: DataFrame, overall: DataFrame, gain: DataFrame,
+                      sample: str = "sample") -> DataFrame:
+    """Map score against accuracy per task, overall accuracy and final information gain.
 
+    Each input has the sample and a ``value``; ``task_accuracy`` also names the ``task``.
+    """
+    long = (task_accuracy.select(sample, "task", "value")
+            .unionByName(overall.select(sample, F.lit("avg_accuracy").alias("task"), "value"))
+            .unionByName(gain.select(sample, F.lit("final_information_gain").alias("task"), "value")))
+    scores = map_score.select(sample, F.col("value").alias("_score"))
+    return pearson(long.join(scores, sample), ["task"], "_score", "value")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rollframe.functions import inference as I
 from rollframe.operators import comparison, credit
+from rollframe.operators import exploration as X
 from rollframe.operators import statistics as S
 from rollframe.plans import views
 from rollframe.plans.catalog import query, r6, table
@@ -281,15 +282,19 @@ def sta20_p(spark, sf):
     return S.pearson(views.episodes(spark, sf), ["environment"], "num_turns", "cumulative_reward").select("environment", "p_value")
 
 
-@query("STA21", f"""WITH acc AS (SELECT user_id AS sample, event_type AS task, avg(value) AS acc FROM events GROUP BY 1, 2)
-, long AS (SELECT * FROM acc UNION ALL SELECT sample, 'overall', avg(acc) FROM acc GROUP BY 1)
+@query("STA21", f"""WITH a AS (SELECT user_id AS sample, event_type AS task, count(*) AS n, sum(value) AS s FROM events GROUP BY 1, 2)
+, long AS (SELECT sample, task, s / n AS v FROM a UNION ALL SELECT sample, 'avg_accuracy', sum(s) / sum(n) FROM a WHERE task <> 'error' GROUP BY 1
+  UNION ALL SELECT user_id, 'final_information_gain', arg_max(value, event_id) FROM events GROUP BY 1)
 , score AS (SELECT user_id AS sample, CAST(sum(event_id % 17) AS DOUBLE) AS score FROM events GROUP BY 1)
-SELECT task, CAST(count(*) AS BIGINT) AS n, {r6('corr(score, acc)')} AS r FROM long JOIN score USING (sample) GROUP BY 1""")
+SELECT task, CAST(count(*) AS BIGINT) AS n, {r6('corr(score, v)')} AS r FROM long JOIN score USING (sample) GROUP BY 1""")
 def sta21(spark, sf):
-    events = table(spark, sf, "events")
-    acc = events.groupBy(F.col("user_id").alias("sample"), F.col("event_type").alias("task")).agg(F.avg("value").alias("acc"))
-    score = events.groupBy(F.col("user_id").alias("sample")).agg(F.sum(F.col("event_id") % 17).cast("double").alias("score"))
-    return S.correlation_table(acc, "sample", "task", "acc", score, "score").drop("p_value")
+    e = table(spark, sf, "events").withColumn("sample", F.col("user_id")).withColumn(
+        "task", F.when(F.col("event_type") == "error", "rot_dual").otherwise(F.col("event_type")))
+    acc = X.sample_accuracy(e, score="value").withColumn("value", F.col("avg_accuracy"))
+    score = e.groupBy("sample").agg(F.sum(F.col("event_id") % 17).cast("double").alias("value"))
+    gain = e.groupBy("sample").agg(F.max_by("value", "event_id").alias("value"))
+    out = S.correlation_table(score, acc.filter("task <> 'overall'"), acc.filter("task = 'overall'"), gain)
+    return out.drop("p_value").withColumn("task", F.when(F.col("task") == "rot_dual", "error").otherwise(F.col("task")))
 
 
 @query("JOIN15", f"""WITH {MODED}{_PAIR} SELECT m1 AS first, m2 AS second, s1, n1, s2, n2 FROM t""")

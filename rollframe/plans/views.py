@@ -145,7 +145,7 @@ def gpu_samples(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("user_id") % 8).cast("int").alias("gpu_index"),
         F.concat(F.lit("device "), (F.col("user_id") % 2).cast("string")).alias("gpu_name"),
         F.col("event_id").alias("sample"),
-        F.unix_seconds("ts").cast("double").alias("elapsed_seconds"),
+        F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)").cast("double").alias("elapsed_seconds"),
         F.col("ts"),
         (F.col("value") * 10).alias("memory_used_mib"),
         F.when(F.col("event_type") != "view", F.col("value")).alias("utilization_percent"),
