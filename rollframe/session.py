@@ -37,12 +37,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
+def stage_path(spark: SparkSession, kind: str = "stage") -> str:
+    """A fresh folder name below the shared folder."""
+    return f"{shared_dir(spark)}/rollframe-{kind}/{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The result has no lineage, survives lost executors, and keeps column pruning and
     filter pushdown, which an RDD checkpoint does not.
     """
-    path = f"{shared_dir(df.sparkSession)}/rollframe-stage/{uuid.uuid4().hex}"
+    path = stage_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
