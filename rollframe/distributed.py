@@ -17,6 +17,16 @@ SLICE = "_slice"
 FOLD_WIDTH = 64
 
 
+def with_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row result to every row.
+
+    The row is a scalar subquery: Spark runs it once, fails if it has a second row, and
+    puts its values into the plan, so no join is involved.
+    """
+    value = one_row.select(F.struct(*one_row.columns).alias("_row")).scalar()
+    return df.withColumn("_row", value).select(*df.columns, *[F.col(f"_row.{c}").alias(c) for c in one_row.columns])
+
+
 def ordered(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Range-partitioned copy of ``df`` with its slice number, fixed by staging."""
     slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -76,15 +86,23 @@ def row_numbers(df: DataFrame, keys: list[str], order: list[str], name: str = "r
     return running(ordered(df, keys, order), keys, order, {name: F.lit(1)}).drop(SLICE)
 
 
-def affine_suffix(df: DataFrame, keys: list[str], index: str, value: Column, factor: Column) -> DataFrame:
+def affine_suffix(df: DataFrame, keys: list[str], index: str, value: Column, factor: Column,
+                  max_index: int | None = None) -> DataFrame:
     """Backward recurrence ``s(i) = value(i) + factor(i) * s(i+1)`` inside ``keys``.
 
     Adds ``suffix`` (s at the row) and ``after`` (s at the next row, 0 on the last one).
     Rows are folded in blocks of at most ``FOLD_WIDTH`` index values, and the blocks' own
     totals are folded the same way, so no task ever holds a whole long key. When every
-    index fits in one block (the usual case) there is a single shuffle and no join.
+    index fits in one block (the usual case) there is a single shuffle and no join. The
+    largest index is measured unless ``max_index`` states it; a larger one then fails the job.
     """
-    top = df.agg(F.max(index)).first()[0]
+    if max_index is None:
+        top = df.agg(F.max(index)).first()[0]
+    else:
+        top = max_index
+        over = F.when(F.col(index) > max_index, F.raise_error(F.concat(
+            F.lit("index beyond max_index: "), F.col(index).cast("string"))).cast("boolean"))
+        df = df.filter(over.isNull())
     rows = df.withColumn("_v", value.cast("double")).withColumn("_f", factor.cast("double"))
     return _fold(rows, keys, index, top or 0).drop("_v", "_f", "_b")
 
@@ -126,7 +144,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
     ranked = running(ordered(counts, keys, [value]), keys, [value], {"_hi": F.col("_n")})
     total = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    ranked = ranked.join(total, keys) if keys else ranked.crossJoin(F.broadcast(total))
+    ranked = ranked.join(total, keys) if keys else with_row(ranked, total)
     picks = []
     for name, p in probs.items():
         spot = F.lit(p) * (F.col("_total") - 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollframe.distributed import affine_suffix
+from rollframe.distributed import affine_suffix, with_row
 from rollframe.functions import tokens as T
 from rollframe.operators.trajectories import KEY, TRAJECTORY
 
@@ -95,8 +95,7 @@ def loss_weights(turns: DataFrame, mode: str, tokens: str = "tokens") -> DataFra
     else:
         total = active.agg((F.sum(tokens) if mode == "token" else F.count("*")).alias("_units"))
         sized = active.withColumn("_tokens", F.lit(1) if mode == "token" else F.col(tokens))
-    # ``total`` is a single aggregated row, so the broadcast has a fixed size.
-    return sized.crossJoin(F.broadcast(total)).withColumn(
+    return with_row(sized, total).withColumn(
         "weight", F.lit(1.0) / (F.col("_units") * F.col("_tokens"))).drop("_units", "_tokens")
 
 
@@ -104,14 +103,15 @@ def weight_mass(weighted: DataFrame, *by: str, tokens: str = "tokens") -> DataFr
     return weighted.groupBy(*by).agg(F.sum(F.col("weight") * F.col(tokens)).alias("mass"))
 
 
-def generalized_advantages(turns: DataFrame, reward: str, value: str, gamma: float = 1.0, lam: float = 1.0) -> DataFrame:
+def generalized_advantages(turns: DataFrame, reward: str, value: str, gamma: float = 1.0, lam: float = 1.0,
+                           max_turns: int | None = None) -> DataFrame:
     """Turn-level generalized advantage estimates and returns.
 
     With ``b(t) = lam*r + (1-lam)*V + gamma*lam*b(t+1)`` the estimate is
     ``r - V + gamma*b(t+1)``, so one backward recurrence gives both without a look-ahead.
     """
     r, v = F.coalesce(reward, F.lit(0.0)).cast("double"), F.coalesce(value, F.lit(0.0)).cast("double")
-    folded = affine_suffix(turns, TRAJECTORY, "turn_idx", F.lit(lam) * r + F.lit(1 - lam) * v, F.lit(gamma * lam))
+    folded = affine_suffix(turns, TRAJECTORY, "turn_idx", F.lit(lam) * r + F.lit(1 - lam) * v, F.lit(gamma * lam), max_turns)
     advantage = r - v + F.lit(gamma) * F.col("after")
     return folded.withColumn("advantage", advantage).withColumn("turn_return", advantage + v).drop("suffix", "after")
 
@@ -126,7 +126,7 @@ def whiten(turns: DataFrame, advantage: str = "advantage", tokens: str = "tokens
     if bessel:
         var = F.when(F.col("_n") > 1, var * F.col("_n") / (F.col("_n") - 1)).otherwise(var)
     white = (a - mean) / F.sqrt(var + F.lit(eps))
-    return turns.crossJoin(F.broadcast(stats)).withColumn(
+    return with_row(turns, stats).withColumn(
         "whitened", white if shift_mean else white + mean).drop("_n", "_s", "_q")
 
 
@@ -144,4 +144,4 @@ def advantage_diagnostics(turns: DataFrame, scores: DataFrame, dropped_groups: C
     counts = groups.agg(F.count("*").alias("groups"), F.sum("n").alias("trajectories"),
                         F.count_if("flat").alias("zero_variance_groups"))
     dropped = dropped_groups if isinstance(dropped_groups, Column) else F.lit(dropped_groups).cast("long")
-    return rows.crossJoin(counts).withColumn("dropped_groups", dropped)
+    return with_row(rows, counts).withColumn("dropped_groups", dropped)

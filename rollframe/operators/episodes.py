@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from rollframe.distributed import SLICE, ordered, previous, running
+from rollframe.distributed import ordered, previous, running, with_row
 from rollframe.functions import text as X
 
 # Finish reasons.
@@ -226,6 +226,6 @@ def repetition_loops(runs: DataFrame, threshold: int = 5) -> DataFrame:
 
 
 def loop_summary(episodes: DataFrame, loops: DataFrame) -> DataFrame:
-    return episodes.agg(F.count("*").alias("total_episodes")).crossJoin(
-        loops.agg(F.count("*").alias("episodes_with_loops"))).withColumn(
-            "loop_rate", F.when(F.col("total_episodes") > 0, F.col("episodes_with_loops") / F.col("total_episodes")).otherwise(0.0))
+    totals = with_row(episodes.agg(F.count("*").alias("total_episodes")), loops.agg(F.count("*").alias("episodes_with_loops")))
+    return totals.withColumn("loop_rate", F.when(
+        F.col("total_episodes") > 0, F.col("episodes_with_loops") / F.col("total_episodes")).otherwise(0.0))

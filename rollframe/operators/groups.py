@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollframe.distributed import SLICE, exact_quantiles, ordered, running
+from rollframe.distributed import SLICE, exact_quantiles, ordered, running, with_row
 from rollframe.operators.trajectories import issues, return_to_go
 
 # Default limits of the state-relative preflight.
@@ -46,7 +46,7 @@ def top_k_groups(variances: DataFrame, share: float = 0.2, group: str = "group_i
     ranked = _ranked(variances, group)
     total = ranked.agg(F.count("*").alias("_n"))
     keep = F.greatest(F.lit(1), F.ceil(F.col("_n") * F.lit(share)))
-    return ranked.crossJoin(F.broadcast(total)).filter(F.col("rank") <= keep).drop("_n")
+    return with_row(ranked, total).filter(F.col("rank") <= keep).drop("_n")
 
 
 def top_p_groups(variances: DataFrame, share: float = 0.9, group: str = "group_idx") -> DataFrame:
@@ -59,7 +59,7 @@ def top_p_groups(variances: DataFrame, share: float = 0.9, group: str = "group_i
     before = F.col("mass") - F.col("variance")
     limit = F.lit(share) * F.col("total_variance")
     keep = (F.col("total_variance") <= 0) | (F.col("rank") == 1) | (before < limit - F.lit(1e-12))
-    return ranked.crossJoin(F.broadcast(total)).filter(keep)
+    return with_row(ranked, total).filter(keep)
 
 
 def filter_rows(rows: DataFrame, kept: DataFrame, group: str = "group_idx") -> DataFrame:
@@ -72,7 +72,7 @@ def filter_report(variances: DataFrame, kept: DataFrame) -> DataFrame:
         return df.agg(F.avg("variance").alias(f"mean_{tag}"), F.min("variance").alias(f"min_{tag}"),
                       F.max("variance").alias(f"max_{tag}"), F.count("*").alias(f"groups_{tag}"),
                       F.sum("samples").alias(f"rows_{tag}"), F.sum("variance").alias(f"_mass_{tag}"))
-    both = side(variances, "before").crossJoin(side(kept, "after"))
+    both = with_row(side(variances, "before"), side(kept, "after"))
     return both.withColumn("mass_ratio", F.when(F.col("_mass_before") > 0, F.col("_mass_after") / F.col("_mass_before"))
                            ).withColumn("loss_scale", F.sqrt(F.col("groups_after") / F.col("groups_before"))
                                         ).drop("_mass_before", "_mass_after")
@@ -109,7 +109,7 @@ def preflight(unique_turns: DataFrame, action: str = "action", limits: dict[str,
         F.count_if(many & (F.col("actions") >= 2)).alias("diverse_groups"),
         F.avg(F.when(many, F.col("rtg_variance"))).alias("mean_rtg_variance"), F.max("rows").alias("max_group_rows"))
     sizes = exact_quantiles(groups, [], "rows", {"group_rows_p50": 0.5, "group_rows_p95": 0.95})
-    one = totals.crossJoin(stats).crossJoin(sizes)
+    one = with_row(with_row(totals, stats), sizes)
 
     def ratio(a: str, b: str):
         return F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollframe.distributed import exact_quantiles
+from rollframe.distributed import exact_quantiles, with_row
 from rollframe.operators.trajectories import issues
 
 # Fixed value: log-ratios are cut to this range before the exponential.
@@ -43,7 +43,7 @@ def ratio_statistics(ratios: DataFrame, by: list[str], clip_low: float = 0.8, cl
     else:
         quantiles = ratios.groupBy(*by).agg(F.percentile_approx("ratio", list(probs.values()), 10000).alias("q")).select(
             *by, *[F.col("q")[i].alias(n) for i, n in enumerate(probs)])
-    return plain.join(quantiles, by) if by else plain.crossJoin(quantiles)
+    return plain.join(quantiles, by) if by else with_row(plain, quantiles)
 
 
 def parity_gate(stats: DataFrame, max_p95_deviation: float | None = None, max_p99_deviation: float = 0.2,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollframe.distributed import row_numbers
+from rollframe.distributed import row_numbers, with_row
 from rollframe.functions.inference import wilson
 from rollframe.operators.trajectories import assign_ids, issues
 
@@ -196,7 +196,7 @@ def select_disjoint(candidates: DataFrame, order: str, count: int, excluded: Dat
     total = chosen.agg(F.count("*").alias("_n"))
     short = F.when(F.col("_n") < count, F.raise_error(F.concat(
         F.lit("not enough disjoint items: "), F.col("_n").cast("string"))).cast("boolean"))
-    return chosen.crossJoin(F.broadcast(total)).filter(short.isNull()).select(order, "fingerprint")
+    return with_row(chosen, total).filter(short.isNull()).select(order, "fingerprint")
 
 
 def build_split(candidates: DataFrame, train: DataFrame, order: str, validation: int, test: int) -> DataFrame:
@@ -231,7 +231,7 @@ def split_problems(items: DataFrame, train_range: tuple[int, int], declared: dic
         F.count_if(inside & (F.col("split") == "test")).alias("test seeds inside the train range"),
         *[F.abs(F.countDistinct(F.when(F.col("split") == s, F.col("seed"))) - n).alias(f"{s} seed count does not match")
           for s, n in (declared or {}).items()])
-    wide = prints.crossJoin(seeds).crossJoin(ranges)
+    wide = with_row(with_row(prints, seeds), ranges)
     return wide.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("problem"), F.col(f"`{c}`").cast("long").alias("items")) for c in wide.columns])).alias("z")).select(
             "z.*").filter("items > 0")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollframe.distributed import exact_quantiles, ordered, running
+from rollframe.distributed import exact_quantiles, ordered, running, with_row
 from rollframe.functions import inference as I
 from rollframe.operators.trajectories import issues
 
@@ -57,7 +57,7 @@ def bootstrap_mean(values: DataFrame, by: list[str], value: str, confidence: flo
     # One value per resample: the group has a fixed size.
     ends = means.groupBy(*by).agg(F.percentile("_m", F.array(F.lit(alpha), F.lit(1 - alpha))).alias("q"))
     point = hist.groupBy(*by).agg(F.sum("_n").alias("n"), (F.sum(F.col("_x") * F.col("_n")) / F.sum("_n")).alias("mean"))
-    both = point.join(ends, by) if by else point.crossJoin(ends)
+    both = point.join(ends, by) if by else with_row(point, ends)
     single = F.col("n") == 1
     return both.select(*by, "n", "mean", F.when(single, F.col("mean")).otherwise(F.col("q")[0]).alias("ci_low"),
                        F.when(single, F.col("mean")).otherwise(F.col("q")[1]).alias("ci_high"))
@@ -238,7 +238,7 @@ def gradient_stability(log: DataFrame, mode: str, line: str) -> DataFrame:
                                     F.count("*").alias("n_samples"), (F.stddev_pop("g") / F.avg("g")).alias("cv"))
     out = stats.join(exact_quantiles(norms, [mode], "g", {"median": 0.5}), mode)
     best = stats.agg(F.min_by(mode, F.struct("cv", mode)).alias("_best"))
-    return out.crossJoin(F.broadcast(best)).withColumn("most_stable", F.col(mode) == F.col("_best")).drop("_best")
+    return with_row(out, best).withColumn("most_stable", F.col(mode) == F.col("_best")).drop("_best")
 
 
 def experiment_overview(runs: DataFrame) -> DataFrame:
@@ -254,7 +254,7 @@ def experiment_overview(runs: DataFrame) -> DataFrame:
         F.when(F.col("best_method").isNotNull(), F.concat(F.lit("best method: "), F.col("best_method"))),
         F.when(F.col("failed_runs") > 0, F.concat(F.col("failed_runs").cast("string"), F.lit(" failed runs"))),
         F.when(F.col("complete_runs") < F.col("total_runs"), F.lit("matrix is incomplete"))))
-    return counts.crossJoin(best).withColumn("key_findings", F.concat_ws("; ", findings))
+    return with_row(counts, best).withColumn("key_findings", F.concat_ws("; ", findings))
 
 
 def paired_deltas(rows: DataFrame, seed: str, packing: str, scores: list[str]) -> DataFrame:

@@ -127,9 +127,9 @@ def trajectory_records(turns: DataFrame, declared: Column | None = None) -> Data
     return agg.withColumn("turns", turn_count()).drop("rows", "low", "high")
 
 
-def return_to_go(turns: DataFrame, score: str = "score") -> DataFrame:
+def return_to_go(turns: DataFrame, score: str = "score", max_turns: int | None = None) -> DataFrame:
     """Sum of this and all later scores of the trajectory."""
-    return affine_suffix(turns, TRAJECTORY, "turn_idx", F.coalesce(score, F.lit(0.0)), F.lit(1.0)).withColumnRenamed(
+    return affine_suffix(turns, TRAJECTORY, "turn_idx", F.coalesce(score, F.lit(0.0)), F.lit(1.0), max_turns).withColumnRenamed(
         "suffix", "return_to_go").drop("after")
 
 

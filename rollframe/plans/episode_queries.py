@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rollframe.distributed import with_row
 from rollframe.functions import text as X
 from rollframe.operators import episodes as E
 from rollframe.operators import groups, trajectories
@@ -71,8 +72,9 @@ def training_report(spark, sf):
                         (F.sum("copies") - F.count("*")).alias("padding_duplicates"))
     valid = rows.agg((1 - F.avg(F.col("action_is_valid").cast("double"))).alias("invalid_action_fraction"))
     concentration = E.template_concentration(rows, X.answer_template(F.col("output")))
-    # Each side is a single aggregated row.
-    return (counts.crossJoin(per_traj).crossJoin(groups.comparable_variance(records)).crossJoin(valid).crossJoin(concentration))
+    for part in (per_traj, groups.comparable_variance(records), valid, concentration):
+        counts = with_row(counts, part)
+    return counts
 
 
 @query("EVA6", f"""WITH {views.PADDED}, t AS (SELECT group_idx, traj_idx, round(sum(score), 6) AS reward, count(*) AS turns, bool_or(traj_success) AS success

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rollframe.distributed import row_numbers
-from rollframe.operators import selection
+from rollframe.operators import groups, selection
+from rollframe.operators.episodes import representative_failures
 from rollframe.plans import views
 from rollframe.plans.catalog import query, r6, table
+from rollframe.plans.trajectory_queries import GROUPS, trajectory_rewards
 from rollframe.session import stage_path
 from rollframe.sources import readers as R
 from rollframe.sources import writers as W
@@ -228,3 +230,21 @@ def srt1(spark, sf):
 def srt5(spark, sf):
     g = table(spark, sf, "events").groupBy("user_id").agg((-F.count("*")).alias("n"), F.round(F.avg("value"), 6).alias("v"))
     return row_numbers(g, [], ["n", "v", "user_id"], "place").select("user_id", "place")
+
+
+@query("SRT2", f"""WITH {GROUPS} SELECT group_idx, CAST(rank AS BIGINT) AS rank, {r6('variance')} AS variance FROM ranked WHERE rank <= greatest(1, ceil(n * 0.1))""")
+def srt2(spark, sf):
+    kept = groups.top_k_groups(groups.group_variance(trajectory_rewards(spark, sf)), 0.1)
+    return kept.select("group_idx", "rank", "variance")
+
+
+@query("SRT3", f"""WITH {views.EPISODES} SELECT rollout_id, num_turns FROM episodes WHERE NOT success
+  ORDER BY (finish_reason IN ('model_error', 'env_error', 'error')), num_turns DESC, round(cumulative_reward, 9) DESC, rollout_id LIMIT 10""")
+def srt3(spark, sf):
+    return representative_failures(views.episodes(spark, sf), semantic_first=True).select("rollout_id", "num_turns")
+
+
+@query("SRT4", """SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events WHERE value >= 10 GROUP BY 1""")
+def srt4(spark, sf):
+    best = table(spark, sf, "events").filter("value >= 10").groupBy("user_id").agg(F.max(F.struct("event_id", "event_type")).alias("b"))
+    return best.select("user_id", "b.event_type", "b.event_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rollframe.distributed import with_row
 from rollframe.plans import views
 from rollframe.plans.catalog import query, r6
 from rollframe.plans.resource_queries import ENERGY
@@ -35,7 +36,7 @@ def str1(spark, sf):
     rollout_lines(spark, sf).select("value").write.text(source)
     J.ingest(J.rollout_stream(spark, source), f"{base}/good", f"{base}/bad", f"{base}/checkpoint").awaitTermination()
     good, bad = spark.read.parquet(f"{base}/good"), spark.read.parquet(f"{base}/bad")
-    return good.agg(F.count("*").alias("rows"), F.sum("score").alias("score_sum")).crossJoin(bad.agg(F.count("*").alias("bad_lines")))
+    return with_row(good.agg(F.count("*").alias("rows"), F.sum("score").alias("score_sum")), bad.agg(F.count("*").alias("bad_lines")))
 
 
 @query("STR2", f"WITH {views.TURNS} SELECT group_idx, traj_idx, turn_idx, {r6('score')} AS score FROM turns")

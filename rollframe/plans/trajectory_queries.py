@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rollframe.distributed import with_row
 from rollframe.functions import tokens as T
 from rollframe.operators import credit, groups, parity, trajectories
 from rollframe.plans import views
@@ -366,7 +367,7 @@ def grp3(spark, sf):
     variances = groups.group_variance(rows)
     kept = groups.top_p_groups(variances, 0.9)
     scale = groups.filter_report(variances, kept).select("loss_scale")
-    return groups.filter_rows(rows, kept).crossJoin(F.broadcast(scale)).select(
+    return with_row(groups.filter_rows(rows, kept), scale).select(
         "group_idx", "traj_idx", (F.col("reward") * F.col("loss_scale")).alias("scaled"))
 
 

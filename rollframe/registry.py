@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rollframe.distributed import with_row
 from rollframe.operators import credit, groups
 
 log = logging.getLogger(__name__)
@@ -54,7 +55,7 @@ def top_p_filter(rows: DataFrame, top_p: float = 0.9, ddof: int = 0, **_) -> tup
     kept = groups.top_p_groups(variances, top_p)
     out, report = groups.filter_rows(rows, kept), groups.filter_report(variances, kept)
     if "advantage" in rows.columns:
-        out = out.crossJoin(F.broadcast(report.select("loss_scale"))).withColumn(
+        out = with_row(out, report.select("loss_scale")).withColumn(
             "advantage", F.col("advantage") * F.coalesce("loss_scale", F.lit(1.0))).drop("loss_scale")
     return out, report
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import StructType
 
+from rollframe.distributed import with_row
 from rollframe.operators.trajectories import KEY, TRAJECTORY
 from rollframe.sources.readers import parse_rollout_lines
 
@@ -182,6 +183,6 @@ def run_once(stream: DataFrame, out: str, checkpoint: str, mode: str = "append",
         return rows.drop("batch")
     if mode == "complete":
         top = rows.agg(F.max("batch").alias("_top"))
-        return rows.crossJoin(F.broadcast(top)).filter("batch = _top").drop("batch", "_top")
+        return with_row(rows, top).filter("batch = _top").drop("batch", "_top")
     rest = [c for c in stream.columns if c not in keys]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*")
