@@ -24,13 +24,15 @@ ACCURACY_LEVELS = [0.50, 0.55, 0.60, 0.65, 0.70, 0.75, 0.80, 0.85, 0.90, 0.95]
 
 def bearing(dx: Column, dy: Column, ox: Column | None = None, oy: Column | None = None) -> Column:
     """Degrees from the heading ``(ox, oy)`` (default north) to ``(dx, dy)``, clockwise positive."""
-    ax, ay = (F.lit(0.0), F.lit(1.0)) if ox is None else (ox.cast("double"), oy.cast("double"))
-    turn = -F.degrees(F.atan2(ax * dy - ay * dx, ax * dx + ay * dy))
-    return F.when((F.abs(dx) < 1e-6) & (F.abs(dy) < 1e-6), 0.0).otherwise(turn)
+    if ox is None:
+        turn = F.degrees(F.atan2(dx, dy))
+    else:
+        turn = -F.degrees(F.atan2(ox * dy - oy * dx, ox * dx + oy * dy))
+    return F.when(F.greatest(F.abs(dx), F.abs(dy)) < 1e-6, 0.0).otherwise(turn)
 
 
 def octant(degree: Column) -> Column:
-    return F.pmod(F.floor((F.pmod(degree, F.lit(360.0)) + 22.5) / 45.0), F.lit(8)).cast("int")
+    return F.pmod(F.floor((degree + 22.5) / 45.0), F.lit(8)).cast("int")
 
 
 def octant_name(degree: Column, names: list[str] = COMPASS) -> Column:

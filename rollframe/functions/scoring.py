@@ -83,7 +83,7 @@ def coordinate_set(pred: Column, truth: Column, norm: Column | None = None) -> C
     """Mean of position and direction similarity of listed points, matched by place in the list."""
     points = coordinates(pred)
     matched = F.transform(truth, lambda g, i: F.struct(g.alias("g"), F.try_element_at(points, i + 1).alias("p")))
-    both = (M.position_similarity(matched, norm) + M.direction_similarity(matched)) / 2
+    both = X.let(matched, lambda m: M.coordinate_similarity_of(m, norm))
     return F.when((F.size(points) > 0) & (F.size(points) == F.size(truth)), both).otherwise(0.0)
 
 

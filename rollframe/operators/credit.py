@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rollframe.distributed import affine_suffix, with_row
 from rollframe.functions import tokens as T
-from rollframe.operators.trajectories import KEY, TRAJECTORY
+from rollframe.operators.trajectories import KEY, TRAJECTORY, sequence_issues, sequence_stats
 
 # Spread below which a group counts as constant, slack of the format gate.
 MIN_STD = 1e-6
@@ -20,12 +20,13 @@ def turn_rewards(turns: DataFrame, rewards: str = "token_level_rewards", mask: s
 
 def trajectory_scores(turns: DataFrame, mode: str = "outcome", reward: str = "turn_reward",
                       success: str = "success", process_cap: float = 0.2, success_bonus: float = 1.0,
-                      format_threshold: float = 0.1) -> DataFrame:
+                      format_threshold: float = 0.1, with_issues: bool = False) -> DataFrame:
     """One score per trajectory.
 
     ``outcome`` is success of any turn. ``bounded_process`` adds the process rewards clipped
     to the cap. ``format_gate`` is the outcome only if every process reward reaches the
-    threshold. Process rewards leave out the success bonus of the last turn.
+    threshold. Process rewards leave out the success bonus of the last turn. With
+    ``with_issues`` the same pass checks that turns run from 1 and end with one terminal.
     """
     if mode not in ("outcome", "bounded_process", "format_gate"):
         raise ValueError(f"unknown reward mode: {mode}")
@@ -38,7 +39,7 @@ def trajectory_scores(turns: DataFrame, mode: str = "outcome", reward: str = "tu
     agg = won.groupBy(*TRAJECTORY).agg(
         outcome.alias("_outcome"), F.sum(reward).alias("_sum"), F.count("*").alias("turns"),
         F.min(F.when(~F.col("last_turn"), F.col(reward))).alias("_min_inner"),
-        F.min(F.when(F.col("last_turn"), F.col(reward))).alias("_last"))
+        F.min(F.when(F.col("last_turn"), F.col(reward))).alias("_last"), *(sequence_stats() if with_issues else []))
     earned = F.when(F.col("_outcome") == 1.0, F.lit(success_bonus)).otherwise(F.lit(0.0))
     if mode == "outcome":
         score = F.col("_outcome")
@@ -48,7 +49,8 @@ def trajectory_scores(turns: DataFrame, mode: str = "outcome", reward: str = "tu
         floor = F.lit(format_threshold - GATE_SLACK)
         passed = (F.coalesce("_min_inner", floor) >= floor) & (F.coalesce(F.col("_last") - earned, floor) >= floor)
         score = F.when(passed, F.col("_outcome")).otherwise(0.0)
-    return agg.select(*TRAJECTORY, "turns", score.alias("trajectory_score"))
+    checked = [sequence_issues().alias("issues")] if with_issues else []
+    return agg.select(*TRAJECTORY, "turns", score.alias("trajectory_score"), *checked)
 
 
 def group_advantages(scores: DataFrame, group: str = "group_idx", score: str = "trajectory_score",

@@ -32,24 +32,30 @@ def match_objects(maps: DataFrame, pred: str, truth: str, out: str = "_m") -> Da
     return maps.withColumn(out, F.transform(truth, lambda g: F.struct(g.alias("g"), _find(F.col(pred), g["name"]).alias("p"))))
 
 
-def direction_similarity(matched: Column) -> Column:
-    """Share of unordered true pairs, a virtual origin included, whose predicted compass bin is right."""
-    n = F.size(matched)
+def _points(matched: Column) -> Column:
+    """True and predicted positions as plain doubles, so that pair loops touch flat fields only."""
+    d = lambda c: c.cast("double")
+    return F.transform(matched, lambda m: F.struct(
+        d(m["g"]["x"]).alias("gx"), d(m["g"]["y"]).alias("gy"), d(m["p"]["x"]).alias("px"), d(m["p"]["y"]).alias("py")))
+
 
-    def bin_of(a: Column, b: Column | None) -> Column:
-        dx = a["x"].cast("double") - (b["x"] if b is not None else F.lit(0.0))
-        dy = a["y"].cast("double") - (b["y"] if b is not None else F.lit(0.0))
-        return G.octant(G.bearing(dx, dy))
+def direction_similarity(points: Column) -> Column:
+    """Share of unordered true pairs, a virtual origin included, whose predicted compass bin is right.
+
+    ``points`` are flat positions; a missing prediction makes its pairs wrong.
+    """
+    bin_of = lambda dx, dy: G.octant(G.bearing(dx, dy))
 
-    def right(a: Column, b: Column | None) -> Column:
-        there = a["p"].isNotNull() if b is None else a["p"].isNotNull() & b["p"].isNotNull()
-        same = bin_of(a["g"], None if b is None else b["g"]) == bin_of(a["p"], None if b is None else b["p"])
-        return F.when(there & same, 1.0).otherwise(0.0)
+    def alone(a: Column) -> Column:
+        return F.when(bin_of(a["gx"], a["gy"]) == bin_of(a["px"], a["py"]), 1.0).otherwise(0.0)
 
-    with_origin = _sum(matched, lambda a: right(a, None))
-    later = F.transform(matched, lambda a, i: _sum(F.slice(matched, i + 2, F.greatest(n, F.lit(1))), lambda b: right(a, b)))
-    pairs = n * (n + 1) / 2
-    return F.when(n == 0, 1.0).otherwise((with_origin + _sum(later, lambda x: x)) / pairs)
+    def pair(a: Column, b: Column) -> Column:
+        return F.when(bin_of(a["gx"] - b["gx"], a["gy"] - b["gy"]) == bin_of(a["px"] - b["px"], a["py"] - b["py"]), 1.0).otherwise(0.0)
+
+    n = F.size(points)
+    rows = F.transform(points, lambda a, i: F.aggregate(
+        F.slice(points, i + 2, F.greatest(n, F.lit(1))), alone(a), lambda acc, b: acc + pair(a, b)))
+    return F.when(n == 0, 1.0).otherwise(_sum(rows, lambda x: x) / (n * (n + 1) / 2))
 
 
 def facing_similarity(matched: Column) -> Column:
@@ -60,6 +66,11 @@ def facing_similarity(matched: Column) -> Column:
     return F.when(F.size(judged) == 0, 1.0).otherwise(hit / F.size(judged))
 
 
+def coordinate_similarity_of(matched: Column, norm: Column | None = None) -> Column:
+    """Mean of position and direction similarity of already matched points."""
+    return (position_similarity(matched, norm) + direction_similarity(_points(matched))) / 2
+
+
 def position_similarity(matched: Column, norm: Column | None = None, allow_scale: bool = False) -> Column:
     """``exp(-rmse/L)`` over matched objects times the share matched."""
     m = F.filter(matched, lambda z: z["p"].isNotNull())
@@ -84,10 +95,11 @@ def map_metrics(maps: DataFrame, pred: str = "pred", truth: str = "gt", norm: Co
                 allow_scale: bool = False, prefix: str = "") -> DataFrame:
     """Add dir, facing, pos and their mean."""
     m = match_objects(maps, pred, truth)
-    m = m.withColumn("_d", direction_similarity(F.col("_m"))).withColumn("_f", facing_similarity(F.col("_m"))).withColumn(
+    m = m.withColumn("_xy", _points(F.col("_m")))
+    m = m.withColumn("_d", direction_similarity(F.col("_xy"))).withColumn("_f", facing_similarity(F.col("_m"))).withColumn(
         "_p", position_similarity(F.col("_m"), norm, allow_scale))
     return m.select("*", F.col("_d").alias(f"{prefix}dir"), F.col("_f").alias(f"{prefix}facing"), F.col("_p").alias(f"{prefix}pos"),
-                    ((F.col("_d") + F.col("_f") + F.col("_p")) / 3).alias(f"{prefix}overall")).drop("_m", "_d", "_f", "_p")
+                    ((F.col("_d") + F.col("_f") + F.col("_p")) / 3).alias(f"{prefix}overall")).drop("_m", "_xy", "_d", "_f", "_p")
 
 
 def norm_length(objects: Column) -> Column:

@@ -67,20 +67,35 @@ def first_copy_mask(turns: DataFrame, order: str, mask: str | None = None, key:
     return flagged
 
 
-def trajectory_report(turns: DataFrame, turn: str = "turn_idx") -> DataFrame:
-    """Per trajectory: turn range, terminal markers and what is wrong with them."""
+def sequence_stats(turn: str = "turn_idx") -> list[Column]:
+    """Aggregates that decide whether the turns of a trajectory are whole."""
     t = F.col(turn)
-    stats = turns.groupBy(*TRAJECTORY).agg(
-        F.min(t).alias("first_turn"), F.max(t).alias("final_turn"), F.count("*").alias("turns"),
-        F.countDistinct(t).alias("distinct_turns"), F.count_if("last_turn").alias("terminals"),
-        F.max(F.when(F.col("last_turn"), t)).alias("terminal_turn"))
-    whole = (F.col("first_turn") == 1) & (F.col("final_turn") == F.col("turns")) & (
-        F.col("distinct_turns") == F.col("turns"))
-    return stats.withColumn("issues", issues(
-        (~whole, "turns are not contiguous from 1"),
-        (F.col("terminals") != 1, "expected exactly one terminal turn"),
-        ((F.col("terminals") == 1) & (F.col("terminal_turn") != F.col("final_turn")),
-         "terminal marker is not on the final turn")))
+    return [F.min(t).alias("first_turn"), F.max(t).alias("final_turn"), F.count_if("last_turn").alias("terminals"),
+            F.max(F.when(F.col("last_turn"), t)).alias("terminal_turn")]
+
+
+def sequence_issues(distinct: Column | None = None) -> Column:
+    """Issues from :func:`sequence_stats` and ``turns``. Without repeated turns (deduplicated
+    rows) first, last and count settle contiguity; else pass the distinct count."""
+    whole = (F.col("first_turn") == 1) & (F.col("final_turn") == F.col("turns"))
+    if distinct is not None:
+        whole = whole & (distinct == F.col("turns"))
+    return issues(
+        (~whole, "turns are not contiguous from 1"), (F.col("terminals") != 1, "expected exactly one terminal turn"),
+        ((F.col("terminals") == 1) & (F.col("terminal_turn") != F.col("final_turn")), "terminal marker is not on the final turn"))
+
+
+def trajectory_report(turns: DataFrame, turn: str = "turn_idx") -> DataFrame:
+    """Per trajectory: turn range, terminal markers and what is wrong with them.
+
+    Rows are counted per turn first, which takes repeated turns out of the second pass.
+    """
+    per = turns.groupBy(*TRAJECTORY, turn).agg(F.count("*").alias("_n"), F.count_if("last_turn").alias("_l"))
+    t, end = F.col(turn), F.col("_l") > 0
+    stats = per.groupBy(*TRAJECTORY).agg(
+        F.min(t).alias("first_turn"), F.max(t).alias("final_turn"), F.sum("_n").alias("turns"), F.count("*").alias("distinct_turns"),
+        F.sum("_l").alias("terminals"), F.max(F.when(end, t)).alias("terminal_turn"))
+    return stats.withColumn("issues", sequence_issues(F.col("distinct_turns")))
 
 
 def group_report(trajectories: DataFrame, expected: int | None = None) -> DataFrame:

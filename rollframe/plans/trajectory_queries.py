@@ -116,9 +116,9 @@ FROM scored JOIN g USING (group_idx)""")
 def trj11(spark, sf):
     """Deduplicate, check, score and compare within groups: the flagship plan."""
     unique = trajectories.drop_copies(views.turns_padded(spark, sf), PAYLOAD)
-    report = trajectories.trajectory_report(unique)
-    scores = credit.trajectory_scores(unique, "bounded_process", reward="score", success="traj_success", success_bonus=0.05)
-    whole = scores.join(report.filter(F.size("issues") == 0).select(*trajectories.TRAJECTORY), trajectories.TRAJECTORY)
+    scores = credit.trajectory_scores(unique, "bounded_process", reward="score", success="traj_success", success_bonus=0.05,
+                                      with_issues=True)
+    whole = scores.filter(F.size("issues") == 0)
     return credit.group_advantages(whole).select("group_idx", "traj_idx", "turns", "trajectory_score", "advantage")
 
 

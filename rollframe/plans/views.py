@@ -31,7 +31,7 @@ def turns(spark: SparkSession, sf: str) -> DataFrame:
     """One row per line item: an order is a trajectory, a customer is a group."""
     def build() -> DataFrame:
         lines = table(spark, sf, "lineitem")
-        orders = table(spark, sf, "orders")
+        orders = table(spark, sf, "orders").drop("o_totalprice")
         joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
         spread = ordered(joined, ["o_custkey", "o_orderkey"], LINE_ORDER)
         numbered = running(spread, ["o_custkey", "o_orderkey"], LINE_ORDER, {"turn_idx": F.lit(1)})
