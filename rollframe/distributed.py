@@ -113,16 +113,14 @@ def _fold(rows: DataFrame, keys: list[str], index: str, top: int) -> DataFrame:
     packed = rows.groupBy(*keys, "_b").agg(
         F.array_sort(F.collect_list(F.struct(index, *payload))).alias("_rows"))
 
-    def fold_from(skip: int):
-        def at(_, i):
-            tail = F.reverse(F.slice("_rows", i + 1 + skip, FOLD_WIDTH))
-            return F.aggregate(
-                tail, F.struct(F.lit(0.0).alias("s"), F.lit(1.0).alias("p")),
-                lambda a, r: F.struct((r["_v"] + r["_f"] * a["s"]).alias("s"), (r["_f"] * a["p"]).alias("p")))
-        return at
-
-    packed = packed.withColumn("_in", F.transform("_rows", fold_from(0)))
-    packed = packed.withColumn("_ex", F.transform("_rows", fold_from(1)))
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(1.0).alias("p"))
+
+    def tail_from(_, i):
+        return F.aggregate(
+            F.reverse(F.slice("_rows", i + 1, FOLD_WIDTH)), start,
+            lambda a, r: F.struct((r["_v"] + r["_f"] * a["s"]).alias("s"), (r["_f"] * a["p"]).alias("p")))
+
+    packed = packed.withColumn("_in", F.transform("_rows", tail_from))
     if top > FOLD_WIDTH:
         blocks = packed.select(*keys, (F.col("_b") + 1).alias("_i"),
                                F.col("_in")[0]["s"].alias("_v"), F.col("_in")[0]["p"].alias("_f"))
@@ -131,10 +129,13 @@ def _fold(rows: DataFrame, keys: list[str], index: str, top: int) -> DataFrame:
         packed = packed.join(carries, [*keys, "_b"])
     else:
         packed = packed.withColumn("_carry", F.lit(0.0))
-    out = packed.select(*keys, "_carry", F.explode(F.arrays_zip("_rows", "_in", "_ex")).alias("_z"))
+    # What follows a row is the tail of the next one.
+    steps = F.transform("_rows", lambda r, i: F.struct(
+        r.alias("_row"), F.col("_in")[i].alias("_in"), F.coalesce(F.try_element_at("_in", i + 2), start).alias("_ex")))
+    out = packed.select(*keys, "_carry", F.explode(steps).alias("_z"))
     return out.select(
-        *keys, F.col(f"_z._rows.{index}").alias(index),
-        *[F.col(f"_z._rows.{c}").alias(c) for c in payload],
+        *keys, F.col(f"_z._row.{index}").alias(index),
+        *[F.col(f"_z._row.{c}").alias(c) for c in payload],
         (F.col("_z._in.s") + F.col("_z._in.p") * F.col("_carry")).alias("suffix"),
         (F.col("_z._ex.s") + F.col("_z._ex.p") * F.col("_carry")).alias("after"))
 

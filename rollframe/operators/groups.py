@@ -89,7 +89,8 @@ def comparable_variance(trajectories: DataFrame) -> DataFrame:
 
 def state_groups(unique_turns: DataFrame, action: str = "action") -> DataFrame:
     """Per (group, anchor): rows, distinct actions, return-to-go variance."""
-    rtg = return_to_go(unique_turns.filter(F.col("traj_idx").isNotNull()))
+    slim = unique_turns.select("group_idx", "traj_idx", "turn_idx", "score", "state_anchor", action)
+    rtg = return_to_go(slim)
     return rtg.filter(F.coalesce(F.length("state_anchor"), F.lit(0)) > 0).groupBy("group_idx", "state_anchor").agg(
         F.count("*").alias("rows"), F.countDistinct(action).alias("actions"),
         F.var_pop("return_to_go").alias("rtg_variance"))

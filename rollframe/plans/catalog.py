@@ -31,6 +31,15 @@ def tidy(df: DataFrame) -> DataFrame:
         for n, t in df.dtypes])
 
 
+def enough_tasks(df: DataFrame) -> DataFrame:
+    """For heavy work per row: as many tasks as cores where the scan alone has fewer.
+
+    A large table is split by its files already and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def r6(expr: str) -> str:
     """The same rounding in SQL text."""
     return f"(round(CAST({expr} AS DOUBLE), 6) + 0.0)"

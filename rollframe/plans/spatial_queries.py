@@ -10,7 +10,7 @@ from rollframe.functions import scoring, text
 from rollframe.operators import exploration as X
 from rollframe.operators import maps as M
 from rollframe.plans import views
-from rollframe.plans.catalog import query, r6, table
+from rollframe.plans.catalog import enough_tasks, query, r6, table
 
 # ---- layouts: one per order, objects from arithmetic on its keys -------------------------
 
@@ -28,7 +28,7 @@ def scenes(spark, sf):
     seen = F.filter(idx, lambda i: (k + i) % 5 != 0)
     turned = lambda i: F.when((c + i) % 3 == 0, (k + i + 1) % 4).otherwise((k + i) % 4)
     name = lambda i: F.when(i == 3, "door 3").otherwise(F.concat(F.lit("obj"), i.cast("string")))
-    return table(spark, sf, "orders").select(
+    return enough_tasks(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")).select(
         k.alias("scene"), c.alias("sample"), (F.col("o_orderstatus") != "P").alias("is_exploration_phase"),
         F.transform(idx, lambda i: obj(i, x(i), y(i), (k + i) % 4)).alias("gt"),
         F.transform(seen, lambda i: obj(i, x(i) + (k + i * 3) % 3 - 1, y(i) + (c + i) % 3 - 1, turned(i))).alias("pred"),

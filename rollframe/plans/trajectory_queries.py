@@ -169,7 +169,8 @@ def trj17(spark, sf):
 
 
 def gae(spark, sf):
-    return credit.generalized_advantages(views.turns(spark, sf), "score", "value", 0.99, 0.95)
+    rows = views.turns(spark, sf).select(*trajectories.KEY, "score", "value", "tokens")
+    return credit.generalized_advantages(rows, "score", "value", 0.99, 0.95)
 
 
 GAE = "RECURSIVE " + views.TURNS + """, delta AS (
@@ -227,7 +228,7 @@ FROM padded JOIN gae USING (group_idx, traj_idx, turn_idx)""")
 def trj22(spark, sf):
     padded = views.turns_padded(spark, sf)
     unique = trajectories.drop_copies(padded, PAYLOAD)
-    done = credit.generalized_advantages(unique, "score", "value", 0.99, 0.95)
+    done = credit.generalized_advantages(unique.select(*trajectories.KEY, "score", "value"), "score", "value", 0.99, 0.95)
     return credit.back_to_copies(padded, done, ["advantage"]).select(
         *trajectories.KEY, F.col("copy_no").cast("long"), "advantage")
 
@@ -236,7 +237,7 @@ def trj22(spark, sf):
 SELECT group_idx, traj_idx, turn_idx, {r6('''sum(score) OVER (PARTITION BY group_idx, traj_idx ORDER BY turn_idx
   ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)''')} AS return_to_go FROM turns""")
 def trj23(spark, sf):
-    return trajectories.return_to_go(views.turns(spark, sf)).select(*trajectories.KEY, "return_to_go")
+    return trajectories.return_to_go(views.turns(spark, sf).select(*trajectories.KEY, "score")).drop("score")
 
 
 @query("TRJ24", "WITH " + views.TURNS + f"""
