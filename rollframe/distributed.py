@@ -86,6 +86,16 @@ def row_numbers(df: DataFrame, keys: list[str], order: list[str], name: str = "r
     return running(ordered(df, keys, order), keys, order, {name: F.lit(1)}).drop(SLICE)
 
 
+def in_order(rows: DataFrame, first: str, *rest: str) -> Column:
+    """The rows of a group as an array of structs ordered by ``first`` (unique in the group)."""
+    items = F.collect_list(F.struct(first, *rest))
+    kinds = " ".join(t for n, t in rows.dtypes if n in rest)
+    if "map<" not in kinds and "variant" not in kinds:
+        return F.sort_array(items)
+    # Maps and variants cannot be compared, so only the first field may be looked at.
+    return F.array_sort(items, lambda a, b: F.when(a[first] < b[first], -1).when(a[first] > b[first], 1).otherwise(0))
+
+
 def affine_suffix(df: DataFrame, keys: list[str], index: str, value: Column, factor: Column,
                   max_index: int | None = None) -> DataFrame:
     """Backward recurrence ``s(i) = value(i) + factor(i) * s(i+1)`` inside ``keys``.
@@ -110,8 +120,7 @@ def affine_suffix(df: DataFrame, keys: list[str], index: str, value: Column, fac
 def _fold(rows: DataFrame, keys: list[str], index: str, top: int) -> DataFrame:
     payload = [c for c in rows.columns if c not in keys and c not in (index, "_b")]
     rows = rows.withColumn("_b", F.floor((F.col(index) - 1) / FOLD_WIDTH))
-    packed = rows.groupBy(*keys, "_b").agg(
-        F.array_sort(F.collect_list(F.struct(index, *payload))).alias("_rows"))
+    packed = rows.groupBy(*keys, "_b").agg(in_order(rows, index, *payload).alias("_rows"))
 
     start = F.struct(F.lit(0.0).alias("s"), F.lit(1.0).alias("p"))
 

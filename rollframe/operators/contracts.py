@@ -104,7 +104,7 @@ def matrix_environment_issues(environments: DataFrame) -> DataFrame:
         sized = F.size(r).isin(2, 3)
         step = F.coalesce(F.try_element_at(r, F.lit(3)), F.lit(1))
         rules += [(known & (F.trim(F.col(s)) == ""), f"{s} must be a path"), (known & r.isNotNull() & ~sized, f"{s}_seeds must be [start, stop(, step)]"),
-                  (known & sized & ((r[0] > r[1]) | (step <= 0)), f"{s}_seeds has an invalid range")]
+                  (known & sized & ((F.get(r, 0) > F.get(r, 1)) | (step <= 0)), f"{s}_seeds has an invalid range")]
     return environments.withColumn("issues", issues(*rules))
 
 
@@ -137,8 +137,8 @@ def expand_tasks(specs: DataFrame, base_seed: int = 0, block: int = 10_000) -> D
     listed = F.col("seed_list").isNotNull()
     bad = (F.when(listed & (F.size("seed_list") < n), fail("seed_list is too short"))
            .when(~listed & ~size.isin(1, 2, 3), fail("seed must have 1 to 3 items"))
-           .when(~listed & (size >= 2) & (seed[0] > seed[1]), fail("empty seed range"))
-           .when(~listed & (size == 3) & ((seed[1] - seed[0] + 1) * seed[2] < n), fail("seed range cannot supply n_envs")))
+           .when(~listed & (size >= 2) & (F.get(seed, 0) > F.get(seed, 1)), fail("empty seed range"))
+           .when(~listed & (size == 3) & ((F.get(seed, 1) - F.get(seed, 0) + 1) * F.get(seed, 2) < n), fail("seed range cannot supply n_envs")))
     checked = specs.filter(bad.isNull())
 
     def numbered(df: DataFrame, total: Column, name: str) -> DataFrame:
@@ -149,11 +149,11 @@ def expand_tasks(specs: DataFrame, base_seed: int = 0, block: int = 10_000) -> D
     out = ["spec_idx", F.col("slot").cast("long").alias("slot"), F.col("task_seed").cast("long").alias("task_seed")]
     explicit = checked.filter(listed).select("spec_idx", n.alias("_n"), F.posexplode("seed_list").alias("slot", "task_seed")).filter("slot < _n")
     draw = _draw(F.lit(base_seed), F.col("spec_idx"), F.col("slot"))
-    span = seed[1].cast("long") - seed[0] + 1
+    span = F.get(seed, 1).cast("long") - F.get(seed, 0) + 1
     free = numbered(checked.filter(~listed & (size < 3)), n, "slot").withColumn(
-        "task_seed", F.when(size == 1, draw).otherwise(seed[0] + draw % span))
-    pool = numbered(checked.filter(~listed & (size == 3)), span * F.col("seed")[2], "_i")
-    value = F.col("seed")[0] + F.floor(F.col("_i") / F.col("seed")[2])
+        "task_seed", F.when(size == 1, draw).otherwise(F.get(seed, 0) + draw % span))
+    pool = numbered(checked.filter(~listed & (size == 3)), span * F.get("seed", 2), "_i")
+    value = F.get("seed", 0) + F.floor(F.col("_i") / F.get("seed", 2))
     ranked = pool.select("spec_idx", n.alias("_n"), value.alias("task_seed"), "_i", _draw(F.lit(base_seed), F.col("spec_idx"), F.col("_i")).alias("_h"))
     limited = row_numbers(ranked, ["spec_idx"], ["_h", "_i"], "_r").filter("_r <= _n").withColumn("slot", F.col("_r") - 1)
     return explicit.select(*out).unionByName(free.select(*out)).unionByName(limited.select(*out))
@@ -162,8 +162,8 @@ def expand_tasks(specs: DataFrame, base_seed: int = 0, block: int = 10_000) -> D
 def partition_issues(partitions: DataFrame) -> DataFrame:
     """Declared seed ranges against configs, per (environment, role)."""
     listed = F.col("seed_list").isNotNull()
-    lo = F.when(listed, F.array_min("seed_list")).otherwise(F.col("seed")[0])
-    hi = F.when(listed, F.array_max("seed_list")).otherwise(F.col("seed")[1])
+    lo = F.when(listed, F.array_min("seed_list")).otherwise(F.get("seed", 0))
+    hi = F.when(listed, F.array_max("seed_list")).otherwise(F.get("seed", 1))
     repeat = F.coalesce(F.try_element_at("seed", F.lit(3)), F.lit(0))
     count = F.when(listed, F.size("seed_list")).otherwise(hi - lo + 1)
     span = F.array(lo, hi)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollframe.distributed import SLICE, affine_suffix, ordered, running
+from rollframe.distributed import SLICE, affine_suffix, in_order, ordered, running
 
 KEY = ["group_idx", "traj_idx", "turn_idx"]
 TRAJECTORY = ["group_idx", "traj_idx"]
@@ -24,6 +24,12 @@ def fail_on(df: DataFrame, issue_column: str = "issues") -> DataFrame:
     return df.filter(checked.isNull())
 
 
+def drop_padding(rows: DataFrame, sentinel: str = "_is_padding") -> DataFrame:
+    """Rows that are not padding; a missing sentinel is an error."""
+    missing = F.raise_error(F.lit("padding sentinel is missing")).cast("boolean")
+    return rows.filter(F.when(F.col(sentinel).isNull(), missing).otherwise(~F.col(sentinel)))
+
+
 def copy_report(turns: DataFrame, payload: list[str], key: list[str] = KEY) -> DataFrame:
     """Per key: how many copies there are and whether they agree on ``payload``."""
     digest = F.xxhash64(*payload, *[F.col(c).isNull() for c in payload])
@@ -170,8 +176,7 @@ def concat_segments(turns: DataFrame, width: int = 64) -> DataFrame:
         F.coalesce(F.col("image_data"), F.array().cast("array<string>")).alias("g") if "image_data" in turns.columns
         else F.array().cast("array<string>").alias("g"),
         F.col("extra").alias("x") if "extra" in turns.columns else F.lit(None).cast("string").alias("x"))
-    packed = body.groupBy(*TRAJECTORY, "segment").agg(
-        F.array_sort(F.collect_list(F.struct("turn_idx", "prompt", "r", "m", "s", "g", "x"))).alias("p"))
+    packed = body.groupBy(*TRAJECTORY, "segment").agg(in_order(body, "turn_idx", "prompt", "r", "m", "s", "g", "x").alias("p"))
     return packed.select(
         *TRAJECTORY, "segment", F.size("p").alias("turns"),
         F.when(F.col("segment") == 0, F.col("p")[0]["prompt"]).alias("prompts"),

@@ -10,7 +10,7 @@ from rollframe.functions import text as X
 from rollframe.functions import tokens as T
 from rollframe.functions.nested import nested_values
 from rollframe.operators import episodes as E
-from rollframe.operators.trajectories import KEY, TRAJECTORY
+from rollframe.operators.trajectories import KEY, drop_padding
 from rollframe.plans import views
 from rollframe.plans.catalog import query, r6, table
 
@@ -92,12 +92,6 @@ def prj5(spark, sf):
     return drop_padding(rows).groupBy("group_idx").agg(F.count("*").alias("rows"))
 
 
-def drop_padding(rows):
-    """Rows that are not padding; a missing sentinel is an error."""
-    return rows.filter(F.assert_true(F.col("_is_padding").isNotNull(), F.lit("padding sentinel is missing")).isNull()
-                       & ~F.col("_is_padding"))
-
-
 @query("PRJ6", f"WITH {TALK} SELECT conv_id, turn, {_template('response')} AS template FROM talk")
 def prj6(spark, sf):
     return transcripts(spark, sf).select("conv_id", "turn", X.normalize_template(F.col("response")).alias("template"))

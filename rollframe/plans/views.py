@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollframe.distributed import ordered, running
+from rollframe.operators.trajectories import assign_ids
 from rollframe.plans.catalog import table
 from rollframe.session import stage
 
@@ -31,16 +32,12 @@ def turns(spark: SparkSession, sf: str) -> DataFrame:
     """One row per line item: an order is a trajectory, a customer is a group."""
     def build() -> DataFrame:
         lines = table(spark, sf, "lineitem")
-        orders = table(spark, sf, "orders").drop("o_totalprice")
-        joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
-        spread = ordered(joined, ["o_custkey", "o_orderkey"], LINE_ORDER)
-        numbered = running(spread, ["o_custkey", "o_orderkey"], LINE_ORDER, {"turn_idx": F.lit(1)})
-        numbered = running(numbered, ["o_custkey"], ["o_orderkey", *LINE_ORDER],
-                           {"traj_idx": (F.col("turn_idx") == 1).cast("int")})
-        length = lines.groupBy("l_orderkey").agg(F.count("*").alias("_len")).withColumnRenamed("l_orderkey", "_key")
-        return numbered.join(length, F.col("o_orderkey") == F.col("_key")).select(
+        numbered = running(ordered(lines, ["l_orderkey"], LINE_ORDER), ["l_orderkey"], LINE_ORDER, {"turn_idx": F.lit(1)})
+        length = lines.groupBy("l_orderkey").agg(F.count("*").alias("_len")).withColumnRenamed("l_orderkey", "o_orderkey")
+        tasks = assign_ids(table(spark, sf, "orders").drop("o_totalprice").join(length, "o_orderkey"), "o_custkey", ["o_orderkey"])
+        return numbered.join(tasks, F.col("l_orderkey") == F.col("o_orderkey")).select(
             F.col("o_custkey").cast("string").alias("group_idx"),
-            (F.col("traj_idx") - 1).cast("int").alias("traj_idx"),
+            F.col("traj_idx"),
             F.col("turn_idx").cast("int").alias("turn_idx"),
             F.col("o_orderkey").alias("uid"),
             F.col("l_discount").alias("score"),

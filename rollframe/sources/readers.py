@@ -29,18 +29,20 @@ def step_of_path(path: Column) -> Column:
 def parse_rollout_lines(lines: DataFrame, text: str = "value", source: str = "path", rescue: bool = False) -> DataFrame:
     """Rollout rows from JSON lines with a ``_bad`` column for text that is no JSON.
 
-    Blank lines and JSON values that are not objects are dropped. ``rescue`` keeps the
-    whole record as a variant, so undeclared keys stay reachable.
+    Blank lines and JSON values that are not objects are dropped; other columns of the lines
+    are carried along. ``rescue`` keeps the whole record as a variant, so undeclared keys stay
+    reachable.
     """
     line = F.trim(F.col(text))
-    rows = lines.select(F.col(source).alias("path"), line.alias("_line")).filter("_line <> ''")
+    more = [c for c in lines.columns if c not in (text, source)]
+    rows = lines.select(F.col(source).alias("path"), *more, line.alias("_line")).filter("_line <> ''")
     is_object = F.col("_line").startswith("{")
     rows = rows.filter(is_object | F.try_parse_json("_line").isNull())
     parsed = F.from_json("_line", S.TURN + ", _corrupt STRING", {"columnNameOfCorruptRecord": "_corrupt"})
     rows = rows.withColumn("_r", F.when(is_object, parsed))
     bad = F.when(~is_object | F.col("_r._corrupt").isNotNull(), F.col("_line"))
     fields = [f.strip().split(" ")[0] for f in _top_level(S.TURN)]
-    out = rows.select("path", bad.alias("_bad"), *[
+    out = rows.select("path", *more, bad.alias("_bad"), *[
         (flag(F.col(f"_r.{f}")) if f in S.TURN_FLAGS else F.col(f"_r.{f}")).alias(f) for f in fields],
         *([F.try_parse_json("_line").alias("rescued")] if rescue else []))
     return out.withColumn("step", F.coalesce("step", step_of_path(F.col("path"))))
@@ -166,7 +168,7 @@ def parse_device_lines(lines: DataFrame, text: str = "value") -> DataFrame:
     """Samples from raw device lines; a wrong field count or a bad number drops the line."""
     f = F.transform(F.split(F.col(text), ","), lambda t: F.trim(t))
     raw = lines.withColumn("_f", f).filter(F.size("_f") == 6)
-    item = lambda i: F.col("_f")[i]
+    item = lambda i: F.get("_f", i)
     known = lambda i: F.lower(item(i)).isin(MISSING)
     out = raw.select(*[c for c in lines.columns if c != text], item(0).try_cast("int").alias("gpu_index"), item(1).alias("gpu_name"),
                      item(2).try_cast("double").alias("memory_used_mib"), item(3).try_cast("double").alias("memory_total_mib"),

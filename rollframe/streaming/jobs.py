@@ -23,10 +23,7 @@ def rollout_stream(spark: SparkSession, path: str, files_per_batch: int | None =
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     lines = reader.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("arrived"))
-    times = lines.select("value", F.to_json(F.struct("path", "arrived")).alias("path"))
-    rows = parse_rollout_lines(times)
-    return rows.withColumn("arrived", F.get_json_object("path", "$.arrived").cast("timestamp")).withColumn(
-        "path", F.get_json_object("path", "$.path"))
+    return parse_rollout_lines(lines)
 
 
 def ingest(rows: DataFrame, good: str, bad: str, checkpoint: str, **trigger) -> StreamingQuery:
