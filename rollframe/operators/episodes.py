@@ -8,6 +8,9 @@ from pyspark.sql import Window
 
 from rollframe.distributed import ordered, previous, running, with_row
 from rollframe.functions import text as X
+from rollframe.operators.groups import comparable_variance
+from rollframe.operators.trajectories import drop_copies, trajectory_records
+from rollframe.session import stage
 
 # Finish reasons.
 NORMAL_FINISH = ["done", "max_turns"]
@@ -93,6 +96,28 @@ def template_concentration(texts: DataFrame, template: Column, *by: str) -> Data
                                    (F.count("*") / F.sum("_n")).alias("unique_fraction"))
 
 
+def training_summary(rows: DataFrame) -> DataFrame:
+    """The training report, one row: unique rows make the trajectories, all rows count for
+    templates and validity.
+
+    Copies are dropped and trajectories built once; the trajectory table, far smaller than
+    the rows, is staged because several figures are taken from it.
+    """
+    unique = drop_copies(rows, ["score", "output", "last_turn", "traj_success"])
+    built = trajectory_records(unique, None, F.sum("copies").alias("all_rows"), F.count("*").alias("own_rows"))
+    # Rounding keeps equal sums equal in every order of additions.
+    records = stage(built.withColumn("reward", F.round("reward", 6)))
+    won = F.col("success")
+    total = records.agg(
+        F.sum("all_rows").alias("rows"), F.sum("own_rows").alias("unique_rows"), (F.sum("all_rows") - F.sum("own_rows")).alias("padding_duplicates"),
+        F.count("*").alias("trajectories"), F.countDistinct("group_idx").alias("groups"), F.avg(won.cast("double")).alias("success_rate"),
+        F.avg(F.when(won, F.col("turns"))).alias("mean_turns_successful"), *_correlation("turns", "reward"))
+    valid = rows.agg((1 - F.avg(F.col("action_is_valid").cast("double"))).alias("invalid_action_fraction"))
+    for part in (comparable_variance(records), valid, template_concentration(rows, X.answer_template(F.col("output")))):
+        total = with_row(total, part)
+    return total
+
+
 def representative_failures(episodes: DataFrame, limit: int = 10, semantic_first: bool = False) -> DataFrame:
     """Failed episodes for review: infrastructure errors first, then turns and reward falling."""
     infra = F.coalesce(F.col("finish_reason").isin(INFRASTRUCTURE), F.lit(False))

@@ -11,6 +11,8 @@ from rollframe.operators.trajectories import assign_ids, issues
 
 # Fixed value: the artifact type an export must carry.
 EXPORT_ARTIFACT = "checkpoint_export"
+# Up to this many rows a plain top-k is cheap; beyond it rows are ranked in slices.
+SMALL_TOP = 100_000
 
 
 def candidate_issues(candidates: DataFrame) -> DataFrame:
@@ -188,11 +190,15 @@ def select_disjoint(candidates: DataFrame, order: str, count: int, excluded: Dat
     """
     if count <= 0:
         raise ValueError("count must be positive")
-    seen = row_numbers(candidates, [], [order], "_pos")
-    first = seen.filter(F.col("_pos") <= max_candidates).groupBy("fingerprint").agg(F.min(order).alias(order))
+    if candidates.count() > max_candidates:
+        candidates = row_numbers(candidates, [], [order], "_pos").filter(F.col("_pos") <= max_candidates)
+    first = candidates.groupBy("fingerprint").agg(F.min(order).alias(order))
     if excluded is not None:
         first = first.join(excluded.select("fingerprint").distinct(), "fingerprint", "left_anti")
-    chosen = row_numbers(first, [], [order], "_pos").filter(F.col("_pos") <= count)
+    if count <= SMALL_TOP:
+        chosen = first.orderBy(order).limit(count)
+    else:
+        chosen = row_numbers(first, [], [order], "_pos").filter(F.col("_pos") <= count)
     total = chosen.agg(F.count("*").alias("_n"))
     short = F.when(F.col("_n") < count, F.raise_error(F.concat(
         F.lit("not enough disjoint items: "), F.col("_n").cast("string"))).cast("boolean"))

@@ -140,12 +140,12 @@ def declared_turns(*columns: Column) -> Column:
     return F.coalesce(*[F.when((c > 0) & (c == F.floor(c)), c.cast("long")) for c in columns])
 
 
-def trajectory_records(turns: DataFrame, declared: Column | None = None) -> DataFrame:
-    """Per trajectory: reward sum, turn count, success of any turn."""
+def trajectory_records(turns: DataFrame, declared: Column | None = None, *more: Column) -> DataFrame:
+    """Per trajectory: reward sum, turn count, success of any turn, and further aggregates."""
     d = declared if declared is not None else F.lit(None).cast("long")
     agg = turns.groupBy(*TRAJECTORY).agg(
         F.sum(F.coalesce("score", F.lit(0.0))).alias("reward"), F.count("*").alias("rows"),
-        F.min(d).alias("low"), F.max(d).alias("high"), F.bool_or(F.coalesce("traj_success", F.lit(False))).alias("success"))
+        F.min(d).alias("low"), F.max(d).alias("high"), F.bool_or(F.coalesce("traj_success", F.lit(False))).alias("success"), *more)
     return agg.withColumn("turns", turn_count()).drop("rows", "low", "high")
 
 

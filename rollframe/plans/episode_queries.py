@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rollframe.distributed import with_row
 from rollframe.functions import text as X
 from rollframe.operators import episodes as E
-from rollframe.operators import groups, trajectories
+from rollframe.operators import trajectories
 from rollframe.plans import views
 from rollframe.plans.catalog import query, r6, table
 from rollframe.plans.text_queries import BODY, TALK, _template, transcripts
@@ -56,27 +55,6 @@ def eva5(spark, sf):
         "observation_ablation")
 
 
-def training_report(spark, sf):
-    """The training summary: unique rows for trajectories, all rows for templates and validity."""
-    rows = views.turns_padded(spark, sf)
-    unique = trajectories.drop_copies(rows, ["score", "output", "last_turn", "traj_success"])
-    records = trajectories.trajectory_records(unique).withColumn("reward", F.round("reward", 6))
-    won = F.col("success")
-    enough = (F.stddev_pop("turns") > 0) & (F.stddev_pop("reward") > 0)
-    per_traj = records.agg(
-        F.count("*").alias("trajectories"), F.countDistinct("group_idx").alias("groups"),
-        F.avg(won.cast("double")).alias("success_rate"), F.avg(F.when(won, F.col("turns"))).alias("mean_turns_successful"),
-        F.when(enough, F.corr("turns", "reward")).alias("reward_turn_correlation"),
-        F.when(enough, F.regr_slope("reward", "turns")).alias("reward_per_extra_turn_slope"))
-    counts = unique.agg(F.sum("copies").alias("rows"), F.count("*").alias("unique_rows"),
-                        (F.sum("copies") - F.count("*")).alias("padding_duplicates"))
-    valid = rows.agg((1 - F.avg(F.col("action_is_valid").cast("double"))).alias("invalid_action_fraction"))
-    concentration = E.template_concentration(rows, X.answer_template(F.col("output")))
-    for part in (per_traj, groups.comparable_variance(records), valid, concentration):
-        counts = with_row(counts, part)
-    return counts
-
-
 @query("EVA6", f"""WITH {views.PADDED}, t AS (SELECT group_idx, traj_idx, round(sum(score), 6) AS reward, count(*) AS turns, bool_or(traj_success) AS success
   FROM turns GROUP BY 1, 2), g AS (SELECT var_pop(reward) AS v, max(reward) = min(reward) AS flat FROM t GROUP BY group_idx HAVING count(*) >= 2)
 , c AS (SELECT lower(output) AS o, count(*) AS n FROM padded GROUP BY 1)
@@ -89,7 +67,7 @@ SELECT CAST((SELECT count(*) FROM padded) AS BIGINT) AS rows, CAST((SELECT count
   {r6('(SELECT 1 - avg(CASE WHEN action_is_valid THEN 1 ELSE 0 END) FROM padded)')} AS invalid_action_fraction,
   {r6('(SELECT max(n) / sum(n) FROM c)')} AS concentration, {r6('(SELECT count(*) / sum(n) FROM c)')} AS unique_fraction FROM t""")
 def eva6(spark, sf):
-    return training_report(spark, sf)
+    return E.training_summary(views.turns_padded(spark, sf))
 
 
 @query("EVA9", f"""WITH {views.EPISODES} SELECT CASE WHEN grouping(method) = 1 THEN 'all' ELSE method END AS method, CAST(count(*) AS BIGINT) AS n_episodes,

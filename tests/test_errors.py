@@ -88,7 +88,9 @@ def test_unknown_uid(spark):
         selection.align_tasks(spark.createDataFrame([(1,), (2,)], "uid int"), spark.createDataFrame([(1, "x")], "uid int, t string")).collect()
 
 
-def test_too_few_disjoint_items(spark):
+@pytest.mark.parametrize("small_top", [100_000, 0])
+def test_too_few_disjoint_items(spark, monkeypatch, small_top):
+    monkeypatch.setattr(selection, "SMALL_TOP", small_top)
     df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "seed int, fingerprint string")
     assert [r.seed for r in selection.select_disjoint(df, "seed", 2).orderBy("seed").collect()] == [1, 3]
     with pytest.raises(Exception, match="not enough disjoint"):
