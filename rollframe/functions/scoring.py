@@ -97,6 +97,16 @@ def numbered_directions(pred: Column, expected: Column) -> Column:
     return _num(F.size(right) == F.size(expected))
 
 
+def location_text(pred: Column, answer: Column) -> Column:
+    """:func:`location` with the true coordinate given as text."""
+    return X.let(F.try_element_at(coordinates(answer), F.lit(1)), lambda c: F.when(
+        c.isNotNull(), location(pred, c["x"], c["y"])).otherwise(0.0))
+
+
+def coordinate_set_text(pred: Column, answer: Column) -> Column:
+    return coordinate_set(pred, coordinates(answer))
+
+
 # The evaluator table: task type to the expression over (prediction, answer) text. Users
 # add their own entries; a pandas UDF column works as well.
 EVALUATORS = {
@@ -108,6 +118,9 @@ EVALUATORS = {
     "Action2ViewEvaluationTask": direction_text,
     "Location2ViewEvaluationTask": direction_text,
     "BackwardPovVisionEvaluationTask": label,
+    "View2LocationTextEvaluationTask": location_text,
+    "View2LocationVisionEvaluationTask": location_text,
+    "AlloMappingEvaluationTask": coordinate_set_text,
 }
 
 

@@ -10,7 +10,7 @@ from rollframe.functions.inference import wilson
 from rollframe.operators.trajectories import assign_ids, issues
 
 # Fixed value: the artifact type an export must carry.
-EXPORT_ARTIFACT = "checkpoint_export"
+EXPORT_ARTIFACT = "fsdp_lora_checkpoint_export"
 # Up to this many rows a plain top-k is cheap; beyond it rows are ranked in slices.
 SMALL_TOP = 100_000
 

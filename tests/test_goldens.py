@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rollframe.functions import geometry as G
 from rollframe.functions import inference as I
+from rollframe.functions import scoring
 from rollframe.functions import text as X
 from rollframe.functions import tokens as T
 from rollframe.operators import credit, episodes, exploration, groups, maps, parity, resources, selection, statistics
@@ -310,3 +311,18 @@ def test_top_p_and_top_k(spark):
     assert {r.group_idx for r in groups.top_p_groups(v, 0.9).collect()} == {"a", "b"}
     flat = groups.group_variance(spark.createDataFrame([("a", 1.0), ("b", 2.0)], "group_idx string, reward double"))
     assert groups.top_p_groups(flat, 0.5).count() == 2
+
+
+def test_answer_scores(spark):
+    rows = [("RotEvaluationTask", "[a, B c]", "A, b  C", 1.0), ("RotEvaluationTask", "a", "a, b", 0.0), ("DirectionEvaluationTask", "near ne", "north east, mid", 0.5),
+            ("DirectionEvaluationTask", "medium; N", "north, mid distance", 1.0), ("BackwardPovVisionEvaluationTask", "North East", "ne", 1.0),
+            ("View2LocationTextEvaluationTask", "(3, 4) facing north", "(3, 4)", 1.0), ("View2LocationTextEvaluationTask", "none", "(3, 4)", 0.0),
+            ("View2LocationTextEvaluationTask", "(0, 0)", "(3, 4)", math.exp(-1)), ("AlloMappingEvaluationTask", "(1, 1) (2, -3)", "[(1, 1), (2, -3)]", 1.0), ("AlloMappingEvaluationTask", "(1, 1)", "[(1, 1), (2, -3)]", 0.0)]
+    df = spark.createDataFrame(rows, "task string, pred string, answer string, want double")
+    for r in df.withColumn("got", scoring.score(F.col("task"), F.col("pred"), F.col("answer"))).collect():
+        assert r.got == pytest.approx(r.want), r
+    with pytest.raises(Exception, match="unknown task evaluator"):
+        df.select(scoring.score(F.lit("x"), F.col("pred"), F.col("answer"))).collect()
+    lines = spark.range(1).select(scoring.numbered_directions(F.lit("1. (N, E)\n2. (s)\nnote"), F.array(F.array(F.lit("n"), F.lit("e")), F.array(F.lit("S")))).alias("s"),
+                                  scoring.degree_sequence(F.lit("[90°, -45 degrees]"), F.array(F.lit(90), F.lit(-45))).alias("d")).first()
+    assert (lines.s, lines.d) == (1.0, 1.0)
