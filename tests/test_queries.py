@@ -4,6 +4,7 @@ import pytest
 from compare import compare, connect
 
 import __spark_entry__ as entry
+from rollframe.plans.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 ONLY_ROWS = {"STA2", "STA4_p", "STA7", "STA20_p"}
@@ -14,13 +15,14 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("key", sorted(entry.queries()))
+@pytest.mark.parametrize("key", sorted(QUERIES))
 def test_query(spark, con, key):
     assert compare(spark, con, SF, key) is None
 
 
 def test_contract(spark):
-    assert set(entry.queries()) - set(entry.oracle_sql()) == ONLY_ROWS
+    assert set(QUERIES) - set(ORACLES) == ONLY_ROWS
+    assert set(QUERIES) <= set(entry.queries())
     assert entry.entry(spark).columns == ["group_idx", "traj_idx", "turns", "trajectory_score", "advantage"]
 
 
