@@ -105,20 +105,22 @@ def _pairs(vectors: DataFrame, queries: DataFrame, shards: int, blocks: int, hom
         at_home = F.pmod("block", F.lit(shards)) == F.col("shard")
         return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).filter(at_home if home else ~at_home)
 
-    keys = ["dim", "shard", "block"]
-
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         rows = ([], [], [])
         if left.num_rows and right.num_rows and key[0].as_py():
-            v, q = whole(left.column("embedding"), scale), whole(right.column("embedding"), scale)
+            v, q = whole(left.column("embedding"), scale), whole(right.column("probe"), scale)
             if np.abs(v).max() * np.abs(q).max() * v.shape[1] >= 2.0**53:
                 v, q = (np.array([[int(x) for x in r] for r in m.tolist()], object) for m in (v, q))
             floors = [-float("inf") if f is None else f for f in right.column("floor").to_pylist()]
-            rows = search(left.column("vec_id").to_numpy(), v, right.column("vec_id").to_numpy(), q, floors, k, leaf_rows)
+            rows = search(left.column("vec_id").to_numpy(), v, right.column("query_id").to_numpy(), q, floors, k, leaf_rows)
         return pa.table({n: pa.array(r, pa.int64()) for n, r in zip(("query_id", "vec_id", "score"), rows)})
 
-    return (side(vectors, "shard", "block", blocks).groupBy(*keys)
-            .cogroup(side(queries, "block", "shard", shards).groupBy(*keys))
+    # Other names on the query side, as both sides come from one table.
+    asking = side(queries, "block", "shard", shards).select(
+        F.col("dim").alias("q_dim"), F.col("shard").alias("q_shard"), F.col("block").alias("q_block"), F.col("vec_id").alias("query_id"),
+        F.col("embedding").alias("probe"), "floor")
+    return (side(vectors, "shard", "block", blocks).groupBy("dim", "shard", "block")
+            .cogroup(asking.groupBy("q_dim", "q_shard", "q_block"))
             .applyInArrow(run, "query_id long, vec_id long, score long"))
 
 

@@ -56,9 +56,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def span_hashes(values: np.ndarray, kind: str, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of ``values[start:end]``; equal runs of equal length have equal hashes."""
-    up, down = _power(kind, len(values) + 1)
+    return _from_sums(_sums(values, kind), kind, starts, ends)
+
+
+def _sums(values: np.ndarray, kind: str) -> np.ndarray:
+    up, _ = _power(kind, len(values) + 1)
     sums = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * up[: len(values)], out=sums[1:])
+    return sums
+
+
+def _from_sums(sums: np.ndarray, kind: str, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    _, down = _power(kind, len(sums))
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
 
 
@@ -92,8 +101,13 @@ class Words:
         #: Number of each word within its text.
         self.place = np.arange(len(self.starts)) - self.first[self.text]
 
-    def hashes(self) -> np.ndarray:
-        return span_hashes(_VALUES[self.data], "byte", self.starts, self.ends)
+    def hashes(self, prefixes: tuple[int, ...] = ()):
+        """Hash of each word; with ``prefixes``, also of its first so many bytes (or all)."""
+        sums = _sums(_VALUES[self.data], "byte")
+        whole = _from_sums(sums, "byte", self.starts, self.ends)
+        if not prefixes:
+            return whole
+        return [whole, *(_from_sums(sums, "byte", self.starts, np.minimum(self.ends, self.starts + k)) for k in prefixes)]
 
     def runs(self, hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the ``width`` words from each word on, and whether they lie in one text."""
