@@ -1,4 +1,4 @@
 """All queries of the subpackage, gathered from their modules."""
 
-from rollframe.llm import decontaminate, near, packing, quality, topk, toxicity  # noqa: F401
+from rollframe.llm import decontaminate, near, packing, quality, substring, topk, toxicity  # noqa: F401
 from rollframe.llm.common import ORACLES, QUERIES  # noqa: F401
