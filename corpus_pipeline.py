@@ -1,16 +1,54 @@
-"""Corpus preparation in stages: each works on all its predecessor kept."""
+"""Corpus preparation in stages: each works on all its predecessor kept.
+
+Toxic documents go, one document of each class of near duplicates stays, contaminated ones
+go, secrets are masked in the texts, and what is left is packed into sequences. All stages
+but the last return the columns of ``documents``; each is written as Parquet and read again.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from rollframe.llm import decontaminate, near, packing, secrets, toxicity
+from rollframe.llm.common import staged, table
+from rollframe.llm.labelled import remainder
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents below the toxicity threshold of their language; trained as in the query."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"), remainder(4) != 2)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest doc_id of each class; wordless documents stay."""
+    return near.deduplicate(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than one word in twenty is benchmark text."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the reported spans masked and n_chars to match."""
+    return secrets.redact(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their sequence and place."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_duplicates), ("decontamination", drop_contaminated),
+          ("secrets", mask_secrets), ("packing", pack)]
+
+#: Training and tokenizing have no SQL form; tests/llm/test_pipeline.py follows the stages by brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents, each written as Parquet and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The stages applied to documents."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

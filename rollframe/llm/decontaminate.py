@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollframe.llm.common import map_slices, query, table, texts
+from rollframe.llm.common import map_slices, query, staged, table, texts
 from rollframe.llm.words import LETTER_OR_DIGIT, Words
 
 WINDOW = 13
@@ -159,8 +159,8 @@ def matches(words: Words, hashes: np.ndarray, index) -> tuple[np.ndarray, np.nda
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE,
                    block_bytes: int = BLOCK_BYTES, id_column: str = "doc_id") -> DataFrame:
-    """Per document row: doc_id, n_words, the hit words as a packed bitmap, and the ids of the items found."""
-    docs = texts(docs, F.lit(None).cast("binary").alias("hits"), F.array().cast("array<string>").alias("items"), key=id_column)
+    """Per document row: doc_id, fp (hash of the text), n_words, the hit words as a packed bitmap, and the ids of the items found."""
+    docs = texts(docs, F.xxhash64(F.col("text").cast("string")).alias("fp"), F.lit(None).cast("binary").alias("hits"), F.array().cast("array<string>").alias("items"), key=id_column)
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string").alias("text")).filter("text is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, ceil(1.2 * size / block_bytes))
@@ -191,10 +191,10 @@ def _scan(docs: DataFrame, index, items: list[list[str]], keep_text: bool) -> Da
             if old is not None:
                 own = own | (np.unpackbits(np.frombuffer(old, np.uint8), count=len(own)) > 0)
             marks.append(np.packbits(own).tobytes())
-        out = {"doc_id": piece.column("doc_id"), "n_words": words.count.astype(np.int64), "hits": pa.array(marks, pa.binary()),
+        out = {"doc_id": piece.column("doc_id"), "fp": piece.column("fp"), "n_words": words.count.astype(np.int64), "hits": pa.array(marks, pa.binary()),
                "items": pa.array([sorted(x) for x in got], pa.list_(pa.string()))}
         return out | ({"text": piece.column("text")} if keep_text else {})
-    return map_slices(docs, work, "doc_id long, n_words long, hits binary, items array<string>" + (", text string" if keep_text else ""))
+    return map_slices(docs, work, "doc_id long, fp long, n_words long, hits binary, items array<string>" + (", text string" if keep_text else ""))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, share: int = SHARE) -> DataFrame:
@@ -206,14 +206,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, share: int = SHARE) ->
             hits = [int(np.unpackbits(np.frombuffer(x, np.uint8)).sum()) for x in batch.column("hits").to_pylist()]
             ids = batch.column("items").to_pylist()
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"), "n_words": batch.column("n_words"), "n_hit": pa.array(hits, pa.int64()),
+                "doc_id": batch.column("doc_id"), "fp": batch.column("fp"), "n_words": batch.column("n_words"), "n_hit": pa.array(hits, pa.int64()),
                 "n_items": pa.array([len(x) for x in ids], pa.int64()),
                 "items_sha256": [hashlib.sha256(",".join(x).encode()).hexdigest() for x in ids],
                 "items": batch.column("items")})
-    out = found.mapInArrow(count, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, items array<string>")
+    out = found.mapInArrow(count, "doc_id long, fp long, n_words long, n_hit long, n_items long, items_sha256 string, items array<string>")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: int = SHARE) -> DataFrame:
+    """The rows that are not contaminated, with all their columns."""
+    found = contamination(docs, benchmark, share).filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")).distinct()
+    own = docs.withColumn("_own", F.xxhash64(F.col("text").cast("string")))
+    match = (F.col("_own") == F.col("_fp")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+    return own.join(staged(found), match, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+
+
 SQL = r"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -240,4 +248,4 @@ FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)"""
 
 @query("op9_decontamination", SQL)
 def op9(spark: SparkSession, sf: str) -> DataFrame:
-    return contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("items")
+    return contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("items", "fp")
