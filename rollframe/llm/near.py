@@ -9,14 +9,17 @@ similarity of the texts.
 
 1. Equal word sequences are one node from here on, so exact copies cost one partial row each.
 2. ``BANDS`` bands of ``ROWS`` registers put nodes into buckets. Every member of a bucket is
-   verified against the bucket's smallest node only: a star, not all pairs.
-3. Verified links are joined into components. Where members of one bucket are still apart,
-   the pairs across components are verified too, unless their distances from the common
-   node differ by more than the threshold allows (one minus this similarity is a metric).
-   So every linked pair that shares a bucket ends in one component.
+   verified against the bucket's most central node only (the one that meets most others in
+   all its buckets): a star, not all pairs.
+3. Verified links are joined into components. Members of one bucket that are still apart get
+   a long sketch (one bit of each of ``SKETCH_BITS`` registers). Pairs across components are
+   verified (in the first bucket they share) where the sketches differ in no more bits than linked texts do, and the distances
+   from the common node differ by no more than the threshold allows (one minus this
+   similarity is a metric).
 4. Verification is exact: shingles are made anew from both texts.
 
-A pair at similarity 0.8 misses all buckets with probability (1 - 0.8**4)**24, 3 in a million.
+A pair at similarity 0.8 misses all buckets with probability (1 - 0.8**4)**24, 3 in a million;
+if it has to be found in step 3, the sketch turns it away with 3 in 100,000 (four deviations).
 
 Defined cases: null and wordless texts are alone; texts of fewer than five words are one run;
 rows that share an id, or have none, are told apart by their text; repeated rows are copies;
@@ -39,6 +42,9 @@ THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
 #: Registers: a prime, so that every stride visits all of them; the last is in no band.
 REGISTERS = 97
+#: Bits of the long sketch, from as many registers of a larger prime number of them.
+SKETCH_BITS, SKETCH_REGISTERS = 2048, 2053
+DEVIATIONS = 4
 SEED = 0x5851F42D4C957F2D
 
 
@@ -135,14 +141,38 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_slices(with_texts, work, "a long, b long, similarity double")
 
 
+def sketch(texts: DataFrame) -> DataFrame:
+    """id and the long sketch of its text as columns of 64 bits."""
+    longs = SKETCH_BITS // 64
+
+    def work(piece):
+        out = []
+        for at in range(0, piece.num_rows, 256):
+            part = piece.slice(at, 256)
+            words = Words(part.column("text"), LETTER_OR_DIGIT, True)
+            held = signatures(*shingles(words, words.hashes()), part.num_rows, SKETCH_REGISTERS)[:, :SKETCH_BITS]
+            out.append(np.packbits((mix(held) & np.uint64(1)).astype(bool), axis=1).view(np.int64))
+        return {"id": piece.column("id")} | {f"s{i}": c for i, c in enumerate(np.concatenate(out).T.copy())}
+    return map_slices(texts, work, "id long, " + ", ".join(f"s{i} long" for i in range(longs)))
+
+
+def most_differing(threshold: float) -> int:
+    """Sketch bits in which texts at the threshold differ at most, but for rare chance."""
+    agree = (1 + threshold) / 2
+    return int(SKETCH_BITS * (1 - agree) + DEVIATIONS * (SKETCH_BITS * agree * (1 - agree)) ** 0.5)
+
+
 def find_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Signed rows, and the class of every node: node, class_node, both as byte keys."""
     signed = staged(sign(docs))
     nodes = staged(signed.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "fp", "bands")).alias("one"))
                    .select("node", "one.*").withColumn("id", F.monotonically_increasing_id()))
     exploded = nodes.select("id", F.explode("bands").alias("bucket"))
-    stars = exploded.groupBy("bucket").agg(F.min("id").alias("center"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    members = staged(exploded.join(stars, "bucket"))
+    shared = staged(exploded.join(exploded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "bucket"))
+    weights = shared.groupBy("id").agg(F.sum("n").alias("weight"))
+    weighted = staged(shared.join(weights, "id").select("bucket", "id", "weight"))
+    centers = weighted.groupBy("bucket").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("center"))
+    members = staged(weighted.drop("weight").join(centers, "bucket"))
     pairs = staged(members.filter("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     carriers = nodes.join(wanted, "id", "left_semi").select("id", F.col("doc_id").alias("at"), F.col("fp").alias("at_fp"))
@@ -159,11 +189,17 @@ def find_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFra
     near = checked.select(F.col("a").alias("center"), F.col("b").alias("id"), "similarity")
     open_ = staged(apart.join(mixed, "bucket", "left_semi").join(near, ["center", "id"], "left")
                    .select("bucket", "id", "root", "center", F.coalesce("similarity", F.lit(1.0)).alias("similarity")))
-    left = open_.filter("id <> center")
-    right = left.select("bucket", F.col("id").alias("id2"), F.col("root").alias("root2"), F.col("similarity").alias("similarity2"))
+    outside = open_.filter("id <> center")
+    wanted = outside.select("id").distinct()
+    sketches = staged(sketch(texts.join(wanted, "id", "left_semi")))
+    left = outside.drop("center").join(sketches, "id").join(nodes.select("id", "bands"), "id")
+    right = left.select("bucket", *[F.col(c).alias(f"{c}_2") for c in left.columns if c != "bucket"])
+    differ = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"s{i}_2"))) for i in range(SKETCH_BITS // 64)), F.lit(0))
+    first_shared = F.get(F.filter(F.zip_with("bands", "bands_2", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), 0)
     across = left.join(right, "bucket").filter(
-        (F.col("root") < F.col("root2")) & (F.abs(F.col("similarity") - F.col("similarity2")) <= 1 - threshold + 1e-9)).select(
-        F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+        (F.col("root") < F.col("root_2")) & (F.abs(F.col("similarity") - F.col("similarity_2")) <= 1 - threshold + 1e-9)
+        & (differ <= most_differing(threshold)) & (first_shared == F.col("bucket"))).select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b")).distinct()
+    across = staged(across)
     more = verify(across, texts).filter(F.col("similarity") >= threshold).select("a", "b")
     every = links.unionByName(staged(more))
     found = staged(components(every))
