@@ -146,7 +146,8 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, seed: int = SEED) ->
     found = dealt.mapInArrow(_scan, "doc long, at long, first boolean")
     if hot:
         busy = rows.filter(is_hot)
-        first = busy.groupBy("anchor", "extent").agg(F.min(F.struct("doc", "at")).alias("one"))
+        # Written first, so that the join's two sides are dealt by its keys alone and a hot key can be split.
+        first = staged(busy.groupBy("anchor", "extent").agg(F.min(F.struct("doc", "at")).alias("one")))
         found = found.unionByName(busy.join(first, ["anchor", "extent"]).select(
             "doc", "at", (F.struct("doc", "at") == F.col("one")).alias("first")))
     found = staged(found)
