@@ -74,10 +74,12 @@ def buckets(data: np.ndarray) -> np.ndarray:
     return (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - 14)
 
 
-def _grams(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of every text, and where each text's begin; other signs count as blanks."""
+def _grams(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of all bytes on, and the range of each text's own; other signs count as blanks."""
     data = np.where(LETTER_OR_DIGIT[FOLD[words.data]], FOLD[words.data], np.uint8(0x20))
-    return buckets(data), np.minimum(words.offsets, max(len(data) - NGRAM + 1, 0))
+    start = words.offsets[:-1]
+    end = np.maximum(words.offsets[1:] - NGRAM + 1, start)
+    return buckets(data), np.where(end > start, start, 0), np.where(end > start, end, 0)
 
 
 def train(docs: DataFrame, smooth: float = 0.5) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -93,9 +95,10 @@ def train(docs: DataFrame, smooth: float = 0.5) -> tuple[list[str], np.ndarray,
 
     def count(piece):
         words = Words(piece.column("text"), LETTER_OR_DIGIT, True)
-        grams, first = _grams(words)
-        lang = np.array([place[x] for x in piece.column("lang").to_pylist()])
-        every = np.bincount(np.repeat(lang, np.diff(first)) * BUCKETS + grams[: first[-1]], minlength=1)
+        grams, start, end = _grams(words)
+        lang, n = np.array([place[x] for x in piece.column("lang").to_pylist()], np.int64), end - start
+        at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+        every = np.bincount(np.repeat(lang, n) * BUCKETS + grams[at], minlength=1)
         some = np.flatnonzero(every)
         return {"cell": some.astype(np.int64), "n": every[some].astype(np.int64)}
     cells = map_slices(labelled, count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
@@ -114,11 +117,11 @@ def evidence(pages: DataFrame, langs: list[str], table_: np.ndarray, effective:
         raw = [x or "" for x in piece.column("text").to_pylist()]
         where = [address(u or "") for u in piece.column("url").to_pylist()]
         words = Words(pa.array([visible(x) for x in raw], pa.large_string()), LETTER_OR_DIGIT, True)
-        grams, first = _grams(words)
-        n, total = np.diff(first)[:, None], np.zeros((piece.num_rows, len(shared.value)))
+        grams, start, end = _grams(words)
+        n, total = (end - start)[:, None], np.zeros((piece.num_rows, len(shared.value)))
         for j, own in enumerate(shared.value):
             sums = np.concatenate([[0.0], np.cumsum(own[grams])])
-            total[:, j] = sums[first[1:]] - sums[first[:-1]]
+            total[:, j] = sums[end] - sums[start]
         total = total / np.maximum(n, 1) * np.minimum(n, effective)
         best = [int(r.argmax()) if k else None for r, k in zip(total, n[:, 0])]
         return {"page_id": piece.column("page_id"), "host": [w[0] for w in where], "domain": [w[1] for w in where], "suffix": [w[2] for w in where],

@@ -48,7 +48,7 @@ TEMPLATES: list[tuple[str, str, list[str]]] = [
     ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by", ["creative commons attribution 4 0"]),
     ("all rights reserved", "reserved", ["all rights reserved"]),
 ]
-INDEXED = 5
+INDEXED = 3
 #: Share of a template's indexed weight that makes a start a candidate.
 SHARE = 0.6
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

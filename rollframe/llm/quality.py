@@ -33,6 +33,8 @@ NGRAMS = (3, 4)
 AGAIN = 2 * BUCKETS
 DIMS = 8
 EPOCHS = 8
+#: Small samples are gone over more often, up to so many steps.
+LEAST_STEPS = 1500
 BATCH = 32
 RATE = 0.5
 CUT = 0.3
@@ -144,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed, rows: int = SAMPLE_ROWS, ep
     y = np.array([r["label"] for r in got], np.int64)
     if len(set(y.tolist())) < 2:
         return Constant(counts[1] / sum(counts.values()) if sum(counts.values()) else 0.5)
-    model = Model()
+    model, epochs = Model(), max(epochs, LEAST_STEPS * BATCH // len(got))
     model.train([(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["share"], np.float32)) for r in got], y, epochs)
     return model.fold(prior_shift(counts, int(y.sum()), int((y == 0).sum())))
 
