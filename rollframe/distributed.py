@@ -15,6 +15,9 @@ from rollframe.session import stage
 
 SLICE = "_slice"
 FOLD_WIDTH = 64
+SLICE_BYTES = 256 << 20
+#: The planner multiplies sizes over joins, so its number is not followed beyond this.
+MOST_SLICES = 20_000
 
 
 def with_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -27,9 +30,16 @@ def with_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.withColumn("_row", value).select(*df.columns, *[F.col(f"_row.{c}").alias(c) for c in one_row.columns])
 
 
+def slice_count(df: DataFrame) -> int:
+    """Slices of about ``SLICE_BYTES``, by the planner's size of ``df``, but no fewer than shuffle partitions."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(MOST_SLICES, -(-size // SLICE_BYTES)))
+
+
 def ordered(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Range-partitioned copy of ``df`` with its slice number, fixed by staging."""
-    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = slice_count(df)
     ranged = df.repartitionByRange(slices, *[F.col(c) for c in [*keys, *order]])
     return stage(ranged.withColumn(SLICE, F.spark_partition_id()))
 
@@ -96,31 +106,49 @@ def in_order(rows: DataFrame, first: str, *rest: str) -> Column:
     return F.array_sort(items, lambda a, b: F.when(a[first] < b[first], -1).when(a[first] > b[first], 1).otherwise(0))
 
 
+def null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal names, taking null as a value; the result has the names once."""
+    renamed = right.select(*[F.col(c).alias(f"_on_{c}") for c in on], *[c for c in right.columns if c not in on])
+    match = F.lit(True)
+    for c in on:
+        match = match & F.col(c).eqNullSafe(F.col(f"_on_{c}"))
+    return left.join(renamed, match, how).drop(*[f"_on_{c}" for c in on])
+
+
 def affine_suffix(df: DataFrame, keys: list[str], index: str, value: Column, factor: Column,
                   max_index: int | None = None) -> DataFrame:
-    """Backward recurrence ``s(i) = value(i) + factor(i) * s(i+1)`` inside ``keys``.
+    """Backward recurrence ``s(i) = value(i) + factor(i) * s(next i)`` inside ``keys``.
 
     Adds ``suffix`` (s at the row) and ``after`` (s at the next row, 0 on the last one).
     Rows are folded in blocks of at most ``FOLD_WIDTH`` index values, and the blocks' own
-    totals are folded the same way, so no task ever holds a whole long key. When every
-    index fits in one block (the usual case) there is a single shuffle and no join. The
-    largest index is measured unless ``max_index`` states it; a larger one then fails the job.
+    totals are folded the same way, so no task ever holds a whole long key. The range of the
+    index decides how many levels that takes, and nothing else: the largest one is measured,
+    unless ``max_index`` states that it runs from 0 to that; any other index then fails the job.
+
+    Any whole numbers will do as index, with gaps too. A row without an index comes before
+    all others of its key; a null key is a key. An index that a key repeats fails the job.
     """
     if max_index is None:
-        top = df.agg(F.max(index)).first()[0]
+        low, high = df.agg(F.min(index), F.max(index)).first()
+        low, high = low or 0, high or 0
     else:
-        top = max_index
-        over = F.when(F.col(index) > max_index, F.raise_error(F.concat(
+        low, high = 0, max_index
+        over = F.when(~F.col(index).between(0, max_index), F.raise_error(F.concat(
             F.lit("index beyond max_index: "), F.col(index).cast("string"))).cast("boolean"))
         df = df.filter(over.isNull())
-    rows = df.withColumn("_v", value.cast("double")).withColumn("_f", factor.cast("double"))
-    return _fold(rows, keys, index, top or 0).drop("_v", "_f", "_b")
+    rows = df.withColumn("_v", value.cast("double")).withColumn("_f", factor.cast("double")).withColumn(
+        "_i", F.coalesce(F.col(index).cast("long") - F.lit(low) + 1, F.lit(0).cast("long")))
+    return _fold(rows, keys, "_i", high - low + 1).select(*df.columns, "suffix", "after")
 
 
 def _fold(rows: DataFrame, keys: list[str], index: str, top: int) -> DataFrame:
+    """Fold rows whose index runs from 0 to ``top``."""
     payload = [c for c in rows.columns if c not in keys and c not in (index, "_b")]
-    rows = rows.withColumn("_b", F.floor((F.col(index) - 1) / FOLD_WIDTH))
+    rows = rows.withColumn("_b", F.floor(F.col(index) / FOLD_WIDTH))
     packed = rows.groupBy(*keys, "_b").agg(in_order(rows, index, *payload).alias("_rows"))
+    repeated = F.size(F.array_distinct(F.transform("_rows", lambda r: r[index]))) < F.size("_rows")
+    packed = packed.withColumn("_rows", F.when(repeated, F.raise_error(F.concat(
+        F.lit("repeated index in "), F.to_json(F.struct(*keys))))).otherwise(F.col("_rows")))
 
     start = F.struct(F.lit(0.0).alias("s"), F.lit(1.0).alias("p"))
 
@@ -130,12 +158,12 @@ def _fold(rows: DataFrame, keys: list[str], index: str, top: int) -> DataFrame:
             lambda a, r: F.struct((r["_v"] + r["_f"] * a["s"]).alias("s"), (r["_f"] * a["p"]).alias("p")))
 
     packed = packed.withColumn("_in", F.transform("_rows", tail_from))
-    if top > FOLD_WIDTH:
-        blocks = packed.select(*keys, (F.col("_b") + 1).alias("_i"),
+    if top >= FOLD_WIDTH:
+        blocks = packed.select(*keys, F.col("_b").alias("_i"),
                                F.col("_in")[0]["s"].alias("_v"), F.col("_in")[0]["p"].alias("_f"))
-        carries = _fold(blocks, keys, "_i", top // FOLD_WIDTH + 1).select(
-            *keys, (F.col("_i") - 1).alias("_b"), F.col("after").alias("_carry"))
-        packed = packed.join(carries, [*keys, "_b"])
+        carries = _fold(blocks, keys, "_i", top // FOLD_WIDTH).select(
+            *keys, F.col("_i").alias("_b"), F.col("after").alias("_carry"))
+        packed = null_safe(packed, carries, [*keys, "_b"])
     else:
         packed = packed.withColumn("_carry", F.lit(0.0))
     # What follows a row is the tail of the next one.
@@ -154,7 +182,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
     ranked = running(ordered(counts, keys, [value]), keys, [value], {"_hi": F.col("_n")})
     total = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    ranked = ranked.join(total, keys) if keys else with_row(ranked, total)
+    ranked = null_safe(ranked, total, keys) if keys else with_row(ranked, total)
     picks = []
     for name, p in probs.items():
         spot = F.lit(p) * (F.col("_total") - 1)

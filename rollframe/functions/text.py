@@ -203,11 +203,12 @@ def extract_sequence(text: Column, kind: str = "string", clean: str | None = Non
 
 
 def error_pattern(line: Column) -> Column:
-    """An error line with dates, numbers and paths folded, at most 100 characters."""
+    """An error line with dates, numbers and paths folded, whole."""
+    # What is folded, and the marks put in its place.
     folded = F.regexp_replace(F.lower(line), r"\d{4}-\d{2}-\d{2}", "")
     folded = F.regexp_replace(folded, r"\b\d+\b", "<N>")
     folded = F.regexp_replace(folded, r"/[^\s]+", "<PATH>")
-    return F.substring(strip(folded), 1, 100)
+    return strip(folded)
 
 
 def action_word(text: Column, words: list[str] = ACTION_WORDS) -> Column:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollframe.distributed import affine_suffix, with_row
+from rollframe.distributed import affine_suffix, null_safe, with_row
 from rollframe.functions import tokens as T
-from rollframe.operators.trajectories import KEY, TRAJECTORY, sequence_issues, sequence_stats
+from rollframe.operators.trajectories import KEY, TRAJECTORY, drop_copies, fail_on, sequence_issues, sequence_stats
 
 # Spread below which a group counts as constant, slack of the format gate.
 MIN_STD = 1e-6
@@ -54,13 +54,14 @@ def trajectory_scores(turns: DataFrame, mode: str = "outcome", reward: str = "tu
 
 
 def group_advantages(scores: DataFrame, group: str = "group_idx", score: str = "trajectory_score",
-                     sample_std: bool = False, normalize: bool = True, eps: float = 0.0) -> DataFrame:
+                     sample_std: bool = False, normalize: bool = True, eps: float = 0.0, min_std: float = MIN_STD) -> DataFrame:
     """Center each score by its group and divide by the group's spread.
 
     The group table is aggregated first and joined back, so a hot group is never one task.
     With ``sample_std`` this is the published group-relative form (a lone sample keeps its
-    score, ``eps`` is added to the spread); else the population form with zero for constant
-    groups.
+    score, ``eps`` is added to the spread); else the population form with zero for groups whose
+    spread is at most ``min_std``. Without ``normalize`` scores are centered and no more. A null
+    group is a group.
     """
     spread = F.stddev_samp(score) if sample_std else F.stddev_pop(score)
     stats = scores.groupBy(group).agg(F.avg(score).alias("group_mean"), spread.alias("group_std"),
@@ -71,16 +72,39 @@ def group_advantages(scores: DataFrame, group: str = "group_idx", score: str = "
         mean, std = F.when(lone, 0.0).otherwise(F.col("group_mean")), F.when(lone, 1.0).otherwise(F.col("group_std"))
         value = (F.col(score) - mean) / (std + eps) if normalize else F.col(score) - mean
     elif normalize:
-        value = F.when(F.col("group_std") <= MIN_STD, 0.0).otherwise(centered / F.col("group_std"))
+        value = F.when(F.col("group_std") <= min_std, 0.0).otherwise(centered / F.col("group_std"))
     else:
-        value = F.when(F.col("group_std") <= MIN_STD, 0.0).otherwise(centered)
-    return scores.join(stats, group).withColumn("advantage", value)
+        value = centered
+    return null_safe(scores, stats, [group]).withColumn("advantage", value)
+
+
+def whole_groups(scores: DataFrame, group: str = "group_idx", trajectory: str = "traj_idx", expected: int | None = None) -> DataFrame:
+    """Scores of the groups that are whole: no trajectory has an issue, and ids run from 0.
+
+    One broken or missing trajectory voids its group, as the others' baseline would be wrong.
+    """
+    stats = scores.groupBy(group).agg(
+        F.max(F.size("issues")).alias("_issues"), F.count("*").alias("_n"), F.min(trajectory).alias("_low"), F.max(trajectory).alias("_high"))
+    whole = (F.col("_issues") == 0) & (F.col("_low") == 0) & (F.col("_high") == F.col("_n") - 1)
+    if expected is not None:
+        whole = whole & (F.col("_n") == expected)
+    return null_safe(scores, stats.filter(whole).select(group), [group])
+
+
+def episode_advantages(turns: DataFrame, payload: list[str], mode: str = "outcome", strict: bool = False, **options) -> DataFrame:
+    """Group-relative advantages from raw rollout rows: fold copies, check, score, void broken groups.
+
+    With ``strict`` a broken trajectory fails the job instead of voiding its group.
+    """
+    unique = drop_copies(turns, payload)
+    scores = trajectory_scores(unique, mode, with_issues=True, **options)
+    return group_advantages(whole_groups(fail_on(scores) if strict else scores))
 
 
 def advantage_to_tokens(turns: DataFrame, advantages: DataFrame, mask: str = "response_mask") -> DataFrame:
     """Put the trajectory advantage on each valid token; an empty response is an error."""
     empty = F.when(T.mask_size(mask) == 0, F.raise_error(F.lit("turn has an empty response")).cast("boolean"))
-    joined = turns.join(advantages.select(*TRAJECTORY, "advantage"), TRAJECTORY)
+    joined = null_safe(turns, advantages.select(*TRAJECTORY, "advantage"), TRAJECTORY)
     return joined.filter(empty.isNull()).withColumn("advantages", T.spread(F.col("advantage"), mask))
 
 
@@ -93,7 +117,7 @@ def loss_weights(turns: DataFrame, mode: str, tokens: str = "tokens") -> DataFra
     if mode == "trajectory":
         per = active.groupBy(*TRAJECTORY).agg(F.sum(tokens).alias("_tokens"))
         total = per.agg(F.count("*").alias("_units"))
-        sized = active.join(per, TRAJECTORY)
+        sized = null_safe(active, per, TRAJECTORY)
     else:
         total = active.agg((F.sum(tokens) if mode == "token" else F.count("*")).alias("_units"))
         sized = active.withColumn("_tokens", F.lit(1) if mode == "token" else F.col(tokens))
@@ -122,19 +146,21 @@ def whiten(turns: DataFrame, advantage: str = "advantage", tokens: str = "tokens
            eps: float = 1e-8, bessel: bool = True, shift_mean: bool = True) -> DataFrame:
     """Whiten a per-turn value as if it stood on each of the turn's tokens."""
     a, n = F.col(advantage), F.col(tokens)
-    stats = turns.agg(F.sum(n).alias("_n"), F.sum(a * n).alias("_s"), F.sum(a * a * n).alias("_q"))
-    mean = F.col("_s") / F.col("_n")
-    var = F.col("_q") / F.col("_n") - mean * mean
+    # The mean first, then squared gaps from it: squares of the values themselves would cancel.
+    mean = turns.agg(F.sum(n).alias("_n"), (F.sum(a * n) / F.sum(n)).alias("_m"))
+    gaps = with_row(turns.select(a.alias("_a"), n.alias("_t")), mean).agg(
+        F.sum((F.col("_a") - F.col("_m")) * (F.col("_a") - F.col("_m")) * F.col("_t")).alias("_q"), F.first("_n").alias("_n"), F.first("_m").alias("_m"))
+    var = F.col("_q") / F.col("_n")
     if bessel:
-        var = F.when(F.col("_n") > 1, var * F.col("_n") / (F.col("_n") - 1)).otherwise(var)
-    white = (a - mean) / F.sqrt(var + F.lit(eps))
-    return with_row(turns, stats).withColumn(
-        "whitened", white if shift_mean else white + mean).drop("_n", "_s", "_q")
+        var = F.when(F.col("_n") > 1, F.col("_q") / (F.col("_n") - 1)).otherwise(var)
+    white = (a - F.col("_m")) / F.sqrt(var + F.lit(eps))
+    return with_row(turns, gaps).withColumn(
+        "whitened", white if shift_mean else white + F.col("_m")).drop("_n", "_m", "_q")
 
 
 def back_to_copies(all_rows: DataFrame, unique: DataFrame, columns: list[str]) -> DataFrame:
     """Give every padded copy the results computed on the row it copies."""
-    return all_rows.join(unique.select(*KEY, *columns), KEY)
+    return null_safe(all_rows, unique.select(*KEY, *columns), KEY)
 
 
 def advantage_diagnostics(turns: DataFrame, scores: DataFrame, dropped_groups: Column | int = 0) -> DataFrame:

@@ -11,8 +11,6 @@ from rollframe.operators.trajectories import assign_ids, issues
 
 # Fixed value: the artifact type an export must carry.
 EXPORT_ARTIFACT = "fsdp_lora_checkpoint_export"
-# Up to this many rows a plain top-k is cheap; beyond it rows are ranked in slices.
-SMALL_TOP = 100_000
 
 
 def candidate_issues(candidates: DataFrame) -> DataFrame:
@@ -181,8 +179,7 @@ def fingerprint(content: Column) -> Column:
     return F.substring(F.sha2(content, 256), 1, 16)
 
 
-def select_disjoint(candidates: DataFrame, order: str, count: int, excluded: DataFrame | None = None,
-                    max_candidates: int = 200_000) -> DataFrame:
+def select_disjoint(candidates: DataFrame, order: str, count: int, excluded: DataFrame | None = None) -> DataFrame:
     """The first ``count`` candidates in order whose fingerprint is new and not excluded.
 
     The same choice as examining candidates one by one: only the first holder of a
@@ -190,15 +187,10 @@ def select_disjoint(candidates: DataFrame, order: str, count: int, excluded: Dat
     """
     if count <= 0:
         raise ValueError("count must be positive")
-    if candidates.count() > max_candidates:
-        candidates = row_numbers(candidates, [], [order], "_pos").filter(F.col("_pos") <= max_candidates)
     first = candidates.groupBy("fingerprint").agg(F.min(order).alias(order))
     if excluded is not None:
         first = first.join(excluded.select("fingerprint").distinct(), "fingerprint", "left_anti")
-    if count <= SMALL_TOP:
-        chosen = first.orderBy(order).limit(count)
-    else:
-        chosen = row_numbers(first, [], [order], "_pos").filter(F.col("_pos") <= count)
+    chosen = row_numbers(first, [], [order], "_pos").filter(F.col("_pos") <= count)
     total = chosen.agg(F.count("*").alias("_n"))
     short = F.when(F.col("_n") < count, F.raise_error(F.concat(
         F.lit("not enough disjoint items: "), F.col("_n").cast("string"))).cast("boolean"))

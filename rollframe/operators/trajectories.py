@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollframe.distributed import SLICE, affine_suffix, in_order, ordered, running
+from rollframe.distributed import SLICE, affine_suffix, in_order, null_safe, ordered, running
 
 KEY = ["group_idx", "traj_idx", "turn_idx"]
 TRAJECTORY = ["group_idx", "traj_idx"]
@@ -67,7 +67,7 @@ def drop_copies_ungrouped(turns: DataFrame, payload: list[str], row_id: str, str
 def first_copy_mask(turns: DataFrame, order: str, mask: str | None = None, key: list[str] = KEY) -> DataFrame:
     """Flag the first copy of each key; with ``mask``, zero the mask of the later ones."""
     first = turns.groupBy(*key).agg(F.min(order).alias("_first"))
-    flagged = turns.join(first, key).withColumn("is_first", F.col(order) == F.col("_first")).drop("_first")
+    flagged = null_safe(turns, first, key).withColumn("is_first", F.col(order) == F.col("_first")).drop("_first")
     if mask:
         flagged = flagged.withColumn(mask, F.when(F.col("is_first"), F.col(mask)).otherwise(
             F.transform(mask, lambda m: F.lit(0).cast("int"))))
@@ -117,7 +117,8 @@ def group_report(trajectories: DataFrame, expected: int | None = None) -> DataFr
 
 def keep_whole_groups(turns: DataFrame, report: DataFrame) -> DataFrame:
     """Drop every row of a group that has an issue."""
-    return turns.join(report.filter(F.size("issues") > 0).select("group_idx"), "group_idx", "left_anti")
+    bad = report.filter(F.size("issues") > 0).select(F.col("group_idx").alias("_bad"))
+    return turns.join(bad, F.col("group_idx").eqNullSafe(F.col("_bad")), "left_anti")
 
 
 def assign_ids(tasks: DataFrame, uid: str, order: list[str], name: str = "traj_idx") -> DataFrame:
@@ -155,19 +156,19 @@ def return_to_go(turns: DataFrame, score: str = "score", max_turns: int | None =
         "suffix", "return_to_go").drop("after")
 
 
-def concat_segments(turns: DataFrame, width: int = 64) -> DataFrame:
+def concat_segments(turns: DataFrame, width: int | None = None) -> DataFrame:
     """Join the turns of a trajectory into token sequences.
 
     A turn contributes its own prompt (masked out, score 0; the first turn's prompt stays
-    apart) and its response. Every ``width`` turns start a new segment, so ordinary
-    trajectories come out as one row and a very long one as numbered rows; nothing is cut.
+    apart) and its response. A trajectory is one row, whatever its length. With ``width``,
+    every so many turns start a new segment, and rows are told apart by ``segment``.
     Expects trimmed ``prompts``, ``responses``, ``response_mask``, ``rm_scores`` and
     optionally ``image_data`` and ``extra``.
     """
     first = F.col("turn_idx") <= 1
     zeros = F.transform("prompts", lambda p: F.lit(0))
     body = turns.select(
-        *TRAJECTORY, "turn_idx", F.floor((F.greatest("turn_idx", F.lit(1)) - 1) / width).cast("int").alias("segment"),
+        *TRAJECTORY, "turn_idx", (F.floor((F.greatest("turn_idx", F.lit(1)) - 1) / width) if width else F.lit(0)).cast("int").alias("segment"),
         F.when(first, F.col("prompts")).alias("prompt"),
         F.when(first, F.col("responses")).otherwise(F.concat("prompts", "responses")).alias("r"),
         F.when(first, F.col("response_mask")).otherwise(F.concat(zeros, F.col("response_mask"))).alias("m"),

@@ -25,9 +25,12 @@ def query(key: str, oracle: str | None = None):
 
 
 def tidy(df: DataFrame) -> DataFrame:
-    """Round floating columns so that the order of additions does not show."""
+    """Round floating columns so that the order of additions does not show.
+
+    Rounding to twelve digits first puts values that are ties but for it back on the tie.
+    """
     return df.select(*[
-        (F.round(F.col(f"`{n}`"), 6) + F.lit(0.0)).alias(n) if t in ("double", "float") else F.col(f"`{n}`")
+        (F.round(F.round(F.col(f"`{n}`"), 12), 6) + F.lit(0.0)).alias(n) if t in ("double", "float") else F.col(f"`{n}`")
         for n, t in df.dtypes])
 
 
@@ -42,7 +45,7 @@ def enough_tasks(df: DataFrame) -> DataFrame:
 
 def r6(expr: str) -> str:
     """The same rounding in SQL text."""
-    return f"(round(CAST({expr} AS DOUBLE), 6) + 0.0)"
+    return f"(round(round(CAST({expr} AS DOUBLE), 12), 6) + 0.0)"
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:

@@ -175,7 +175,7 @@ def fai2_details(spark, sf):
 WORDS = ["license", "copyright", "password", "key", "http", "error"]
 _HIT = " OR ".join(f"contains(line, '{w}')" for w in WORDS)
 ERRORS = rf"""lines AS (SELECT doc_id, unnest(string_split(lower(text), chr(10))) AS line FROM documents), pat AS (
-  SELECT doc_id, substr({{strip}}, 1, 100) AS pattern FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(line,
+  SELECT doc_id, {{strip}} AS pattern FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(line,
     '\d{{{{4}}}}-\d{{{{2}}}}-\d{{{{2}}}}', '', 'g'), '\b\d+\b', '<N>', 'g'), '/[^\s]+', '<PATH>', 'g') AS p FROM lines WHERE {_HIT}))
 , top AS (SELECT pattern, count(*) AS lines FROM pat WHERE pattern <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)""".format(
     strip=r"regexp_replace(p, '^\s+|\s+$', '', 'g')").replace("{{", "{").replace("}}", "}")

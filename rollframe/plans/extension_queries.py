@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from rollframe import registry
 from rollframe.functions import scoring
-from rollframe.operators import contracts
+from rollframe.operators import contracts, credit
 from rollframe.plans import views
 from rollframe.plans.catalog import query, r6, table
-from rollframe.plans.trajectory_queries import GROUPS, SCORES, trajectory_rewards
+from rollframe.plans.trajectory_queries import GAE, GROUPS, SCORES, WHOLE, cut_rollouts, trajectory_rewards
 
 
 @query("GRP6", f"WITH {GROUPS} SELECT 'custom_metrics/reward_variance' AS metric, {r6('coalesce(avg(variance), 0)')} AS metric_value FROM gv")
@@ -30,12 +30,24 @@ def ext2(spark, sf):
     return registry.metrics.get("reward_variance")(trajectory_rewards(spark, sf), ddof=1)
 
 
-@query("EXT3", "WITH " + SCORES + f"""
+@query("EXT3", "WITH " + SCORES + WHOLE + f"""
 , g AS (SELECT group_idx, avg(outcome) AS m, stddev_pop(outcome) AS s FROM scored GROUP BY 1)
-SELECT group_idx, traj_idx, turn_idx, {r6('CASE WHEN s <= 1e-6 THEN 0.0 ELSE (outcome - m) / s END')} AS advantage FROM turns JOIN scored USING (group_idx, traj_idx) JOIN g USING (group_idx)""")
+SELECT group_idx, traj_idx, turn_idx, CAST(copy_no AS BIGINT) AS copy_no, {r6('CASE WHEN s <= 1e-6 THEN 0.0 ELSE (outcome - m) / s END')} AS advantage
+FROM (SELECT *, 0 AS copy_no FROM left_ UNION ALL SELECT *, 1 FROM left_ WHERE copied) p JOIN scored USING (group_idx, traj_idx) JOIN g USING (group_idx) JOIN ok USING (group_idx)""")
 def ext3(spark, sf):
-    out = registry.estimators.get("no_concat_episode_grpo")(views.turns(spark, sf))
-    return out.select("group_idx", "traj_idx", "turn_idx", "advantage")
+    out = registry.estimators.get("no_concat_episode_grpo")(cut_rollouts(spark, sf))
+    return out.select("group_idx", "traj_idx", "turn_idx", F.col("copy_no").cast("long"), "advantage")
+
+
+@query("EXT3_gae", "WITH " + GAE + f"""
+, s AS (SELECT sum(tokens) AS n, sum(tokens * advantage) / sum(tokens) AS mu FROM gae)
+, v AS (SELECT sum(tokens * (advantage - s.mu) * (advantage - s.mu)) / (any_value(s.n) - 1) AS var FROM gae, s)
+SELECT p.group_idx, p.traj_idx, p.turn_idx, CAST(copy_no AS BIGINT) AS copy_no, {r6('(gae.advantage - s.mu) / sqrt(v.var + 1e-8)')} AS advantage
+FROM (SELECT *, 0 AS copy_no FROM turns UNION ALL SELECT *, 1 FROM turns WHERE copied) p
+JOIN gae ON p.group_idx = gae.group_idx AND p.traj_idx = gae.traj_idx AND p.turn_idx = gae.turn_idx, s, v""")
+def ext3_gae(spark, sf):
+    out = registry.estimators.get("no_concat_gae")(views.turns_padded(spark, sf), gamma=0.99, lam=0.95)
+    return out.select(*credit.KEY, F.col("copy_no").cast("long"), "advantage")
 
 
 @query("EXT4", f"SELECT event_id, {r6('CASE WHEN event_id % 2 = 0 THEN length(event_type) ELSE 1 END')} AS score FROM events")

@@ -104,10 +104,8 @@ def fin3(spark, sf):
     return lineage_inputs(spark, sf)[3].withColumn("issues", F.concat_ws("; ", "issues"))
 
 
-# Final aggregates need complete groups, so breaks are taken from one method only.
-_OPEN = "method = 'no_concat_gae' AND len(issues) > 0"
-FINALS = RECORDS + f""", k AS (SELECT environment, method, c % 6 AS seed_, CASE WHEN {_OPEN} THEN 1 ELSE 0 END AS open_, * EXCLUDE (environment, method) FROM rec WHERE c % 17 <> 0 AND c % 19 <> 0)
-, one AS (SELECT environment, method, seed, min(c) AS c FROM k GROUP BY 1, 2, 3), f AS (SELECT k.* FROM k JOIN one USING (environment, method, seed, c))
+# Nine customers in a row hold each method with each seed once; they stand for an environment.
+FINALS = RECORDS + """, f AS (SELECT concat('block', c // 9) AS environment, CASE WHEN len(issues) > 0 THEN 1 ELSE 0 END AS open_, * EXCLUDE (environment) FROM rec)
 , g AS (SELECT environment, method, count(*) AS runs, count(DISTINCT seed) AS n_seeds, sum(open_) AS open_, CAST(sum(successes) AS DOUBLE) AS s, CAST(sum(episodes) AS DOUBLE) AS n,
    avg(CASE WHEN episodes > 0 THEN successes / episodes END) AS macro, coalesce(stddev_samp(CASE WHEN episodes > 0 THEN successes / episodes END), 0) AS std, sum(turn_sum) / nullif(sum(successes), 0) AS turns,
    max(vram) AS vram, avg(hours) AS hours, sum(hours) AS total, arg_max(p95, round(abs(p95 - 1), 9)) AS p95, arg_max(p99, round(abs(p99 - 1), 9)) AS p99, max(delta) AS delta, bool_and(gate) AS gate
@@ -115,11 +113,8 @@ FINALS = RECORDS + f""", k AS (SELECT environment, method, c % 6 AS seed_, CASE
 
 
 def finals(spark, sf):
-    rec = records(spark, sf).withColumn("c", F.substring("run", 5, 20).cast("long")).filter("c % 17 <> 0 AND c % 19 <> 0")
-    one = rec.groupBy("environment", "method", "seed").agg(F.min("c").alias("c"))
-    rec = rec.join(one, ["environment", "method", "seed", "c"], "left_semi").withColumn(
-        "status", F.when(F.col("method") == "no_concat_gae", F.col("status")).otherwise("complete"))
-    return S.final_aggregates(rec, [0, 1, 2])
+    block = F.floor(F.substring("run", 5, 20).cast("long") / 9)
+    return S.final_aggregates(records(spark, sf).withColumn("environment", F.concat(F.lit("block"), block.cast("string"))), [0, 1, 2])
 
 
 from rollframe.plans.statistics_queries import wilson_sql  # noqa: E402
@@ -137,7 +132,7 @@ def fin4(spark, sf):
     return finals(spark, sf).drop("issues")
 
 
-_GRID_E, _GRID_M = ["automobile", "building", "furniture", "machinery", "household", "garden"], ["concat_grpo", "no_concat_gae", "no_concat_episode_grpo"]
+_GRID_E, _GRID_M = ["block0", "block1", "block2", "block3", "block4", "block5", "garden"], ["concat_grpo", "no_concat_gae", "no_concat_episode_grpo"]
 GRID = FINALS + f""", want AS (SELECT unnest({_GRID_E}) AS environment), wantm AS (SELECT unnest({_GRID_M}) AS method)
 , grid AS (SELECT environment, method, coalesce(CASE WHEN d.ok THEN 'complete' WHEN d.ok IS NOT NULL THEN 'incomplete-artifacts' END, 'incomplete-artifacts') AS status,
    CASE WHEN d.ok IS NULL THEN 'missing' WHEN w.environment IS NULL THEN 'unexpected' ELSE 'present' END AS presence

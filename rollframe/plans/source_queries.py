@@ -45,7 +45,7 @@ def src1(spark, sf):
 @query("SRC2", f"WITH {views.TURNS} SELECT step, CAST(count(*) AS BIGINT) AS rows FROM turns WHERE {_KEPT} GROUP BY 1")
 def src2(spark, sf):
     rows = R.parse_rollout_lines(rollout_lines(spark, sf))
-    return R.strict_rows(rows.filter("_bad IS NULL")).filter("step IS NOT NULL").groupBy("step").agg(F.count("*").alias("rows"))
+    return rows.filter("_bad IS NULL AND step IS NOT NULL").groupBy("step").agg(F.count("*").alias("rows"))
 
 
 FILES = """files AS (SELECT concat('/runs/u', user_id, '/', CASE WHEN user_id % 3 = 0 AND event_id % 2 = 0 THEN 'validation' ELSE 'rollouts' END, '/', CASE WHEN event_id % 10 = 0 THEN 'last' ELSE CAST(event_id AS VARCHAR) END, '.jsonl') AS path,
@@ -220,9 +220,7 @@ def set6(spark, sf):
 
 @query("SRT1", f"WITH {views.TURNS} SELECT group_idx, traj_idx, string_agg(output, '' ORDER BY turn_idx) AS outputs FROM turns GROUP BY 1, 2")
 def srt1(spark, sf):
-    # Joined in segments of 64 turns; trajectories of this table fit one segment.
-    rows = views.turns(spark, sf).withColumn("segment", F.floor((F.col("turn_idx") - 1) / 64))
-    parts = rows.groupBy("group_idx", "traj_idx", "segment").agg(F.array_sort(F.collect_list(F.struct("turn_idx", "output"))).alias("p"))
+    parts = views.turns(spark, sf).groupBy("group_idx", "traj_idx").agg(F.array_sort(F.collect_list(F.struct("turn_idx", "output"))).alias("p"))
     return parts.select("group_idx", "traj_idx", F.array_join("p.output", "").alias("outputs"))
 
 
@@ -244,7 +242,7 @@ def srt3(spark, sf):
     return representative_failures(views.episodes(spark, sf), semantic_first=True).select("rollout_id", "num_turns")
 
 
-@query("SRT4", """SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events WHERE value >= 10 GROUP BY 1""")
+@query("SRT4", """SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY 1""")
 def srt4(spark, sf):
-    best = table(spark, sf, "events").filter("value >= 10").groupBy("user_id").agg(F.max(F.struct("event_id", "event_type")).alias("b"))
+    best = table(spark, sf, "events").groupBy("user_id").agg(F.max(F.struct("event_id", "event_type")).alias("b"))
     return best.select("user_id", "b.event_type", "b.event_id")

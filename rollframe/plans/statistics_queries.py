@@ -53,7 +53,7 @@ def sta1(spark, sf):
 @query("STA2")
 def sta2(spark, sf):
     won = views.episodes(spark, sf).filter("success")
-    return S.bootstrap_mean(won, ["method"], "num_turns", resamples=2000)
+    return S.bootstrap_mean(won, ["method"], "num_turns")
 
 
 _D = """(avg(num_turns) FILTER (success) - avg(num_turns) FILTER (NOT success)) / sqrt(((count(*) FILTER (success) - 1) * var_samp(num_turns) FILTER (success)
@@ -120,7 +120,7 @@ def sta6(spark, sf):
 
 @query("STA7")
 def sta7(spark, sf):
-    return S.compare_turns(with_mode(views.episodes(spark, sf)), "mode", MODES, resamples=2000)
+    return S.compare_turns(with_mode(views.episodes(spark, sf)), "mode", MODES)
 
 
 @query("STA7_effect", f"""WITH {views.EPISODES}, e AS (SELECT ['token', 'turn', 'trajectory', 'token', 'turn'][CAST(substr(method, 1, 1) AS INTEGER)] AS mode, CAST(num_turns AS DOUBLE) AS x FROM episodes WHERE success)
@@ -131,7 +131,7 @@ SELECT a.mode AS first, b.mode AS second, {r6('a.mu')} AS mean1, {r6('b.mu')} AS
   {r6('(a.mu - b.mu) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2))')} AS cohens_d
 FROM m a JOIN m b ON list_position(['token', 'turn', 'trajectory'], a.mode) < list_position(['token', 'turn', 'trajectory'], b.mode) JOIN u ON u.m1 = a.mode AND u.m2 = b.mode""")
 def sta7_effect(spark, sf):
-    return S.compare_turns(with_mode(views.episodes(spark, sf)), "mode", MODES, resamples=50).select(
+    return S.compare_turns(with_mode(views.episodes(spark, sf)), "mode", MODES).select(
         "first", "second", "mean1", "mean2", "u", "cohens_d")
 
 

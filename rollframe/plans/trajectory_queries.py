@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rollframe.distributed import with_row
+from rollframe.distributed import affine_suffix, row_numbers, with_row
 from rollframe.functions import tokens as T
 from rollframe.operators import credit, groups, parity, trajectories
 from rollframe.plans import views
@@ -108,18 +108,28 @@ SELECT group_idx, traj_idx, CAST(turns AS BIGINT) AS turns, {r6(_column)} AS tra
         lambda spark, sf, mode=_mode: scored(spark, sf, mode))
 
 
-@query("TRJ11", "WITH " + SCORES + f"""
+# Rollouts with lost turns and padded copies: a trajectory that lost a turn voids its group.
+CUT = "turn_idx = 2 AND row_key % 11 = 0"
+WHOLE = f""", left_ AS (SELECT * FROM turns WHERE NOT ({CUT})), tr AS (
+  SELECT group_idx, traj_idx, min(turn_idx) = 1 AND max(turn_idx) = count(*) AND count(*) FILTER (last_turn) = 1
+         AND max(turn_idx) FILTER (last_turn) = max(turn_idx) AS good FROM left_ GROUP BY 1, 2), ok AS (
+  SELECT group_idx FROM tr GROUP BY 1 HAVING bool_and(coalesce(good, false)) AND min(traj_idx) = 0 AND max(traj_idx) = count(*) - 1)"""
+
+
+def cut_rollouts(spark, sf):
+    return views.turns_padded(spark, sf).filter(f"NOT ({CUT})")
+
+
+@query("TRJ11", "WITH " + SCORES + WHOLE + f"""
 , g AS (SELECT group_idx, avg(bounded) AS m, stddev_pop(bounded) AS s FROM scored GROUP BY 1)
 SELECT group_idx, traj_idx, CAST(turns AS BIGINT) AS turns, {r6('bounded')} AS trajectory_score,
        {r6('CASE WHEN s <= 1e-6 THEN 0.0 ELSE (bounded - m) / s END')} AS advantage
-FROM scored JOIN g USING (group_idx)""")
+FROM scored JOIN g USING (group_idx) JOIN ok USING (group_idx)""")
 def trj11(spark, sf):
-    """Deduplicate, check, score and compare within groups: the flagship plan."""
-    unique = trajectories.drop_copies(views.turns_padded(spark, sf), PAYLOAD)
-    scores = credit.trajectory_scores(unique, "bounded_process", reward="score", success="traj_success", success_bonus=0.05,
-                                      with_issues=True)
-    whole = scores.filter(F.size("issues") == 0)
-    return credit.group_advantages(whole).select("group_idx", "traj_idx", "turns", "trajectory_score", "advantage")
+    """Deduplicate, check, void broken groups, score and compare within groups: the flagship plan."""
+    advantages = credit.episode_advantages(cut_rollouts(spark, sf), PAYLOAD, "bounded_process", reward="score", success="traj_success",
+                                           success_bonus=0.05)
+    return advantages.select("group_idx", "traj_idx", "turns", "trajectory_score", "advantage")
 
 
 @query("TRJ12", "WITH " + SCORES + f"""
@@ -240,6 +250,21 @@ def trj23(spark, sf):
     return trajectories.return_to_go(views.turns(spark, sf).select(*trajectories.KEY, "score")).drop("score")
 
 
+# All lines of a customer as one trajectory: far more turns than one block of the fold holds.
+LONG = """lines AS (
+  SELECT o_custkey AS c, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS i,
+         l_discount AS score FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+
+
+@query("TRJ23_long", f"""WITH {LONG} SELECT c, CAST(i AS BIGINT) AS i, {r6('sum(score) OVER (PARTITION BY c ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)')} AS return_to_go FROM lines""")
+def trj23_long(spark, sf):
+    order = ["o_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    lines = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("o_custkey").alias("c"), *order, "l_discount")
+    numbered = row_numbers(lines, ["c"], order, "i").select("c", (F.col("i") - 1).alias("i"), "l_discount")
+    return affine_suffix(numbered, ["c"], "i", F.col("l_discount"), F.lit(1.0)).select("c", "i", F.col("suffix").alias("return_to_go"))
+
+
 @query("TRJ24", "WITH " + views.TURNS + f"""
 , parts AS (SELECT *, CASE WHEN turn_idx = 1 THEN 0 ELSE tokens % 5 + 1 END AS prompt_len, tokens % 4 + 1 AS reply_len FROM turns)
 SELECT group_idx, traj_idx, CAST(count(*) AS INTEGER) AS turns, CAST(sum(prompt_len + reply_len) AS BIGINT) AS length,

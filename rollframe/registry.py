@@ -12,8 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollframe.distributed import with_row
+from rollframe.distributed import null_safe, with_row
+from rollframe.functions import tokens as T
 from rollframe.operators import credit, groups
+from rollframe.operators.trajectories import drop_copies
 
 log = logging.getLogger(__name__)
 
@@ -65,23 +67,56 @@ def reward_variance(rows: DataFrame, ddof: int = 0) -> DataFrame:
     return groups.mean_group_variance(rows, ddof=ddof)
 
 
+def _payload(turns: DataFrame) -> list[str]:
+    """The columns in which copies of a turn must agree."""
+    return [c for c in ("score", "value", "output", "last_turn", "traj_success") if c in turns.columns]
+
+
+def _turn_gae(turns: DataFrame, last: bool, gamma: float, lam: float, whiten: bool) -> DataFrame:
+    """Turn advantages on unique turns, whitened over valid tokens, given back to every copy.
+
+    A turn's value is column ``value``; where token ``values`` with a ``response_mask`` are
+    there instead, it is the one at the first or last valid token.
+    """
+    own = turns
+    if "values" in turns.columns and "value" not in turns.columns:
+        own = turns.withColumn("value", T.value_at_anchor("values", "response_mask", last=last))
+    slim = [c for c in (*credit.KEY, *_payload(own), "value", "tokens", "response_mask") if c in own.columns]
+    unique = drop_copies(own.select(*dict.fromkeys(slim)), _payload(own))
+    done = credit.generalized_advantages(unique, "score", "value", gamma, lam)
+    if whiten:
+        size = F.col("tokens") if "tokens" in own.columns else T.mask_size("response_mask") if "response_mask" in own.columns else F.lit(1)
+        done = credit.whiten(done.withColumn("_size", size), tokens="_size").withColumn("advantage", F.col("whitened"))
+    return credit.back_to_copies(turns, done, ["advantage", "turn_return"])
+
+
 @estimators.register("no_concat_gae")
-def turn_gae(turns: DataFrame, gamma: float = 1.0, lam: float = 1.0, **_) -> DataFrame:
-    return credit.generalized_advantages(turns, "score", "value", gamma, lam)
+def turn_gae(turns: DataFrame, gamma: float = 1.0, lam: float = 1.0, whiten: bool = True, **_) -> DataFrame:
+    return _turn_gae(turns, False, gamma, lam, whiten)
+
+
+@estimators.register("no_concat_gae_last")
+def turn_gae_last(turns: DataFrame, gamma: float = 1.0, lam: float = 1.0, whiten: bool = True, **_) -> DataFrame:
+    return _turn_gae(turns, True, gamma, lam, whiten)
+
+
+def _to_rows(turns: DataFrame, advantages: DataFrame) -> DataFrame:
+    adv = advantages.select(*credit.TRAJECTORY, "advantage")
+    return null_safe(turns, adv, credit.TRAJECTORY).withColumn("turn_return", F.col("advantage"))
 
 
 @estimators.register("no_concat_episode_grpo")
 def episode_relative(turns: DataFrame, **options) -> DataFrame:
-    scores = credit.trajectory_scores(turns, options.pop("mode", "outcome"), reward="score", success="traj_success", **options)
-    adv = credit.group_advantages(scores).select(*credit.TRAJECTORY, "advantage")
-    return turns.join(adv, credit.TRAJECTORY).withColumn("turn_return", F.col("advantage"))
+    """Rows of whole groups only: a broken trajectory voids its group."""
+    mode = options.pop("mode", "outcome")
+    return _to_rows(turns, credit.episode_advantages(turns, _payload(turns), mode, reward="score", success="traj_success", **options))
 
 
 @estimators.register("grpo")
 def group_relative(turns: DataFrame, eps: float = 1e-6, **_) -> DataFrame:
-    totals = turns.groupBy(*credit.TRAJECTORY).agg(F.sum("score").alias("trajectory_score"))
-    adv = credit.group_advantages(totals, sample_std=True, eps=eps).select(*credit.TRAJECTORY, "advantage")
-    return turns.join(adv, credit.TRAJECTORY).withColumn("turn_return", F.col("advantage"))
+    unique = drop_copies(turns.select(*dict.fromkeys([*credit.KEY, *_payload(turns)])), _payload(turns))
+    totals = unique.groupBy(*credit.TRAJECTORY).agg(F.sum("score").alias("trajectory_score"))
+    return _to_rows(turns, credit.group_advantages(totals, sample_std=True, eps=eps))
 
 
 def all_metrics(rows: DataFrame, prefix: str = "custom_metrics") -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
+_staged: dict[str, list[str]] = {}
 
 
 def build_session(app_name: str = "rollframe", master: str | None = None, **conf: str) -> SparkSession:
@@ -23,16 +25,21 @@ def build_session(app_name: str = "rollframe", master: str | None = None, **conf
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
+    if (master or "").startswith("local"):
+        defaults["spark.checkpoint.dir"] = tempfile.mkdtemp(prefix="spark-")
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a machine-local one only where the cluster names none."""
+    """The cluster's shared folder. A machine-local one will do only where there is one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^,]*(,[^,]*)?\])?", master):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all machines share: the master is {master}")
     app = spark.sparkContext.applicationId
     if app not in _local_dirs:
         _local_dirs[app] = tempfile.mkdtemp(prefix="spark-")
@@ -41,7 +48,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stage_path(spark: SparkSession, kind: str = "stage") -> str:
     """A fresh folder name below the shared folder."""
-    return f"{shared_dir(spark)}/rollframe-{kind}/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/rollframe-{kind}/{uuid.uuid4().hex}"
+    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all that this session has staged so far; results that still read it must be done."""
+    jvm, paths = spark.sparkContext._jvm, _staged.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return len(paths)
 
 
 def stage(df: DataFrame) -> DataFrame:
