@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,15 +55,27 @@ def stage_path(spark: SparkSession, kind: str = "stage") -> str:
     return path
 
 
-def release(spark: SparkSession) -> int:
-    """Delete all that this session has staged so far; results that still read it must be done."""
-    jvm, paths = spark.sparkContext._jvm, _staged.pop(spark.sparkContext.applicationId, [])
+def release(spark: SparkSession, since: int = 0) -> int:
+    """Delete what this session has staged (after the first ``since`` folders); nothing may read it any more."""
+    kept = _staged.get(spark.sparkContext.applicationId, [])
+    paths, kept[since:] = kept[since:], []
+    jvm = spark.sparkContext._jvm
     for path in paths:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
     return len(paths)
 
 
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what is staged inside; results have to be written or collected by then."""
+    before = len(_staged.get(spark.sparkContext.applicationId, []))
+    try:
+        yield
+    finally:
+        release(spark, before)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
