@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rollframe.distributed import SLICE, exact_quantiles, ordered, running, with_row
 from rollframe.operators.trajectories import issues, return_to_go
+from rollframe.session import stage
 
 # Default limits of the state-relative preflight.
 PREFLIGHT_LIMITS = {
@@ -43,7 +44,7 @@ def _ranked(variances: DataFrame, group: str) -> DataFrame:
 
 def top_k_groups(variances: DataFrame, share: float = 0.2, group: str = "group_idx") -> DataFrame:
     """The ``max(1, ceil(groups * share))`` groups of highest variance."""
-    ranked = _ranked(variances, group)
+    ranked = stage(_ranked(variances, group))
     total = ranked.agg(F.count("*").alias("_n"))
     keep = F.greatest(F.lit(1), F.ceil(F.col("_n") * F.lit(share)))
     return with_row(ranked, total).filter(F.col("rank") <= keep).drop("_n")
@@ -54,7 +55,7 @@ def top_p_groups(variances: DataFrame, share: float = 0.9, group: str = "group_i
 
     With zero total variance every group stays; the first group always does.
     """
-    ranked = _ranked(variances, group)
+    ranked = stage(_ranked(variances, group))
     total = ranked.agg(F.sum("variance").alias("total_variance"), F.count("*").alias("total_groups"))
     before = F.col("mass") - F.col("variance")
     limit = F.lit(share) * F.col("total_variance")

@@ -9,6 +9,7 @@ from rollframe.functions import tokens as T
 from rollframe.operators import credit, groups, parity, trajectories
 from rollframe.plans import views
 from rollframe.plans.catalog import query, r6, table
+from rollframe.session import stage
 
 PAYLOAD = ["score", "output", "last_turn", "traj_success"]
 
@@ -375,6 +376,24 @@ def grp1(spark, sf):
     return groups.mean_group_variance(trajectory_rewards(spark, sf))
 
 
+# The same over rows: every turn is a sample, its score is summed without a mask.
+ROWS = views.TURNS + """, rv AS (SELECT group_idx, coalesce(var_pop(score), 0) AS variance, count(*) AS samples FROM turns GROUP BY 1)
+, rr AS (SELECT *, sum(variance) OVER w AS mass, row_number() OVER w AS rank, sum(variance) OVER () AS total
+  FROM rv WINDOW w AS (ORDER BY round(variance, 12) DESC, group_idx ROWS UNBOUNDED PRECEDING))"""
+
+
+@query("GRP1_rows", f"WITH {ROWS} SELECT {r6('avg(variance)')} AS reward_variance FROM rv")
+def grp1_rows(spark, sf):
+    return groups.mean_group_variance(views.turns(spark, sf), reward="score")
+
+
+@query("GRP3_rows", f"""WITH {ROWS} SELECT group_idx, CAST(rank AS BIGINT) AS rank, CAST(samples AS BIGINT) AS samples, {r6('variance')} AS variance FROM rr
+WHERE total <= 0 OR rank = 1 OR mass - variance < 0.5 * total - 1e-12""")
+def grp3_rows(spark, sf):
+    kept = groups.top_p_groups(groups.group_variance(views.turns(spark, sf), reward="score"), 0.5)
+    return kept.select("group_idx", "rank", "samples", "variance")
+
+
 @query("GRP2", "WITH " + GROUPS + f"""
 SELECT group_idx, traj_idx, {r6('reward')} AS reward FROM traj
 WHERE group_idx IN (SELECT group_idx FROM ranked WHERE rank <= greatest(1, ceil(n * 0.2)))""")
@@ -390,7 +409,7 @@ SELECT group_idx, traj_idx, {r6('reward * sqrt((SELECT count(*) FROM kept) / (SE
 FROM traj WHERE group_idx IN (SELECT group_idx FROM kept)""")
 def grp3(spark, sf):
     rows = trajectory_rewards(spark, sf)
-    variances = groups.group_variance(rows)
+    variances = stage(groups.group_variance(rows))
     kept = groups.top_p_groups(variances, 0.9)
     scale = groups.filter_report(variances, kept).select("loss_scale")
     return with_row(groups.filter_rows(rows, kept), scale).select(
@@ -409,7 +428,7 @@ SELECT {r6('mean_before')} AS mean_before, {r6('min_before')} AS min_before, {r6
        CAST(groups_after AS BIGINT) AS groups_after, CAST(rows_after AS BIGINT) AS rows_after,
        {r6('ma / mb')} AS mass_ratio, {r6('sqrt(groups_after / groups_before)')} AS loss_scale FROM a, b""")
 def grp4(spark, sf):
-    variances = groups.group_variance(trajectory_rewards(spark, sf))
+    variances = stage(groups.group_variance(trajectory_rewards(spark, sf)))
     return groups.filter_report(variances, groups.top_p_groups(variances, 0.9))
 
 

@@ -16,6 +16,7 @@ from rollframe.distributed import null_safe, with_row
 from rollframe.functions import tokens as T
 from rollframe.operators import credit, groups
 from rollframe.operators.trajectories import drop_copies
+from rollframe.session import stage
 
 log = logging.getLogger(__name__)
 
@@ -45,7 +46,7 @@ filters, metrics, estimators = Registry("filter"), Registry("metric"), Registry(
 
 @filters.register("reward_variance")
 def top_k_filter(rows: DataFrame, topk: float = 0.2, ddof: int = 0, **_) -> tuple[DataFrame, DataFrame]:
-    variances = groups.group_variance(rows, ddof=ddof)
+    variances = stage(groups.group_variance(rows, ddof=ddof))
     kept = groups.top_k_groups(variances, topk)
     return groups.filter_rows(rows, kept), groups.filter_report(variances, kept)
 
@@ -53,7 +54,7 @@ def top_k_filter(rows: DataFrame, topk: float = 0.2, ddof: int = 0, **_) -> tupl
 @filters.register("reward_variance_top_p")
 def top_p_filter(rows: DataFrame, top_p: float = 0.9, ddof: int = 0, **_) -> tuple[DataFrame, DataFrame]:
     """Also scales an ``advantage`` column by the square root of the kept share of groups."""
-    variances = groups.group_variance(rows, ddof=ddof)
+    variances = stage(groups.group_variance(rows, ddof=ddof))
     kept = groups.top_p_groups(variances, top_p)
     out, report = groups.filter_rows(rows, kept), groups.filter_report(variances, kept)
     if "advantage" in rows.columns:

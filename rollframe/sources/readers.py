@@ -116,7 +116,7 @@ def parse_episodes(metrics: DataFrame, texts: DataFrame) -> DataFrame:
     m = metrics.select(folder(F.col("path")).alias("_path"), F.col("path").alias("metrics_path"), _object("value", S.EPISODE).alias("m")).filter("m is not null")
     t = texts.select(folder(F.col("path")).alias("_path"), F.from_json("value", "array<string>").alias("assistant_texts"))
     checks = F.regexp_count(F.coalesce("m.infos", F.lit("")), F.lit(r'(?<!\\)"action_is_valid"\s*:'))
-    false = F.regexp_count(F.coalesce("m.infos", F.lit("")), F.lit(r'(?<!\\)"action_is_valid"\s*:\s*(?:false|null|0(?:\.0+)?|""|\[\]|\{\})\s*[,}]'))
+    false = F.regexp_count(F.coalesce("m.infos", F.lit("")), F.lit(r'(?<!\\)"action_is_valid"\s*:\s*(?:false|null|-?0(?:\.0+)?(?:[eE][+-]?\d+)?|""|\[\]|\{\})\s*[,}]'))
     return m.join(t, "_path", "left").select(
         "_path", F.coalesce("m.rollout_id", F.regexp_extract("_path", r"([^/]+)$", 1)).alias("rollout_id"), "m.seed",
         F.coalesce("m.success", F.lit(False)).alias("success"), F.coalesce(F.col("m.num_turns").cast("int"), F.lit(0)).alias("num_turns"),

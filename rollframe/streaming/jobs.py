@@ -54,11 +54,11 @@ class TrajectoryAssembler(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("progress", "turns long, low long, high long, last long, reward double, success boolean, timer long, done boolean")
+        self.state = handle.getValueState("progress", "turns long, low long, high long, last long, reward double, success boolean, timer long, done boolean, ends long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        s = self.state.get() if self.state.exists() else (0, 2 ** 40, -1, -1, 0.0, False, 0, False)
-        turns, low, high, last, reward, success, timer, done = s
+        s = self.state.get() if self.state.exists() else (0, 2 ** 40, -1, -1, 0.0, False, 0, False, 0)
+        turns, low, high, last, reward, success, timer, done, terminals = s
         if done:
             for _ in rows:
                 pass
@@ -69,21 +69,22 @@ class TrajectoryAssembler(StatefulProcessor):
             low, high = min(low, int(pdf["turn_idx"].min())), max(high, int(pdf["turn_idx"].max()))
             ends = pdf.loc[pdf["last_turn"].astype(bool), "turn_idx"]
             last = max(last, int(ends.max())) if len(ends) else last
+            terminals += len(ends)
             reward += float(pdf["score"].fillna(0.0).sum())
             success = bool(success or pdf["traj_success"].fillna(False).any())
             latest = max(latest, int(pdf["event_ms"].max()))
-        whole = low == 1 and high == turns and last == high
+        whole = low == 1 and high == turns and last == high and terminals == 1
         if timer:
             self.handle.deleteTimer(timer)
         expires = latest + self.patience_ms
         # A finished trajectory stays marked until the timer, so stray late copies stay out.
         self.handle.registerTimer(expires)
-        self.state.update((turns, low, high, last, reward, success, expires, whole))
+        self.state.update((turns, low, high, last, reward, success, expires, whole, terminals))
         if whole:
             yield self._row(key, turns, reward, success, True)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        turns, _, _, _, reward, success, _, done = self.state.get()
+        turns, _, _, _, reward, success, _, done, _ = self.state.get()
         self.state.clear()
         if not done:
             yield self._row(key, turns, reward, success, False)
@@ -129,28 +130,44 @@ def device_windows(samples: DataFrame, time: str = "ts", delay: str = "10 minute
 
 
 class EnergyPieces(StatefulProcessor):
-    """Trapezoid between a device's last sample and the next one, across batches."""
+    """Trapezoid between a device's last sample and the next one, across batches.
+
+    A device that is silent for ``patience_ms`` of event time is forgotten; its next sample
+    starts anew.
+    """
+
+    def __init__(self, patience_ms: int):
+        self.patience_ms = patience_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "t double, p double")
+        self.handle = handle
+        self.last = handle.getValueState("last", "t double, p double, timer long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows)).sort_values(["elapsed_seconds", "sample"])
         t, p = pdf["elapsed_seconds"].astype(float), pdf["power_watts"].astype(float)
-        before = self.last.get() if self.last.exists() else (None, None)
+        before = self.last.get() if self.last.exists() else (None, None, 0)
         t0, p0 = t.shift(1), p.shift(1)
         if before[0] is not None:
             t0.iloc[0], p0.iloc[0] = before[0], float("nan") if before[1] is None else before[1]
         out = pd.DataFrame({"run": key[0], "gpu_index": int(key[1]), "ts": pdf["ts"], "kwh": (p + p0) / 2 * (t - t0) / 3600 / 1000})
         end = p.iloc[-1]
-        self.last.update((float(t.iloc[-1]), None if pd.isna(end) else float(end)))
+        if before[2]:
+            self.handle.deleteTimer(before[2])
+        expires = int(pdf["ts"].max().timestamp() * 1000) + self.patience_ms
+        self.handle.registerTimer(expires)
+        self.last.update((float(t.iloc[-1]), None if pd.isna(end) else float(end), expires))
         yield out[out["kwh"].notna()]
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
 
-def energy_pieces(samples: DataFrame, time: str = "ts", delay: str = "10 minutes") -> DataFrame:
+def energy_pieces(samples: DataFrame, time: str = "ts", delay: str = "10 minutes", patience_ms: int = 86_400_000) -> DataFrame:
     """Energy between consecutive samples, stamped with the later one; sum it per window or run.
 
     A device's samples must arrive in time order from batch to batch, as its sampler writes
@@ -159,8 +176,8 @@ def energy_pieces(samples: DataFrame, time: str = "ts", delay: str = "10 minutes
     samples.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     slim = samples.select("run", "gpu_index", "sample", "elapsed_seconds", "power_watts", F.col(time).cast("timestamp").alias("ts"))
     return slim.withWatermark("ts", delay).groupBy("run", "gpu_index").transformWithStateInPandas(
-        statefulProcessor=EnergyPieces(), outputStructType=StructType.fromDDL("run string, gpu_index int, ts timestamp, kwh double"),
-        outputMode="append", timeMode="None")
+        statefulProcessor=EnergyPieces(patience_ms), outputStructType=StructType.fromDDL("run string, gpu_index int, ts timestamp, kwh double"),
+        outputMode="append", timeMode="EventTime")
 
 
 def device_sessions(samples: DataFrame, time: str = "ts", delay: str = "10 minutes", gap: str = "30 minutes") -> DataFrame:
