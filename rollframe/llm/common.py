@@ -43,8 +43,21 @@ def staged(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Texts are long, so Spark's usual ten thousand rows a batch would be tens of megabytes in
+#: every worker and executor. Kept as they are where the session sets its own.
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
+
+
+def small_batches(spark: SparkSession) -> None:
+    for key, (usual, ours) in _BATCHES.items():
+        if spark.conf.get(key, None) == usual:
+            spark.conf.set(key, ours)
+
+
 def map_slices(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | dict | None], schema: str, column: str = "text") -> DataFrame:
-    """``work`` on slices of about a megabyte of text; it returns columns by name, or nothing."""
+    """``work`` on slices of about ``SLICE_BYTES`` of text; it returns columns by name, or nothing."""
+    small_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, column):
             out = work(piece)

@@ -1,7 +1,7 @@
 """Words and word runs of whole text columns, hashed in numpy on Arrow buffers.
 
 Everything works on the UTF-8 bytes of a slice of a column at once, so there is no Python
-loop per word or per document. A slice holds about a megabyte of text, or one longer text.
+loop per word or per document. A slice holds about a quarter of a megabyte of text, or one longer text.
 Hashes are 64-bit polynomials, taken as differences of running sums and then mixed.
 """
 
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _BYTES = np.arange(256)
 #: Bytes outside these ASCII blanks make up a word.
