@@ -78,7 +78,17 @@ def sta4(spark, sf):
     return S.mann_whitney(views.episodes(spark, sf), ["environment"], "num_turns", "success").select("environment", "n1", "n2", "u", "z")
 
 
-@query("STA4_p")
+def tail_sql(source: str, key: str, top: str, density: str, steps: int = 4000) -> str:
+    """Two-sided tail beyond ``top`` of a symmetric density in ``x``, by Simpson's rule over a table of keys."""
+    return f"""SELECT {key}, greatest(0.0, least(1.0, 1 - 2 * any_value(top) / {3 * steps} * sum(CASE WHEN i IN (0, {steps}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * {density}))) AS p
+  FROM (SELECT *, top * i / {steps} AS x FROM (SELECT *, least(greatest({top}, 0.0), 60.0) AS top FROM {source}), generate_series(0, {steps}) g(i)) GROUP BY 1"""
+
+
+@query("STA4_p", f"""WITH {views.EPISODES}, h AS (SELECT environment, num_turns AS x, CAST(count(*) FILTER (success) AS DOUBLE) AS a, CAST(count(*) FILTER (NOT success) AS DOUBLE) AS b
+  FROM episodes GROUP BY 1, 2), c AS (SELECT *, sum(b) OVER (PARTITION BY environment ORDER BY x) AS cb FROM h)
+, s AS (SELECT environment, sum(a) AS n1, sum(b) AS n2, sum(a * (cb - b / 2)) AS u, sum(pow(a + b, 3) - (a + b)) AS t FROM c GROUP BY 1)
+, z AS (SELECT environment, (greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - t / ((n1 + n2) * (n1 + n2 - 1)))) AS z FROM s)
+, p AS ({tail_sql('z', 'environment', 'z', 'exp(-x * x / 2) / sqrt(2 * pi())')}) SELECT environment, {r6('p')} AS p_value FROM p""")
 def sta4_p(spark, sf):
     return S.mann_whitney(views.episodes(spark, sf), ["environment"], "num_turns", "success").select("environment", "p_value")
 
@@ -277,7 +287,9 @@ def sta20(spark, sf):
     return S.pearson(views.episodes(spark, sf), ["environment"], "num_turns", "cumulative_reward").drop("p_value")
 
 
-@query("STA20_p")
+@query("STA20_p", f"""WITH {views.EPISODES}, r AS (SELECT environment, CAST(count(*) - 2 AS DOUBLE) AS v, corr(num_turns, cumulative_reward) AS r FROM episodes GROUP BY 1)
+, t AS (SELECT environment, v, abs(r) * sqrt(v / (1 - r * r)) AS t FROM r)
+, p AS ({tail_sql('t', 'environment', 't', 'exp(lgamma((v + 1) / 2) - lgamma(v / 2) - (v + 1) / 2 * ln(1 + x * x / v)) / sqrt(v * pi())')}) SELECT environment, {r6('p')} AS p_value FROM p""")
 def sta20_p(spark, sf):
     return S.pearson(views.episodes(spark, sf), ["environment"], "num_turns", "cumulative_reward").select("environment", "p_value")
 
