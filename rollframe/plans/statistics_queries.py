@@ -9,7 +9,7 @@ from rollframe.operators import comparison, credit
 from rollframe.operators import exploration as X
 from rollframe.operators import statistics as S
 from rollframe.plans import views
-from rollframe.plans.catalog import query, r6, table
+from rollframe.plans.catalog import ORACLES, query, r6, table
 
 RUNS = views.EPISODES + """, runs AS (SELECT method, environment, seed, count(*) AS trials, sum(CASE WHEN success THEN 1 ELSE 0 END) AS successes,
   avg(num_turns) FILTER (success) AS mean_turns, sum(num_turns) FILTER (success) AS turn_sum, sum(num_turns) * 0.01 AS gpu_hours,
@@ -221,9 +221,11 @@ def sta14(spark, sf):
     return S.rank_modes(S.seed_aggregate(with_mode(runs(spark, sf)), ["mode"]), "mode")
 
 
-@query("STA15", _VERDICT.replace("{r6('ratio')} AS efficiency_ratio, ", ""))
+@query("STA15", f"""SELECT first, second, efficiency_ratio, verdict, mean1, mean2, u, cohens_d
+FROM ({_VERDICT}) JOIN ({ORACLES["STA7_effect"]}) USING (first, second)""")
 def sta15(spark, sf):
-    return sta9(spark, sf)
+    """Success verdict and turn comparison of every pair of modes."""
+    return sta9(spark, sf).join(sta7_effect(spark, sf), ["first", "second"])
 
 
 @query("STA16", f"""WITH g AS (SELECT event_type AS mode, value AS v FROM events WHERE event_id % 3 <> 0)
