@@ -113,14 +113,16 @@ def src9(spark, sf):
 FROM customer WHERE c_custkey % 2 = 0 AND c_mktsegment = 'BUILDING'""")
 def src5(spark, sf):
     c = F.col("c_custkey")
-    rows = table(spark, sf, "customer").filter((c % 2 == 0) & (F.col("c_mktsegment") == "BUILDING"))
+    rows = table(spark, sf, "customer")
     at = lambda name: F.concat(F.lit("/runs/c"), c.cast("string"), F.lit(f"/{name}")).alias("path")
-    manifests = rows.select(at("manifest.json"), F.concat(F.lit('{"evaluation_role":"final_test","method":"m","seed":'), c.cast("string"), F.lit("}")).alias("value"))
+    manifests = rows.select(at("manifest.json"), F.concat(
+        F.lit('{"evaluation_role":"'), F.when(c % 2 == 0, "final_test").otherwise("validation"), F.lit('","environment":"'), F.col("c_mktsegment"),
+        F.lit('","method":"m","seed":'), c.cast("string"), F.lit("}")).alias("value"))
     parity = rows.filter(c % 3 != 0).select(at("parity.json"), F.concat(
         F.lit('{"gate_passed":'), F.when(c % 5 != 0, "true").otherwise("false"), F.lit(',"metrics":{"ratio_p95":1.25},"attempts":[{"gate_passed":'),
         F.when(c % 7 == 0, "false").otherwise("true"), F.lit("}]}")).alias("value"))
     gpu = rows.filter(c % 4 != 0).select(at("gpu_metrics/gpu_summary.json"), F.concat(F.lit('{"return_code":0,"gpu_hours":'), (c * 0.5).cast("string"), F.lit("}")).alias("value"))
-    return R.parse_runs(manifests, parity, gpu).select("run", "evaluation_role", "seed", "gate_passed", "ratio_p95", "gpu_hours", "parity_ever_failed")
+    return R.select_runs(R.parse_runs(manifests, parity, gpu), "final_test", "BUILDING").select("run", "evaluation_role", "seed", "gate_passed", "ratio_p95", "gpu_hours", "parity_ever_failed")
 
 
 @query("SRC6", f"""SELECT CAST(user_id % 8 AS INTEGER) AS gpu_index, CAST(count(*) AS BIGINT) AS samples, {r6("sum(value) FILTER (event_type <> 'error')")} AS power, CAST(count(*) FILTER (event_type <> 'error') AS BIGINT) AS known_power,

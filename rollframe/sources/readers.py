@@ -147,7 +147,10 @@ def parse_runs(manifests: DataFrame, parity: DataFrame, gpu: DataFrame) -> DataF
 
 def read_runs(spark: SparkSession, root: str, role: str | None = None, environment: str | None = None) -> DataFrame:
     """Run folders, restricted to a role or environment."""
-    runs = parse_runs(*[whole_files(spark, root, n) for n in ("manifest.json", "parity.json", "gpu_summary.json")])
+    return select_runs(parse_runs(*[whole_files(spark, root, n) for n in ("manifest.json", "parity.json", "gpu_summary.json")]), role, environment)
+
+
+def select_runs(runs: DataFrame, role: str | None = None, environment: str | None = None) -> DataFrame:
     if role is not None:
         runs = runs.filter(F.col("evaluation_role") == role)
     return runs if environment is None else runs.filter(F.col("environment") == environment)
