@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled documents per class that a model is trained on, and the longest text among them.
-SAMPLE_ROWS = 3000
+SAMPLE_ROWS = 2000
 SAMPLE_CHARS = 1 << 15
 
 
