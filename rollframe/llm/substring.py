@@ -19,8 +19,9 @@ Hot anchors: keys that a sample of documents shows to be frequent are told apart
 dealt to one task. The sample only decides the route of a key, never a result.
 
 Defined cases: null and empty texts have no words and the digest of the empty text; texts
-under ``LENGTH`` words lose nothing; rows that share a doc_id (null is one id, before all
-others) are one document and get one and the same marks; other columns are ignored.
+under ``LENGTH`` words lose nothing; a null doc_id is one id, before all others; rows that
+share a doc_id are told apart by their text and have their own marks, and what stands at one
+place in several of them is no repeat of each other; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -70,10 +71,10 @@ def _rows(docs: DataFrame, length: int, seed: int) -> DataFrame:
             return None
         seeds, _ = words.runs(hashes, seed)
         extent = span_hashes(hashes, "word", start, start + n - 1 + length)
-        docs = piece.column("doc").to_numpy()
+        docs, rows, text = piece.column("doc").to_numpy(), piece.column("row").to_numpy(), words.text[start]
         return {"anchor": seeds[place].view(np.int64), "extent": (extent >> np.uint64(32)).astype(np.uint32).view(np.int32),
-                "doc": docs[words.text[start]], "at": (words.place[start] << 8) | n}
-    return map_slices(docs, work, "anchor long, extent int, doc long, at long")
+                "doc": docs[text], "row": rows[text], "at": (words.place[start] << 8) | n}
+    return map_slices(docs, work, "anchor long, extent int, doc long, row long, at long")
 
 
 def _frequent(docs: DataFrame, length: int, seed: int) -> list[int]:
@@ -92,13 +93,15 @@ def _scan(batches):
 
     def resolve(t: pa.RecordBatch | pa.Table):
         anchor, extent = t.column("anchor").to_numpy(), t.column("extent").to_numpy()
-        doc, at = t.column("doc").to_numpy(), t.column("at").to_numpy()
+        doc, row, at = t.column("doc").to_numpy(), t.column("row").to_numpy(), t.column("at").to_numpy()
         new_anchor = np.concatenate([[True], anchor[1:] != anchor[:-1]])
         new_extent = new_anchor | np.concatenate([[True], extent[1:] != extent[:-1]])
         group = np.cumsum(new_anchor) - 1
         several = np.bincount(group, weights=new_extent)[group] > 1
-        keep = ~new_extent | several
-        return pa.RecordBatch.from_pydict({"doc": doc[keep], "at": at[keep], "first": new_extent[keep]})
+        leader = np.flatnonzero(new_extent)[np.cumsum(new_extent) - 1]
+        first = (doc == doc[leader]) & (at == at[leader])
+        keep = ~first | several
+        return pa.RecordBatch.from_pydict({"doc": doc[keep], "row": row[keep], "at": at[keep], "first": first[keep]})
 
     for batch in batches:
         if not batch.num_rows:
@@ -127,34 +130,35 @@ def _windows(docs: DataFrame, open_: DataFrame, length: int) -> DataFrame:
         at = lists.flatten().to_numpy(zero_copy_only=False)
         text = np.repeat(np.arange(piece.num_rows), np.diff(lists.offsets.to_numpy()))
         n = at & 255
-        row = np.repeat(np.arange(len(at)), n)
-        place = (at >> 8)[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        docs, where = piece.column("doc").to_numpy(), words.first[text[row]] + place
-        return {"window": runs[where].view(np.int64), "check": (second[where] >> np.uint64(32)).astype(np.uint32).view(np.int32), "doc": docs[text[row]], "at": (place << 8) | 1}
-    per_doc = open_.groupBy("doc").agg(F.array_sort(F.collect_set("at")).alias("ats"))
-    return map_slices(docs.join(per_doc, "doc").select("doc", "text", "ats"), work, "window long, check int, doc long, at long")
+        own = np.repeat(np.arange(len(at)), n)
+        place = (at >> 8)[own] + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+        docs, rows, where = piece.column("doc").to_numpy(), piece.column("row").to_numpy(), words.first[text[own]] + place
+        return {"window": runs[where].view(np.int64), "check": (second[where] >> np.uint64(32)).astype(np.uint32).view(np.int32),
+                "doc": docs[text[own]], "row": rows[text[own]], "at": (place << 8) | 1}
+    per_row = open_.groupBy("doc", "row").agg(F.array_sort(F.collect_set("at")).alias("ats"))
+    return map_slices(docs.join(per_row, ["doc", "row"]).select("doc", "row", "text", "ats"), work, "window long, check int, doc long, row long, at long")
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """(doc, at) of all windows that occur earlier, as runs packed like in :func:`_rows`."""
+    """(doc, row, at) of all windows that occur earlier, as runs packed like in :func:`_rows`."""
     if not 0 < seed <= length < seed + 255:
         raise ValueError(f"no anchors of {seed} words for windows of {length}")
     rows = _rows(docs, length, seed)
     hot = _frequent(docs, length, seed)
     is_hot = F.col("anchor").isin(hot) if hot else F.lit(False)
     dealt = rows.filter(~is_hot).repartition("anchor").sortWithinPartitions("anchor", "extent", "doc", "at")
-    found = dealt.mapInArrow(_scan, "doc long, at long, first boolean")
+    found = dealt.mapInArrow(_scan, "doc long, row long, at long, first boolean")
     if hot:
         busy = rows.filter(is_hot)
         # Written first, so that the join's two sides are dealt by its keys alone and a hot key can be split.
         first = staged(busy.groupBy("anchor", "extent").agg(F.min(F.struct("doc", "at")).alias("one")))
         found = found.unionByName(busy.join(first, ["anchor", "extent"]).select(
-            "doc", "at", (F.struct("doc", "at") == F.col("one")).alias("first")))
+            "doc", "row", "at", (F.struct("doc", "at") == F.col("one")).alias("first")))
     found = staged(found)
     windows = staged(_windows(docs, found.filter("first"), length))
     earliest = windows.groupBy("window", "check").agg(F.min(F.struct("doc", "at")).alias("one"), F.count("*").alias("n")).filter("n > 1")
     again = windows.join(earliest, ["window", "check"]).filter(F.struct("doc", "at") != F.col("one"))
-    return found.filter("not first").select("doc", "at").unionByName(again.select("doc", "at"))
+    return found.filter("not first").select("doc", "row", "at").unionByName(again.select("doc", "row", "at"))
 
 
 def merged(ats: list[int], length: int) -> list[tuple[int, int]]:
@@ -172,7 +176,9 @@ def merged(ats: list[int], length: int) -> list[tuple[int, int]]:
 def dedup_substrings(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256, the kept text and the repeats as word ranges."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key_of("doc_id").alias("doc"), F.col("text").cast("string").alias("text"))
-    marks = repeated_windows(base, length, seed).groupBy("doc").agg(F.collect_set("at").alias("ats"))
+    # Rows of one id and one text have the same marks, so the text's hash is a row key that needs no staging.
+    base = base.withColumn("row", F.xxhash64("text"))
+    marks = repeated_windows(base, length, seed).groupBy("doc", "row").agg(F.collect_set("at").alias("ats"))
 
     def work(piece):
         words = Words(piece.column("text"), NOT_BLANK, False)
@@ -189,7 +195,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, seed: int = SEED) ->
         return {"doc_id": piece.column("doc_id"), "n_words": pa.array(words.count, pa.int64()), "n_removed": pa.array(removed, pa.int64()),
                 "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept], "kept": pa.array([k.decode() for k in kept], pa.string()),
                 "repeats": pa.array(repeats, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))}
-    return map_slices(base.join(marks, "doc", "left").select("doc_id", "text", "ats"), work,
+    return map_slices(base.join(marks, ["doc", "row"], "left").select("doc_id", "text", "ats"), work,
                       "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, repeats array<struct<start: long, end: long>>")
 
 

@@ -70,6 +70,38 @@ def test_substring_defined_cases(spark):
         substring.repeated_windows(docs, 5, 6)
 
 
+def brute_shared_ids(rows, length):
+    """rows in any order, ids may repeat: only a smaller (id, place) makes a window a repeat."""
+    places, out = {}, []
+    texts = [(-1 if doc is None else doc, (text or "").split()) for doc, text in rows]
+    for doc, words in texts:
+        for s in range(len(words) - length + 1):
+            key = tuple(words[s: s + length])
+            places[key] = min(places.get(key, (doc, s)), (doc, s))
+    for (doc_id, _), (doc, words) in zip(rows, texts):
+        gone = np.zeros(len(words), bool)
+        for s in range(len(words) - length + 1):
+            if places[tuple(words[s: s + length])] < (doc, s):
+                gone[s: s + length] = True
+        out.append((doc_id, len(words), int(gone.sum()), " ".join(w for w, g in zip(words, gone) if not g)))
+    return out
+
+
+def test_substring_rows_that_share_an_id(spark, monkeypatch):
+    """Null and repeated ids: texts of different length, clean ones, and repeated rows."""
+    rnd = random.Random(9)
+    pool = [" ".join(rnd.choice("abc") for _ in range(30)) for _ in range(4)]
+    rows = [(rnd.choice([None, None, 3, 7, i]), " ".join(rnd.choice(pool) + " " + " ".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(12)))
+                                                          for _ in range(rnd.randrange(1, 5)))) for i in range(10, 90)]
+    rows += [(None, " ".join(f"clean{i}_{k}" for k in range(n))) for i, n in enumerate((8, 40, 200))]
+    rows += rows[:9] + [(None, None), (None, ""), (5, " ".join(f"own{k}" for k in range(50)))] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for frequent in (1 / 5000, 1.0):
+        monkeypatch.setattr(substring, "FREQUENT", frequent)
+        got = [(r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring.dedup_substrings(docs, 8, 3).collect()]
+        assert sorted(got, key=str) == sorted(brute_shared_ids(rows, 8), key=str)
+
+
 def words_of(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
