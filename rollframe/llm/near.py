@@ -141,6 +141,12 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_slices(with_texts, work, "a long, b long, similarity double")
 
 
+def sketch_bits(held: np.ndarray) -> np.ndarray:
+    """One bit of each register: drawn from the run and the register, so that registers which hold one run have bits of their own."""
+    own = mix(np.arange(1, held.shape[1] + 1, dtype=np.uint64) * np.uint64(SEED))
+    return (mix(held ^ own) & np.uint64(1)).astype(bool)
+
+
 def sketch(texts: DataFrame) -> DataFrame:
     """id and the long sketch of its text as columns of 64 bits."""
     longs = SKETCH_BITS // 64
@@ -151,7 +157,7 @@ def sketch(texts: DataFrame) -> DataFrame:
             part = piece.slice(at, 256)
             words = Words(part.column("text"), LETTER_OR_DIGIT, True)
             held = signatures(*shingles(words, words.hashes()), part.num_rows, SKETCH_REGISTERS)[:, :SKETCH_BITS]
-            out.append(np.packbits((mix(held) & np.uint64(1)).astype(bool), axis=1).view(np.int64))
+            out.append(np.packbits(sketch_bits(held), axis=1).view(np.int64))
         return {"id": piece.column("id")} | {f"s{i}": c for i, c in enumerate(np.concatenate(out).T.copy())}
     return map_slices(texts, work, "id long, " + ", ".join(f"s{i} long" for i in range(longs)))
 

@@ -104,6 +104,22 @@ def test_registers_agree_as_often_as_the_similarity():
     assert np.mean(agree) == pytest.approx(np.mean(want), abs=0.02)
 
 
+def test_sketches_of_short_linked_texts_stay_within_the_bound(spark):
+    """Texts of 5 to 30 runs at the threshold, also with repeated ones: no pair is turned away."""
+    rng, rows = np.random.default_rng(4), []
+    for i in range(600):
+        n = (5, 10, 16, 27)[i % 4]
+        words = [f"w{k}" for k in rng.integers(0, 10**6, n + 4)]
+        if i % 8 > 3:
+            words += words[:9]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[: -max(1, n // 5)]))]
+    linked = [i for i in range(0, len(rows), 2) if similarity(bag(rows[i][1]), bag(rows[i + 1][1])) >= 0.8]
+    assert len(linked) > 300
+    got = {r[0]: r[1:] for r in near.sketch(spark.createDataFrame(rows, "id long, text string")).collect()}
+    differ = [sum(bin((a ^ b) & (2**64 - 1)).count("1") for a, b in zip(got[i], got[i + 1])) for i in linked]
+    assert max(differ) <= near.most_differing(0.8)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, j) for j in range(101, 140)] + [(7, 7), (200, 201), (201, 200)]
     got = {r.id: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
