@@ -8,8 +8,9 @@ candidates; the words of the file must then hold one of the template's mandatory
 the very place it has in the template.
 
 The corpus is scanned twice: for the frequencies of the templates' words, and for the places of
-indexed words. Only files with such words keep their words for the verification. The index is
-a constant of the library and joins as one small table.
+indexed words and of whole mandatory phrases. Every phrase found tells where its template would
+start, and only files with such a start keep their places; no file's words are written. The
+index is a constant of the library and joins as one small table.
 
 Defined cases: null and empty texts have no words, no labels and score 0; repeated rows are
 scanned per row; an empty table gives no rows; other columns are ignored. Words of equal
@@ -48,7 +49,7 @@ TEMPLATES: list[tuple[str, str, list[str]]] = [
     ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by", ["creative commons attribution 4 0"]),
     ("all rights reserved", "reserved", ["all rights reserved"]),
 ]
-INDEXED = 3
+INDEXED = 5
 #: Share of a template's indexed weight that makes a start a candidate.
 SHARE = 0.6
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -85,26 +86,38 @@ def index(n: int, frequency: dict[str, int], indexed: int = INDEXED) -> list[tup
     return rows
 
 
-def _phrase_at(words: Column, start: Column, template: int) -> Column:
-    """Whether one of the template's phrases stands at its own place after ``start``."""
-    text, _, phrases = TEMPLATES[template]
-    out = F.lit(False)
-    for phrase in phrases:
-        before = len(re.split(rf"\b{re.escape(phrase)}\b", text)[0].split())
-        own = phrase.split()
-        match = F.lit(True)
-        for i, w in enumerate(own):
-            match = match & (F.get(words, start + before + i) == w)
-        out = out | F.coalesce(match, F.lit(False))
+def _phrase_keys(frequency: dict[str, int]) -> list[tuple[int, int, list[str], int]]:
+    """(template, words before the phrase, the phrase, place of its rarest word in it) of every mandatory phrase."""
+    out = []
+    for t, (text, _, phrases) in enumerate(TEMPLATES):
+        for phrase in phrases:
+            own = phrase.split()
+            key = min(range(len(own)), key=lambda i: (frequency.get(own[i], 0), own[i]))
+            out.append((t, len(re.split(rf"\b{re.escape(phrase)}\b", text)[0].split()), own, key))
     return out
 
 
+def _starts_of_phrases(keys: list[tuple[int, int, list[str], int]]) -> Column:
+    """Where templates would start by their mandatory phrases, from ``places`` of the phrases' rarest words."""
+    def found(template: int, before: int, own: list[str], key: int) -> Column:
+        def match(x: Column) -> Column:
+            out = x["word"] == own[key]
+            for i, w in enumerate(own):
+                if i != key:
+                    out = out & F.coalesce(F.get("words", x["at"] + (i - key)) == w, F.lit(False))
+            return out
+        return F.transform(F.filter("places", match), lambda x: F.struct(F.lit(template).alias("template"), (x["at"] - (key + before)).alias("start")))
+    return F.array_distinct(F.concat(*[found(*k) for k in keys]))
+
+
 def scan_licenses(docs: DataFrame, share: float = SHARE) -> DataFrame:
     """Per row: doc_id, words, base phrases, labels of both kinds and the best verified share."""
     vocabulary = sorted({w for text, _, _ in TEMPLATES for w in text.split()})
-    rows = index(*frequencies(docs, vocabulary))
+    n, frequency = frequencies(docs, vocabulary)
+    rows, keys = index(n, frequency), _phrase_keys(frequency)
     session = docs.sparkSession
-    wanted = sorted({r[1] for r in rows} | {"license"})
+    indexed = sorted({r[1] for r in rows})
+    wanted = sorted({*indexed, "license", *(own[key] for _, _, own, key in keys)})
     places = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: x["word"].isin(wanted))
     base = F.filter(F.transform(
         F.filter("places", lambda x: x["word"] == "license"),
@@ -114,24 +127,23 @@ def scan_licenses(docs: DataFrame, share: float = SHARE) -> DataFrame:
             .when((F.get("words", x["at"] - 1) == "public") & (F.get("words", x["at"] - 2) == "general"), "gpl").alias("label"))),
         lambda b: b["label"].isNotNull())
     found = _plain(docs).withColumn("places", places).select(
-        "doc_id", F.size("words").cast("long").alias("n_words"), base.alias("base"), "places", F.when(F.size("places") > 0, F.col("words")).alias("words"))
+        "doc_id", F.size("words").cast("long").alias("n_words"), base.alias("base"), "places", _starts_of_phrases(keys).alias("held"))
+    found = found.withColumn("places", F.when(F.size("held") > 0, F.filter("places", lambda x: x["word"].isin(indexed))))
     found = staged(found.withColumn("row", F.monotonically_increasing_id()))
 
     postings = F.broadcast(session.createDataFrame(rows, "template int, word string, position int, weight double"))
-    starts = (found.filter(F.size("places") > 0).select("row", F.explode("places").alias("p")).select("row", "p.word", "p.at").join(postings, "word")
+    holding = found.filter(F.size("held") > 0)
+    starts = (holding.select("row", F.explode("places").alias("p")).select("row", "p.word", "p.at").join(postings, "word")
               .groupBy("row", "template", (F.col("at") - F.col("position")).alias("start"))
               .agg(F.round(F.sum("weight"), 9).alias("matched")).filter(F.col("matched") >= share))
-    verified = starts.join(found.filter(F.size("places") > 0).select("row", "words"), "row")
-    holds = F.lit(False)
-    for t in range(len(TEMPLATES)):
-        holds = F.when(F.col("template") == t, _phrase_at(F.col("words"), F.col("start"), t)).otherwise(holds)
+    verified = starts.join(holding.select("row", F.explode("held").alias("h")).select("row", "h.template", "h.start"), ["row", "template", "start"])
     names = F.array(*[F.lit(label) for _, label, _ in TEMPLATES])
-    labelled = verified.filter(holds).groupBy("row").agg(
+    labelled = verified.groupBy("row").agg(
         F.collect_set(F.element_at(names, F.col("template") + 1)).alias("own"), F.max("matched").alias("best"))
     labels = F.transform("base", lambda b: b["label"])
     everything = F.array_union(labels, F.coalesce("own", F.array().cast("array<string>")))
     starts_at = F.transform("base", lambda b: b["at"])
-    return found.drop("words", "places").join(labelled, "row", "left").select(
+    return found.drop("places", "held").join(labelled, "row", "left").select(
         "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts_at).cast("long").alias("first_word"),
         F.array_max(starts_at).cast("long").alias("last_word"), F.array_join(F.array_sort(F.array_distinct(labels)), ",").alias("base_labels"),
         F.array_join(F.array_sort(everything), ",").alias("labels"),
