@@ -11,8 +11,8 @@ buckets of ``SCOPE`` code points per document, so a bucket holds few parts howev
 document has, and only parts in neighbouring buckets meet. Matches are few beside the text;
 no text is shuffled to find them.
 
-All patterns are bounded or start at token borders, so a long run of one character class
-costs linear time.
+Matches have no greatest length. Weak patterns start at borders and never give back what they
+took (possessive), so a long run of one character class costs linear time.
 
 Defined cases: a null text is empty; an empty text has no spans and the digest of the empty
 string; repeated rows are scanned per row; a null doc_id stays null; other columns are ignored.
@@ -33,10 +33,10 @@ KINDS: list[tuple[str, str, bool, str]] = [
     ("assign", "secret", True, ASSIGN),
     ("access", "identifier", True, r"AKIA[A-Z0-9]{14,}"),
     ("hex", "secret", True, r"[0-9a-f]{16,}"),
-    ("name", "identifier", False, r"""(?i)\b(?:user|username|login|account|client_?id|access_?key_?id)["']?\x20{0,8}[:=]\x20{0,8}["']?[A-Za-z0-9._@-]{3,64}"""),
-    ("mail", "identifier", False, r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"),
-    ("opaque", "secret", False, rf"(?<!{_TOKEN}){_TOKEN}{{20,128}}(?!{_TOKEN})"),
-    ("host", "endpoint", False, r"\bhttps?://[^\s\"'<>]{3,256}|\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b"),
+    ("name", "identifier", False, r"""(?i)\b(?:user|username|login|account|client_?id|access_?key_?id)["']?\x20*+[:=]\x20*+["']?[A-Za-z0-9._@-]{3,}+"""),
+    ("mail", "identifier", False, r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
+    ("opaque", "secret", False, rf"(?<!{_TOKEN}){_TOKEN}{{20,}}+"),
+    ("host", "endpoint", False, r"\bhttps?://[^\s\"'<>]{3,}+|\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b"),
 ]
 BASE = 3
 REPLACEMENT = "[secret]"
@@ -85,7 +85,7 @@ def scan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def link(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     """The weak parts with a complementary part in scope, and how many such parts there are.
 
-    Weak parts that touch a strong one are not reported again.
+    Weak parts that a strong one covers whole are not reported again; one that goes beyond it is.
     """
     role = F.element_at(F.array(*[F.lit(k[1]) for k in KINDS]), F.col("kind") + 1)
     weak = parts.filter(F.col("kind") >= BASE).select(
@@ -94,10 +94,11 @@ def link(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
                           role.alias("role2"), _buckets(F.col("start"), F.col("end")).alias("bucket"))
     touch = (F.col("start") < F.col("end2")) & (F.col("start2") < F.col("end"))
     complement = F.when(F.col("role") == "secret", F.col("role2") == "identifier").otherwise(F.col("role2") == "secret")
+    covered = (F.col("kind2") < BASE) & (F.col("start2") <= F.col("start")) & (F.col("end") <= F.col("end2"))
     near = (F.col("start2") <= F.col("end") + scope) & (F.col("start") <= F.col("end2") + scope)
-    met = weak.join(others, ["row", "bucket"]).filter(near & (complement | (touch & (F.col("kind2") < BASE))))
+    met = weak.join(others, ["row", "bucket"]).filter(near & (complement | covered))
     return (met.groupBy("row", "kind", "start", "end")
-            .agg(F.max(touch & (F.col("kind2") < BASE)).alias("inside"),
+            .agg(F.max(covered).alias("inside"),
                  F.count_distinct(F.when(complement & ~touch & F.col("links"), F.struct("kind2", "start2"))).alias("partners"))
             .filter("not inside and partners > 0").drop("inside"))
 
