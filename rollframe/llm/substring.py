@@ -6,7 +6,8 @@ or in the same document at an earlier start).
 1. Seeds. Of every ``LENGTH``-word window the run of ``SEED`` words with the least hash is the
    anchor, so equal windows have equal anchors at equal places. An anchor occurrence owns the
    consecutive windows it is the anchor of. Its row has the anchor's hash, the place, and a
-   hash of its whole extent: the anchor extended both ways to all windows it owns.
+   hash of its whole extent: the anchor extended both ways to all windows it owns (64 bits, and
+   32 of a second hash).
 2. Join. Rows are dealt by anchor and sorted. Occurrences of an anchor with one extent repeat
    all their windows, except the earliest. An anchor that occurs once has no repeats.
 3. Extend. Where an anchor has several extents, a repeat may end inside one. The earliest
@@ -72,9 +73,10 @@ def _rows(docs: DataFrame, length: int, seed: int) -> DataFrame:
         seeds, _ = words.runs(hashes, seed)
         extent = span_hashes(hashes, "word", start, start + n - 1 + length)
         docs, rows, text = piece.column("doc").to_numpy(), piece.column("row").to_numpy(), words.text[start]
-        return {"anchor": seeds[place].view(np.int64), "extent": (extent >> np.uint64(32)).astype(np.uint32).view(np.int32),
+        second = span_hashes(mix(hashes), "word", start, start + n - 1 + length)
+        return {"anchor": seeds[place].view(np.int64), "extent": extent.view(np.int64), "check": (second >> np.uint64(32)).astype(np.uint32).view(np.int32),
                 "doc": docs[text], "row": rows[text], "at": (words.place[start] << 8) | n}
-    return map_slices(docs, work, "anchor long, extent int, doc long, row long, at long")
+    return map_slices(docs, work, "anchor long, extent long, check int, doc long, row long, at long")
 
 
 def _frequent(docs: DataFrame, length: int, seed: int) -> list[int]:
@@ -92,10 +94,10 @@ def _scan(batches):
     held: list[pa.RecordBatch] = []
 
     def resolve(t: pa.RecordBatch | pa.Table):
-        anchor, extent = t.column("anchor").to_numpy(), t.column("extent").to_numpy()
+        anchor, extent, check = (t.column(c).to_numpy() for c in ("anchor", "extent", "check"))
         doc, row, at = t.column("doc").to_numpy(), t.column("row").to_numpy(), t.column("at").to_numpy()
         new_anchor = np.concatenate([[True], anchor[1:] != anchor[:-1]])
-        new_extent = new_anchor | np.concatenate([[True], extent[1:] != extent[:-1]])
+        new_extent = new_anchor | np.concatenate([[True], (extent[1:] != extent[:-1]) | (check[1:] != check[:-1])])
         group = np.cumsum(new_anchor) - 1
         several = np.bincount(group, weights=new_extent)[group] > 1
         leader = np.flatnonzero(new_extent)[np.cumsum(new_extent) - 1]
@@ -146,13 +148,13 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, seed: int = SEED) ->
     rows = _rows(docs, length, seed)
     hot = _frequent(docs, length, seed)
     is_hot = F.col("anchor").isin(hot) if hot else F.lit(False)
-    dealt = rows.filter(~is_hot).repartition("anchor").sortWithinPartitions("anchor", "extent", "doc", "at")
+    dealt = rows.filter(~is_hot).repartition("anchor").sortWithinPartitions("anchor", "extent", "check", "doc", "at")
     found = dealt.mapInArrow(_scan, "doc long, row long, at long, first boolean")
     if hot:
         busy = rows.filter(is_hot)
         # Written first, so that the join's two sides are dealt by its keys alone and a hot key can be split.
-        first = staged(busy.groupBy("anchor", "extent").agg(F.min(F.struct("doc", "at")).alias("one")))
-        found = found.unionByName(busy.join(first, ["anchor", "extent"]).select(
+        first = staged(busy.groupBy("anchor", "extent", "check").agg(F.min(F.struct("doc", "at")).alias("one")))
+        found = found.unionByName(busy.join(first, ["anchor", "extent", "check"]).select(
             "doc", "row", "at", (F.struct("doc", "at") == F.col("one")).alias("first")))
     found = staged(found)
     windows = staged(_windows(docs, found.filter("first"), length))

@@ -7,6 +7,7 @@ import re
 import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), "scripts"))
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from rollframe.llm import decontaminate, licenses, substring, topk  # noqa: E402
 from rollframe.llm.queries import ORACLES, QUERIES  # noqa: E402
+from rollframe.llm.words import NOT_BLANK, Words, span_hashes  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -102,6 +104,21 @@ def test_substring_rows_that_share_an_id(spark, monkeypatch):
         assert sorted(got, key=str) == sorted(brute_shared_ids(rows, 8), key=str)
 
 
+def test_substring_tells_extents_apart_whose_upper_halves_are_equal(spark, monkeypatch):
+    """Two texts around one anchor that have nothing else in common."""
+    texts = ["71 99f 751 1c9 e0 503 774 624 1c2 78e ba0 a7e 14a 7ab a 951 a23 d32 5e 88d",
+             "56e 999 71b dc3 8c 59 bbf 624 1c2 78e ba0 a7e 14a 28f 1c2 6e3 b74 30e 3f a22"]
+    words = Words(pa.array(texts), NOT_BLANK, False)
+    hashes = words.hashes()
+    place, start, n = substring.anchors(words, hashes, 20, 6)
+    extent = span_hashes(hashes, "word", start, start + n + 19)
+    assert place.tolist() == [7, 27] and extent[0] != extent[1] and extent[0] >> np.uint64(32) == extent[1] >> np.uint64(32)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(9, texts[1])], "doc_id long, text string")
+    for hot in ([], substring._rows(docs.selectExpr("doc_id as doc", "0L as row", "text"), 20, 6).first()[:1]):
+        monkeypatch.setattr(substring, "_frequent", lambda *_: list(hot))
+        assert {r.doc_id: r.n_removed for r in substring.dedup_substrings(docs).collect()} == {0: 0, 1: 0, 9: 20}
+
+
 def words_of(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
