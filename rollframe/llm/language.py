@@ -41,7 +41,8 @@ EFFECTIVE = 12.0
 SMOOTH, UP = 1.0, 5.0
 
 _DROP = re.compile(r"(?is)<(script|style)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[^>]*(?:>|\Z)")
-_DECLARED = re.compile(r"(?is)<html\b[^>]{0,2000}?\blang\s*=\s*[\"']?([a-z]{2,3})")
+_HTML = re.compile(r"(?i)<html\b[^>]*+")
+_LANG = re.compile(r"(?i)\blang\s*+=\s*+[\"']?([a-z]{2,3})")
 _ADDRESS = re.compile(r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)[^/?#]*(?:/([a-z]{2})(?=[/?#]|$))?")
 
 
@@ -51,8 +52,12 @@ def visible(page: str) -> str:
 
 
 def declared(page: str) -> str:
-    found = _DECLARED.search(page[:20_000])
-    return found[1].lower() if found else ""
+    """The language of the page's first <html> tag that has one, wherever in the page it is."""
+    for tag in _HTML.finditer(page):
+        found = _LANG.search(page, tag.start(), tag.end())
+        if found:
+            return found[1].lower()
+    return ""
 
 
 def address(url: str) -> tuple[str, str, str]:

@@ -164,3 +164,11 @@ def test_parts_of_pages():
     assert language.visible("<style>x</style>a<br>b &amp; c<!-- d").split() == ["a", "b", "&", "c"]
     assert language.declared("<!DOCTYPE html><HTML class=x LANG=\"pt-BR\">") == "pt"
     assert re.fullmatch("[a-z]*", language.declared("<html>")) is not None
+
+
+def test_declared_anywhere_in_the_page():
+    """Past a long banner, after long attributes, in a later tag, and in linear time."""
+    assert language.declared("<!-- " + "x" * 300_000 + " --><html lang=fr>") == "fr"
+    assert language.declared("<html data-x='" + "y" * 5_000 + "' lang='de'>") == "de"
+    assert language.declared("<html class=a><p lang=it>" + " " * 30_000 + "<html lang=nl>") == "nl"
+    assert language.declared("<html " * 100_000 + "lang " * 100_000 + ">" + "<html>" * 100_000) == ""
