@@ -164,11 +164,10 @@ def _tile(rows: pa.Table) -> list[tuple[str, tuple]]:
 def compare_tiles(left: pa.Table, right: pa.Table) -> pa.Table:
     """Partial sums of every unordered pair of sources of two tiles, in one block of terms."""
     one = left.slice(0, 1).to_pylist()[0]
-    terms = max(0, min(BLOCK, one["kept"] - one["block"] * BLOCK))
     same, rows = one["i"] == one["j"], []
     others = _tile(right)
     for name, mine in _tile(left):
-        rows += [(name, other, merge(mine, its, terms)) for other, its in others if not same or name < other]
+        rows += [(name, other, merge(mine, its, one["terms"])) for other, its in others if not same or name < other]
     return pa.table({"lang": pa.array([one["lang"]] * len(rows), pa.string()), "a": pa.array([r[0] for r in rows], pa.string()),
                      "b": pa.array([r[1] for r in rows], pa.string()), "value": pa.array([r[2] for r in rows], pa.int64())})
 
@@ -178,8 +177,8 @@ def _ranked(rows: DataFrame, most: int | None = None) -> DataFrame:
     return ranked if most is None else ranked.filter(F.col("rank") <= most)
 
 
-def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
-    """lang, source, part ('pair' or 'term'), item, value, rank."""
+def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, block: int = BLOCK, tile: int = TILE) -> DataFrame:
+    """lang, source, part ('pair' or 'term'), item, value, rank; ``block`` and ``tile`` only deal the work."""
     plain = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
     small_batches(docs.sparkSession)
     counts = staged(plain.mapInArrow(count_terms, "lang string, source string, term string, n long, docs long")
@@ -192,22 +191,22 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFram
     totals = own.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = plain.select("lang", "source").distinct().join(langs, "lang", "left").join(totals, ["lang", "source"], "left").select(
         "lang", "source", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("kept", "lang_total", "total")])
-    groups = staged(row_numbers(groups, ["lang"], ["source"], "place").withColumn("tile", F.floor((F.col("place") - 1) / TILE)))
+    groups = staged(row_numbers(groups, ["lang"], ["source"], "place").withColumn("tile", F.floor((F.col("place") - 1) / tile)))
 
     priced = own.join(groups.select("lang", "source", "kept", "lang_total", "total"), ["lang", "source"]).select(
         "lang", "source", F.col("term").alias("item"), (price("n", "total", "kept") - price("lang_n", "lang_total", "kept")).alias("value"))
     terms = _ranked(priced.filter("value > 0"), top)
 
-    arrays = own.groupBy("lang", "source", F.floor((F.col("id") - 1) / BLOCK).alias("block")).agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("have"))
+    arrays = own.groupBy("lang", "source", F.floor((F.col("id") - 1) / block).alias("block")).agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("have"))
     tiles = groups.groupBy("lang").agg(F.max("tile").alias("last"))
-    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("kept") / BLOCK) - 1, F.lit(0).cast("long"))))
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("kept") / block) - 1, F.lit(0).cast("long"))))
     empty = F.array().cast("array<bigint>")
     vectors = staged(groups.join(tiles, "lang").withColumn("block", blocks).join(arrays, ["lang", "source", "block"], "left").select(
-        "lang", "source", "kept", "total", "tile", "last", "block", F.coalesce("have.id", empty).alias("ids"), F.coalesce("have.n", empty).alias("counts")))
+        "lang", "source", "kept", "total", "tile", "last", "block", F.least(F.lit(block).cast("long"), F.col("kept") - F.col("block") * block).alias("terms"), F.coalesce("have.id", empty).alias("ids"), F.coalesce("have.n", empty).alias("counts")))
     keys = ["lang", "i", "j", "block"]
     left = vectors.withColumn("i", F.col("tile")).withColumn("j", F.explode(F.sequence("tile", "last")))
     right = vectors.withColumn("j", F.col("tile")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), "tile")))
-    wanted = [*keys, "source", "kept", "total", "ids", "counts"]
+    wanted = [*keys, "source", "kept", "total", "terms", "ids", "counts"]
     merged = left.select(wanted).groupBy(*keys).cogroup(right.select(wanted).groupBy(*keys)).applyInArrow(
         compare_tiles, "lang string, a string, b string, value long").groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
     both = merged.select("lang", F.explode(F.array(F.struct(F.col("a").alias("source"), F.col("b").alias("item")),

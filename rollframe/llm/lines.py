@@ -82,14 +82,14 @@ class LineIndex:
         new = arrived
         for run in self.runs():
             new = new.join(run, KEY, "left_anti")
-        name = self.write(new.select(*KEY, "keeper"))
+        first = name = self.write(new.select(*KEY, "keeper"))
         level = 0
         while True:
             if len(self.levels) == level:
                 self.levels.append([])
             self.levels[level].append(name)
             if len(self.levels[level]) < self.fanout:
-                return self.spark.table(name)
+                return self.spark.table(first)
             name = self.write(self._union(self.levels[level]).repartition(self.buckets, *KEY))
             self.levels[level] = []
             level += 1
