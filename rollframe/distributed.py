@@ -8,6 +8,8 @@ fewer rows than there are slices: it is always safe to broadcast.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -177,19 +179,83 @@ def _fold(rows: DataFrame, keys: list[str], index: str, top: int) -> DataFrame:
         (F.col("_z._ex.s") + F.col("_z._ex.p") * F.col("_carry")).alias("after"))
 
 
+#: Accuracy of the rank sketches (errors of about one row in so many) and half the width, as a
+#: share of the rows, of the brackets they give.
+SKETCH = 10_000
+BRACKET = 1 / 2_500
+#: Ranks that a bracket spans to either side at least, whatever its share of the rows.
+LEAST_RANKS = 4
+
+
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Exact linearly interpolated quantiles, without holding a key's values in one task."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    ranked = running(ordered(counts, keys, [value]), keys, [value], {"_hi": F.col("_n")})
-    total = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    ranked = null_safe(ranked, total, keys) if keys else with_row(ranked, total)
-    picks = []
+    """Exact linearly interpolated quantiles, by bracketed selection.
+
+    A rank sketch per key, merged from the tasks' own, bounds each quantile from both sides. A
+    second pass counts the rows between the brackets and, by value, those inside: only these
+    counts are written and put in order. They also tell whether a rank fell outside its
+    bracket; then all brackets are widened, in the end to all values.
+    """
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    width = BRACKET
+    while True:
+        found = stage(_between_brackets(rows, keys, value, probs, width))
+        if width >= 1 or not found.filter("_missed").head(1):
+            return found.drop("_missed")
+        width *= 64
+
+
+def _between_brackets(rows: DataFrame, keys: list[str], value: str, probs: dict[str, float], width: float) -> DataFrame:
+    ends = [e for p in probs.values() for e in (max(0.0, p - width), min(1.0, p + width))]
+    sketched = rows.groupBy(*keys).agg(
+        F.count("*").alias("_total"), F.min("_v").alias("_least"), F.max("_v").alias("_most"), F.percentile_approx("_v", ends, SKETCH).alias("_q"))
+    few = (F.col("_total") * width < LEAST_RANKS) | F.lit(width >= 1)
+    names = [f"_{side}{i}" for i in range(len(probs)) for side in ("lo", "hi")]
+    brackets = stage(sketched.select(*keys, "_total", *[
+        F.when(few, F.col("_least" if j % 2 == 0 else "_most")).otherwise(F.col("_q")[j]).alias(n) for j, n in enumerate(names)]))
+    both = null_safe(rows, brackets, keys) if keys else with_row(rows, brackets)
+    passed = [(F.col("_v") >= F.col(f"_lo{i}"), F.col("_v") > F.col(f"_hi{i}")) for i in range(len(probs))]
+    inside = reduce(lambda a, b: a | b, [low & ~high for low, high in passed])
+    # The number of bracket ends passed grows with the value, so it orders brackets and gaps alike.
+    cell = sum((e.cast("int") for pair in passed for e in pair), F.lit(0))
+    cells = stage(both.select(*keys, "_total", cell.alias("_cell"), F.when(inside, F.col("_v")).alias("_v")).groupBy(*keys, "_total", "_cell", "_v").agg(F.count("*").alias("_n")))
+    ranked = running(ordered(cells, keys, ["_cell", "_v"]), keys, ["_cell", "_v"], {"_up": F.col("_n")})
+    picks, missed = [], []
     for name, p in probs.items():
         spot = F.lit(p) * (F.col("_total") - 1)
         for tag, rank in (("lo", F.floor(spot)), ("up", F.ceil(spot))):
-            here = (rank < F.col("_hi")) & (rank >= F.col("_hi") - F.col("_n"))
-            picks.append(F.max(F.when(here, F.col(value))).alias(f"_{name}_{tag}"))
-    found = ranked.groupBy(*keys).agg(F.first("_total").alias("_total"), *picks)
-    return found.select(*keys, *[
-        (F.col(f"_{n}_lo") + (F.lit(p) * (F.col("_total") - 1) - F.floor(F.lit(p) * (F.col("_total") - 1)))
-         * (F.col(f"_{n}_up") - F.col(f"_{n}_lo"))).alias(n) for n, p in probs.items()])
+            here = (rank < F.col("_up")) & (rank >= F.col("_up") - F.col("_n"))
+            picks.append(F.max(F.when(here, F.col("_v"))).alias(f"_{name}_{tag}"))
+            missed.append(here & F.col("_v").isNull())
+    found = ranked.groupBy(*keys).agg(F.first("_total").alias("_total"), F.bool_or(reduce(lambda a, b: a | b, missed)).alias("_missed"), *picks)
+    part = {n: F.lit(p) * (F.col("_total") - 1) - F.floor(F.lit(p) * (F.col("_total") - 1)) for n, p in probs.items()}
+    return found.select(*keys, "_missed", *[
+        (F.col(f"_{n}_lo") + part[n] * (F.col(f"_{n}_up") - F.col(f"_{n}_lo"))).alias(n) for n in probs])
+
+
+def first_rows(df: DataFrame, order: str, count: int, unique: str | None = None, without: DataFrame | None = None) -> DataFrame:
+    """The first ``count`` rows by ``order`` with their number (``_pos``, from 1), by bounded selection.
+
+    With ``unique``, only the first row of each of its values counts, and not if ``without``
+    holds the value. A rank sketch of ``order`` bounds the rows that are looked at; they alone
+    are made, compared and numbered. If too few of them count, the bound moves up by ranks in
+    geometric progression, so the work stays in proportion to the rows that are needed. Rows
+    without an order take no part.
+    """
+    df = df.filter(F.col(order).isNotNull())
+    kind, bounds = dict(df.dtypes)[order], []
+    if kind in ("tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp") or kind.startswith("decimal"):
+        shares = [4.0 ** -i for i in range(6, 0, -1)]
+        n, bounds = df.agg(F.count(order), F.percentile_approx(order, shares, SKETCH)).first()
+        bounds = sorted({b for b, share in zip(bounds or [], shares) if share * n >= 2 * count})
+    for bound in [*bounds, None]:
+        some = df if bound is None else df.filter(F.col(order) <= F.lit(bound))
+        if unique is not None:
+            # The first holder overall, if it lies below the bound at all.
+            some = some.groupBy(unique).agg(F.min(order).alias(order))
+            if without is not None:
+                some = stage(some)
+                taken = stage(without.select(unique).join(some.select(unique), unique, "left_semi").distinct())
+                some = some.join(taken, unique, "left_anti")
+        some = stage(some)
+        if bound is None or some.count() >= count:
+            return row_numbers(some, [], [order], "_pos").filter(F.col("_pos") <= count)

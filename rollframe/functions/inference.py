@@ -4,6 +4,7 @@ hypergeometric terms)."""
 
 from __future__ import annotations
 
+import functools
 import math
 from statistics import NormalDist
 
@@ -11,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 
 def wilson(successes: Column, trials: Column, confidence: float = 0.95) -> Column:
@@ -49,31 +50,83 @@ def efficiency(rate: Column, hours: Column) -> Column:
                     F.when(some, hours / F.greatest(rate, F.lit(1e-6))).otherwise(float("inf")).alias("gpu_hours_per_success_point"))
 
 
-def _exact_u_tail(u: float, n1: int, n2: int) -> float:
-    """P(U >= u) without ties: coefficients of the Gaussian binomial."""
-    small, large = min(n1, n2), max(n1, n2)
-    ways = np.zeros(small * large + 1)
-    ways[0] = 1.0
-    for i in range(1, small + 1):
-        step = large + i
-        ways[step:] -= ways[:-step].copy() if step < len(ways) else 0.0
-        for start in range(i):
-            ways[start::i] = np.cumsum(ways[start::i])
-    return float(ways[math.ceil(u):].sum() / ways.sum())
+#: The smaller sample up to which the tail has a closed form of bounded size.
+CLOSED_FORM = 10
+
+
+@functools.cache
+def _box_counts(m: int) -> tuple[int, list[int]]:
+    """Period and numerator of 1 / ((1 - q) (1 - q) ... (1 - q**m)), over the power m + 1 of (1 - q**period)."""
+    period = math.lcm(*range(1, m + 1))
+    numerator = [1]
+    for i in (1, *range(1, m + 1)):
+        out = numerator + [0] * (period - i)
+        for at in range(i, len(out)):  # over (1 - q**i)
+            out[at] += out[at - i]
+        for at in range(len(out) - 1, period - 1, -1):  # times (1 - q**period)
+            out[at] -= out[at - period]
+        numerator = out
+    return period, numerator
+
+
+def exact_u_tail(u: float, n1: int, n2: int) -> float:
+    """P(U >= u) of two samples without ties, in whole numbers and bounded memory.
+
+    The distribution is symmetric, so the tail has ``d = n1 n2 - ceil(u)`` as its last value
+    when counted from the other end. Up to ``CLOSED_FORM`` in the smaller sample, the number of
+    arrangements with U of ``d`` at most is a signed sum of binomials, whatever the larger sample.
+    Beyond, a recurrence runs over the tail alone, in memory proportional to ``d``.
+    """
+    m, n = min(n1, n2), max(n1, n2)
+    d = m * n - math.ceil(u)
+    if d < 0:
+        return 0.0
+    every = math.comb(m + n, m)
+    if m > CLOSED_FORM:
+        ways = [1] + [0] * d
+        for i in range(1, m + 1):
+            for at in range(d, n + i - 1, -1):
+                ways[at] -= ways[at - n - i]
+            for at in range(i, d + 1):
+                ways[at] += ways[at - i]
+        return sum(ways) / every
+    period, numerator = _box_counts(m)
+    # Signed sizes of the sets of factors (1 - q**(n + i)): count of members, sum of their i.
+    signs = {(0, 0): 1}
+    for i in range(1, m + 1):
+        for (k, total), sign in list(signs.items()):
+            signs[k + 1, total + i] = signs.get((k + 1, total + i), 0) - sign
+    found = 0
+    for (k, total), sign in signs.items():
+        left = d - k * n - total
+        for j in range(left % period, min(len(numerator), left + 1), period) if left >= 0 else ():
+            found += sign * numerator[j] * math.comb((left - j) // period + m, m)
+    return found / every
+
+
+def mann_whitney_p(u: Column | str, n1: Column | str, n2: Column | str, ties: Column | str, method: str = "auto") -> Column:
+    """Two-sided p from U, sizes and the tie sum.
+
+    ``exact`` takes the distribution of samples without ties, ``normal`` the normal form with
+    corrections for ties and continuity. ``auto`` is the reference rule: exact where there are no
+    ties and the smaller sample has at most 8 values.
+    """
+    if method not in ("auto", "exact", "normal"):
+        raise ValueError("method must be auto, exact or normal")
+    return _rank_test_p(u, n1, n2, ties, F.lit(method))
 
 
 @F.pandas_udf(DoubleType())
-def mann_whitney_p(u: pd.Series, n1: pd.Series, n2: pd.Series, ties: pd.Series) -> pd.Series:
-    """Two-sided p from U, sizes and the tie sum; exact for a small untied sample."""
+def _rank_test_p(u: pd.Series, n1: pd.Series, n2: pd.Series, ties: pd.Series, method: pd.Series) -> pd.Series:
     out = []
-    for uu, a, b, t in zip(u, n1, n2, ties):
+    for uu, a, b, t, how in zip(u, n1, n2, ties, method):
         a, b = int(a), int(b)
         if a < 1 or b < 1:
             out.append(1.0)
             continue
         top = max(uu, a * b - uu)
-        if min(a, b) <= 8 and t == 0:
-            out.append(min(1.0, 2 * _exact_u_tail(top, a, b)))
+        if how == "exact" or how == "auto" and min(a, b) <= 8 and t == 0:
+            out.append(min(1.0, 2 * exact_u_tail(top, a, b)))
             continue
         n = a + b
         var = a * b / 12.0 * ((n + 1) - t / (n * (n - 1.0)))
@@ -115,7 +168,7 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
     tiny, c, d = 1e-300, 1.0, 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / (d if abs(d) > tiny else tiny)
     h = d
-    for m in range(1, 500):
+    for m in range(1, 20_000):
         for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
                     -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1.0 + num * d
@@ -124,8 +177,8 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             c = c if abs(c) > tiny else tiny
             h *= d * c
         if abs(d * c - 1.0) < 1e-15:
-            break
-    return h
+            return h
+    raise ArithmeticError(f"the incomplete beta function did not converge at {a}, {b}, {x}")
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:
@@ -149,3 +202,60 @@ def pearson_p(r: pd.Series, n: pd.Series) -> pd.Series:
         else:
             out.append(incomplete_beta((nn - 2) / 2.0, 0.5, max(0.0, 1.0 - rr * rr)))
     return pd.Series(out, dtype="float64")
+
+
+def _majority(votes: list[tuple[float, int]], size: int) -> float:
+    """Expected winner of a vote among ``size`` of the samples, all subsets alike; ties go to the larger value.
+
+    For every number of votes that a value may win with, the ways to draw the rest are the
+    coefficient of a product of polynomials: smaller values may have as many votes, larger ones fewer.
+    """
+    def times(poly: list[int], count: int, most: int, degree: int) -> list[int]:
+        ways = [math.comb(count, j) for j in range(min(count, most, degree) + 1)]
+        out = [0] * min(degree + 1, len(poly) + len(ways) - 1)
+        for i, a in enumerate(poly):
+            for j, b in enumerate(ways[: len(out) - i]):
+                out[i + j] += a * b
+        return out
+
+    total = 0.0
+    every = math.comb(sum(n for _, n in votes), size)
+    for k in range(1, min(size, max(n for _, n in votes)) + 1):
+        degree = size - k
+        above = [[1]]
+        for _, n in votes[:0:-1]:
+            above.append(times(above[-1], n, k - 1, degree))
+        below = [1]
+        for (x, n), high in zip(votes, above[::-1]):
+            if n >= k:
+                rest = sum(a * high[degree - i] for i, a in enumerate(below) if 0 <= degree - i < len(high))
+                total += x * (math.comb(n, k) * rest / every)
+            below = times(below, n, k, degree)
+    return total
+
+
+def _best(votes: list[tuple[float, int]], size: int) -> float:
+    """Expected largest of ``size`` of the samples: every value weighs the share of subsets it tops."""
+    every, before, upto, total = math.comb(sum(n for _, n in votes), size), 0, 0, 0.0
+    for x, n in votes:
+        upto += n
+        ways = math.comb(upto, size)
+        total += x * ((ways - before) / every)
+        before = ways
+    return total
+
+
+_DRAWN = ArrayType(StructType([StructField("size", IntegerType()), StructField("best", DoubleType()), StructField("maj", DoubleType())]))
+
+
+@F.pandas_udf(_DRAWN)
+def drawn_metrics(votes: pd.Series) -> pd.Series:
+    """Expected best and majority of N samples drawn without repetition, for N = 1, 2, 4, ... below
+    the number of samples, and for all of them. Takes (value, count) by ascending value. Exact."""
+    out = []
+    for row in votes:
+        table = [(float(v["x"]), int(v["n"])) for v in row]
+        count = sum(n for _, n in table)
+        sizes = [2 ** i for i in range(count.bit_length()) if 2 ** i < count] + [count]
+        out.append([{"size": s, "best": _best(table, s), "maj": _majority(table, s)} for s in sizes])
+    return pd.Series(out)

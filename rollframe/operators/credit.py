@@ -146,10 +146,14 @@ def whiten(turns: DataFrame, advantage: str = "advantage", tokens: str = "tokens
            eps: float = 1e-8, bessel: bool = True, shift_mean: bool = True) -> DataFrame:
     """Whiten a per-turn value as if it stood on each of the turn's tokens."""
     a, n = F.col(advantage), F.col(tokens)
-    # The mean first, then squared gaps from it: squares of the values themselves would cancel.
-    mean = turns.agg(F.sum(n).alias("_n"), (F.sum(a * n) / F.sum(n)).alias("_m"))
-    gaps = with_row(turns.select(a.alias("_a"), n.alias("_t")), mean).agg(
-        F.sum((F.col("_a") - F.col("_m")) * (F.col("_a") - F.col("_m")) * F.col("_t")).alias("_q"), F.first("_n").alias("_n"), F.first("_m").alias("_m"))
+    # Moments of the rows of each token count come from one pass, and are merged as Spark merges
+    # those of tasks: squares of the values themselves would cancel.
+    parts = turns.groupBy(n.alias("t")).agg(F.count("*").alias("rows"), F.count(a).alias("c"), F.avg(a).alias("m"), F.var_pop(a).alias("v"))
+    sum_of = lambda value: F.aggregate("_parts", F.lit(0.0), lambda s, p: s + F.coalesce(value(p), F.lit(0.0)))
+    gaps = parts.filter("t IS NOT NULL").agg(F.collect_list(F.struct("t", "rows", "c", "m", "v")).alias("_parts")).select(
+        "_parts", sum_of(lambda p: p["t"] * p["rows"]).alias("_n")).filter("_n > 0")
+    gaps = gaps.withColumn("_m", sum_of(lambda p: p["t"] * p["c"] * p["m"]) / F.col("_n"))
+    gaps = gaps.select("_n", "_m", sum_of(lambda p: p["t"] * p["c"] * (p["v"] + (p["m"] - F.col("_m")) * (p["m"] - F.col("_m")))).alias("_q"))
     var = F.col("_q") / F.col("_n")
     if bessel:
         var = F.when(F.col("_n") > 1, F.col("_q") / (F.col("_n") - 1)).otherwise(var)

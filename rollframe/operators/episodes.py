@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from rollframe.distributed import ordered, previous, running, with_row
+from rollframe.functions import inference as I
 from rollframe.functions import text as X
 from rollframe.operators.groups import comparable_variance
 from rollframe.operators.trajectories import drop_copies, trajectory_records
@@ -145,26 +146,31 @@ def reward_histogram(rows: DataFrame, by: str, value: str, bins: int = 20) -> Da
 def validation_metrics(samples: DataFrame, source: str, prompt: str, variables: list[str]) -> DataFrame:
     """mean, best and majority at N per data source, named by importance.
 
-    N is the number of samples of a prompt. The core variable is ``acc`` if present, else
-    ``reward``; its metrics at the largest N are the core ones. A tied vote goes to the
-    larger value.
+    The mean is over all samples of a prompt, N of them. Best and majority are taken at N and
+    at every power of two below it: there they are the expected best and the expected winner of
+    a vote among as many samples drawn without repetition, over all subsets and without
+    resampling. The core variable is ``acc`` if present, else ``reward``; its metrics at the
+    largest N are the core ones. A tied vote goes to the larger value. Samples are counted by
+    value first; what is worked on per prompt is its table of votes.
     """
     core = "acc" if "acc" in variables else "reward"
     long = samples.select(source, prompt, F.explode(F.array(*[
         F.struct(F.lit(v).alias("variable"), F.col(v).cast("double").alias("x")) for v in variables])).alias("z")).select(
-            source, prompt, "z.*")
+            source, prompt, "z.*").filter("x IS NOT NULL")
     keys = [source, prompt, "variable"]
     votes = long.groupBy(*keys, "x").agg(F.count("*").alias("n"))
-    per = votes.groupBy(*keys).agg(
-        F.sum("n").alias("N"), (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean"), F.max("x").alias("best"),
-        F.max_by("x", F.struct("n", "x")).alias("maj"))
-    at_n = per.groupBy(source, "variable", "N").agg(F.avg("mean").alias("mean"), F.avg("best").alias("best"), F.avg("maj").alias("maj"))
-    top = at_n.groupBy(source, "variable").agg(F.max("N").alias("_top"))
-    wide = at_n.join(top, [source, "variable"])
-    section = F.when((F.col("variable") == core) & (F.col("N") == F.col("_top")), "val-core").otherwise("val-aux")
-    return wide.select(section.alias("_s"), source, "variable", "N", F.explode(F.array(*[
-        F.struct(F.lit(m).alias("m"), F.col(m).alias("metric_value")) for m in ("mean", "best", "maj")])).alias("z")).select(
-            F.concat_ws("/", "_s", source, "variable", F.concat("z.m", F.lit("@"), "N")).alias("metric"), "z.metric_value")
+    per = votes.groupBy(*keys).agg(F.sum("n").alias("N"), (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean"),
+                                   F.sort_array(F.collect_list(F.struct("x", "n"))).alias("votes"))
+    # Equal tables of votes, most of them for a yes-or-no variable, are worked out once.
+    tables = per.select("votes").distinct().withColumn("drawn", I.drawn_metrics("votes"))
+    drawn = per.join(tables, "votes").select(source, "variable", "N", "mean", F.explode("drawn").alias("d"))
+    at_n = drawn.groupBy(source, "variable", F.col("d.size").cast("long").alias("size")).agg(
+        F.avg(F.when(F.col("d.size") == F.col("N"), F.col("mean"))).alias("mean"), F.avg("d.best").alias("best"), F.avg("d.maj").alias("maj"))
+    top = at_n.groupBy(source, "variable").agg(F.max("size").alias("_top"))
+    section = F.when((F.col("variable") == core) & (F.col("size") == F.col("_top")), "val-core").otherwise("val-aux")
+    return at_n.join(top, [source, "variable"]).select(section.alias("_s"), source, "variable", "size", F.explode(F.array(*[
+        F.struct(F.lit(m).alias("m"), F.col(m).alias("metric_value")) for m in ("mean", "best", "maj")])).alias("z")).filter(
+            "z.metric_value IS NOT NULL").select(F.concat_ws("/", "_s", source, "variable", F.concat("z.m", F.lit("@"), "size")).alias("metric"), "z.metric_value")
 
 
 def sample_for_logging(rows: DataFrame, text: str, n: int, seed: int = 42) -> DataFrame:

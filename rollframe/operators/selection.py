@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollframe.distributed import row_numbers, with_row
+from rollframe.distributed import first_rows, with_row
 from rollframe.functions.inference import wilson
 from rollframe.operators.trajectories import assign_ids, issues
 
@@ -185,26 +185,30 @@ def select_disjoint(candidates: DataFrame, order: str, count: int, excluded: Dat
     The same choice as examining candidates one by one: only the first holder of a
     fingerprint can be taken. Needs ``order`` unique. Too few is an error.
     """
+    return _first_unseen(candidates, order, count, excluded).select(order, "fingerprint")
+
+
+def _first_unseen(candidates: DataFrame, order: str, count: int, excluded: DataFrame | None) -> DataFrame:
     if count <= 0:
         raise ValueError("count must be positive")
-    first = candidates.groupBy("fingerprint").agg(F.min(order).alias(order))
-    if excluded is not None:
-        first = first.join(excluded.select("fingerprint").distinct(), "fingerprint", "left_anti")
-    chosen = row_numbers(first, [], [order], "_pos").filter(F.col("_pos") <= count)
+    chosen = first_rows(candidates.select(order, "fingerprint"), order, count, "fingerprint", excluded)
     total = chosen.agg(F.count("*").alias("_n"))
     short = F.when(F.col("_n") < count, F.raise_error(F.concat(
         F.lit("not enough disjoint items: "), F.col("_n").cast("string"))).cast("boolean"))
-    return with_row(chosen, total).filter(short.isNull()).select(order, "fingerprint")
+    return with_row(chosen, total).filter(short.isNull())
 
 
 def build_split(candidates: DataFrame, train: DataFrame, order: str, validation: int, test: int) -> DataFrame:
-    """Train fingerprints stay; validation and then test take unseen ones."""
+    """Train fingerprints stay; validation and then test take unseen ones.
+
+    One selection serves both: test takes what follows validation among the unseen ones.
+    """
+    if validation <= 0 or test <= 0:
+        raise ValueError("count must be positive")
     train = train.select(F.col(order), "fingerprint")
-    pool = candidates.select(order, "fingerprint")
-    val = select_disjoint(pool, order, validation, train)
-    tst = select_disjoint(pool, order, test, train.select("fingerprint").unionByName(val.select("fingerprint")))
-    return (train.withColumn("split", F.lit("train")).unionByName(val.withColumn("split", F.lit("validation")))
-            .unionByName(tst.withColumn("split", F.lit("test"))))
+    held = _first_unseen(candidates, order, validation + test, train).select(
+        order, "fingerprint", F.when(F.col("_pos") <= validation, "validation").otherwise("test").alias("split"))
+    return train.withColumn("split", F.lit("train")).unionByName(held)
 
 
 def split_problems(items: DataFrame, train_range: tuple[int, int], declared: dict[str, int] | None = None) -> DataFrame:

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from rollframe.distributed import exact_quantiles, ordered, running, with_row
+from rollframe.distributed import exact_quantiles, null_safe, ordered, running, with_row
+from rollframe.functions import draws as D
 from rollframe.functions import inference as I
 from rollframe.operators.trajectories import issues
 
@@ -30,41 +26,29 @@ def bootstrap_mean(values: DataFrame, by: list[str], value: str, confidence: flo
                    resamples: int = 10000, seed: int = 42) -> DataFrame:
     """Percentile interval of the mean from a Poisson bootstrap.
 
-    Equal values are counted first; each distinct value then draws its own weights from a
-    seed made of the value, so the draw does not depend on partitions or retries. Every
+    Equal values (to 13 digits) are counted first. A value that occurs n times weighs a Poisson
+    count of mean n in each resample, drawn by :mod:`rollframe.functions.draws` from the seed, the
+    group, the value and the resample, so it depends on no partition, retry or engine. Every
     task adds up its values per resample before anything is shuffled.
     """
-    hist = values.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_x")).agg(F.count("*").alias("_n"))
-    schema = T.StructType([*[hist.schema[c] for c in by], T.StructField("_b", T.IntegerType()),
-                           T.StructField("_w", T.DoubleType()), T.StructField("_s", T.DoubleType())])
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for key, rows in (batch.groupby(by, dropna=False) if by else [((), batch)]):
-                weights, sums = np.zeros(resamples), np.zeros(resamples)
-                for x, n in zip(rows["_x"], rows["_n"]):
-                    bits = int(np.float64(x).view(np.uint64))
-                    w = np.random.default_rng([seed, bits]).poisson(n, resamples)
-                    weights += w
-                    sums += w * x
-                out = pd.DataFrame({"_b": np.arange(resamples, dtype="int32"), "_w": weights, "_s": sums})
-                for c, v in zip(by, key if isinstance(key, tuple) else (key,)):
-                    out[c] = v
-                yield out[[*by, "_b", "_w", "_s"]]
-
-    means = hist.mapInPandas(draw, schema).groupBy(*by, "_b").agg((F.sum("_s") / F.nullif(F.sum("_w"), F.lit(0.0))).alias("_m"))
+    x = F.col(value).cast("double")
+    hist = values.filter(F.col(value).isNotNull()).groupBy(*by, D.number_text(x).alias("_text")).agg(F.count("*").alias("_n"), F.min(x).alias("_x"))
+    seeded = hist.withColumn("_seed", D.text_seed(F.lit(str(seed)), *[F.col(c).cast("string") for c in by], F.col("_text")))
+    every = seeded.select(*by, "_n", "_x", "_seed", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("_b"))
+    drawn = D.poisson_draws(every, "_n", "_seed", "_b", "_w")
+    means = drawn.groupBy(*by, "_b").agg((F.sum(F.col("_w") * F.col("_x")) / F.nullif(F.sum("_w"), F.lit(0.0))).alias("_m"))
     alpha = (1 - confidence) / 2
     # One value per resample: the group has a fixed size.
     ends = means.groupBy(*by).agg(F.percentile("_m", F.array(F.lit(alpha), F.lit(1 - alpha))).alias("q"))
     point = hist.groupBy(*by).agg(F.sum("_n").alias("n"), (F.sum(F.col("_x") * F.col("_n")) / F.sum("_n")).alias("mean"))
-    both = point.join(ends, by) if by else with_row(point, ends)
+    both = null_safe(point, ends, by) if by else with_row(point, ends)
     single = F.col("n") == 1
     return both.select(*by, "n", "mean", F.when(single, F.col("mean")).otherwise(F.col("q")[0]).alias("ci_low"),
                        F.when(single, F.col("mean")).otherwise(F.col("q")[1]).alias("ci_high"))
 
 
-def mann_whitney(values: DataFrame, by: list[str], value: str, side: str) -> DataFrame:
-    """U of the ``side = true`` sample against the other, with sizes, tie sum, z and p.
+def mann_whitney(values: DataFrame, by: list[str], value: str, side: str, method: str = "auto") -> DataFrame:
+    """U of the ``side = true`` sample against the other, with sizes, tie sum, z and p (by ``method``).
 
     Values are counted per side first; the running count of the other side then gives U
     without ranking single rows.
@@ -82,7 +66,7 @@ def mann_whitney(values: DataFrame, by: list[str], value: str, side: str) -> Dat
     var = n1 * n2 / 12 * ((n + 1) - F.col("ties") / F.nullif(n * (n - 1), F.lit(0.0)))
     top = F.greatest(F.col("u"), n1 * n2 - F.col("u"))
     return stats.withColumn("z", F.when(var > 0, (top - n1 * n2 / 2 - 0.5) / F.sqrt(var))).withColumn(
-        "p_value", I.mann_whitney_p("u", "n1", "n2", "ties"))
+        "p_value", I.mann_whitney_p("u", "n1", "n2", "ties", method))
 
 
 def _pairs(spark, names: list[str]) -> DataFrame:

@@ -87,14 +87,16 @@ def eva9_errors(spark, sf):
 @query("EVA10", f"""WITH {views.TRAJ}, long AS (
   SELECT run, group_idx, 'reward' AS variable, round(reward, 6) AS x FROM traj UNION ALL
   SELECT run, group_idx, 'acc', CASE WHEN success THEN 1.0 ELSE 0.0 END FROM traj)
-, votes AS (SELECT run, group_idx, variable, x, count(*) AS n FROM long GROUP BY 1, 2, 3, 4)
-, per AS (SELECT run, group_idx, variable, sum(n) AS N_, sum(x * n) / sum(n) AS mean_, max(x) AS best_,
-          arg_max(x, n * 1000000.0 + x) AS maj_ FROM votes GROUP BY 1, 2, 3)
-, a AS (SELECT run, variable, N_, avg(mean_) AS mean_, avg(best_) AS best_, avg(maj_) AS maj_, max(N_) OVER (PARTITION BY run, variable) AS top
-        FROM per GROUP BY 1, 2, 3)
-, z AS (SELECT *, 'mean' AS m, mean_ AS v FROM a UNION ALL SELECT *, 'best', best_ FROM a UNION ALL SELECT *, 'maj', maj_ FROM a)
-SELECT concat(CASE WHEN variable = 'acc' AND N_ = top THEN 'val-core' ELSE 'val-aux' END, '/', run, '/', variable, '/', m, '@', CAST(N_ AS BIGINT)) AS metric,
-  {r6('v')} AS metric_value FROM z""")
+, numbered AS (SELECT *, row_number() OVER (PARTITION BY run, group_idx, variable ORDER BY x) - 1 AS i, count(*) OVER (PARTITION BY run, group_idx, variable) AS n FROM long)
+, sets AS (SELECT *, unnest(range(1, CAST(1 AS BIGINT) << n)) AS mask FROM (SELECT run, group_idx, variable, any_value(n) AS n FROM numbered GROUP BY 1, 2, 3))
+, wanted AS (SELECT *, bit_count(mask) AS size FROM sets WHERE bit_count(mask) = n OR bit_count(bit_count(mask)) = 1)
+, votes AS (SELECT w.run, w.group_idx, w.variable, w.n, size, mask, x, count(*) AS c FROM wanted w JOIN numbered m ON w.run = m.run AND w.group_idx = m.group_idx AND w.variable = m.variable AND (mask >> i) & 1 = 1 GROUP BY ALL)
+, won AS (SELECT run, group_idx, variable, n, size, mask, max(x) AS best, arg_max(x, c * 1000000.0 + x) AS maj, sum(x * c) / sum(c) AS mean FROM votes GROUP BY ALL)
+, per AS (SELECT run, group_idx, variable, size, avg(best) AS best, avg(maj) AS maj, avg(mean) FILTER (size = n) AS mean FROM won GROUP BY ALL)
+, a AS (SELECT run, variable, size, avg(mean) AS mean, avg(best) AS best, avg(maj) AS maj, max(size) OVER (PARTITION BY run, variable) AS top FROM per GROUP BY 1, 2, 3)
+, z AS (SELECT *, 'mean' AS m, mean AS v FROM a UNION ALL SELECT *, 'best', best FROM a UNION ALL SELECT *, 'maj', maj FROM a)
+SELECT concat(CASE WHEN variable = 'acc' AND size = top THEN 'val-core' ELSE 'val-aux' END, '/', run, '/', variable, '/', m, '@', size) AS metric,
+  {r6('v')} AS metric_value FROM z WHERE v IS NOT NULL""")
 def eva10(spark, sf):
     records = trajectories.trajectory_records(views.turns(spark, sf))
     run = views.turns(spark, sf).filter("turn_idx = 1").select(*trajectories.TRAJECTORY, "run")

@@ -12,10 +12,12 @@ from rollframe.plans.catalog import query, r6, table
 from rollframe.plans.trajectory_queries import GROUPS, trajectory_rewards
 from rollframe.session import stage_path
 from rollframe.sources import readers as R
+from rollframe.sources import tails
 from rollframe.sources import writers as W
+from rollframe.streaming.jobs import run_once
 
 
-def rollout_lines(spark, sf):
+def rollout_lines(spark, sf, *more):
     """Turns as JSON lines with some blank lines, numbers, lists and broken text between them."""
     rows = views.turns(spark, sf)
     k = F.col("row_key")
@@ -24,7 +26,7 @@ def rollout_lines(spark, sf):
         F.col("traj_success").alias("traj_success"), "state_anchor", F.struct((F.col("tokens") * 1.0).alias("num_turns")).alias("reward_extra_info"), F.lit("x").alias("extra_key")))
     value = F.when(k % 29 == 0, F.lit("  ")).when(k % 31 == 0, F.lit("[1, 2]")).when(k % 37 == 0, F.lit("17")).when(k % 41 == 0, F.lit('{"score": ')).otherwise(record)
     path = F.concat(F.lit("/runs/a/rollouts/"), F.col("step").cast("string"), F.lit(".jsonl"))
-    return rows.select(value.alias("value"), path.alias("path"))
+    return rows.select(value.alias("value"), path.alias("path"), *more)
 
 
 _KEPT = "row_key % 29 <> 0 AND row_key % 31 <> 0 AND row_key % 37 <> 0 AND row_key % 41 <> 0"
@@ -42,6 +44,20 @@ def src1(spark, sf):
                     F.count_if("traj_success").alias("successes"), F.sum("reward_extra_info.num_turns").alias("declared"))
 
 
+_PLACES = """, placed AS (SELECT *, row_key % 8 AS part, row_number() OVER (PARTITION BY step, row_key % 8 ORDER BY uid, turn_idx) AS line FROM turns)"""
+
+
+@query("SRC1_lines", f"""WITH {views.TURNS}{_PLACES} SELECT step, CAST(part AS INTEGER) AS part, CAST(line AS BIGINT) AS line, '{{"score":' AS text FROM placed WHERE {_BAD}""")
+def src1_lines(spark, sf):
+    """One file for every step and part, its lines in the order of the rows."""
+    path = stage_path(spark, "lines")
+    lines = rollout_lines(spark, sf, "step", F.pmod("row_key", F.lit(8)).cast("int").alias("part"), "uid", "turn_idx").repartition("step", "part")
+    lines.sortWithinPartitions("step", "part", "uid", "turn_idx").select("step", "part", "value").write.partitionBy("step", "part").text(path)
+    bad = R.bad_lines(spark, path)
+    folder = lambda name: F.regexp_extract("path", rf"/{name}=(\d+)/", 1).cast("int").alias(name)
+    return bad.select(folder("step"), folder("part"), "line", "text")
+
+
 @query("SRC2", f"WITH {views.TURNS} SELECT step, CAST(count(*) AS BIGINT) AS rows FROM turns WHERE {_KEPT} GROUP BY 1")
 def src2(spark, sf):
     rows = R.parse_rollout_lines(rollout_lines(spark, sf))
@@ -139,13 +155,38 @@ def src6(spark, sf):
         F.count("*").alias("samples"), F.sum("power_watts").alias("power"), F.count("power_watts").alias("known_power"), F.count("utilization_percent").alias("known_use"))
 
 
-@query("SRC7", f"""SELECT event_id, CAST(user_id % 8 AS INTEGER) AS gpu_index, {r6('value')} AS memory_used_mib, {r6("CASE WHEN event_type <> 'error' THEN 50 END")} AS power_watts FROM events WHERE event_id % 5 <> 1 AND event_id % 7 <> 1""")
-def src7(spark, sf):
+_DEVICE = f"""SELECT event_id, CAST(user_id % 8 AS INTEGER) AS gpu_index, {r6('value')} AS memory_used_mib, {r6("CASE WHEN event_type <> 'error' THEN 50 END")} AS power_watts FROM events WHERE event_id % 5 <> 1 AND event_id % 7 <> 1"""
+
+
+def device_lines(spark, sf):
+    """Sampler lines, some with a wrong number or field count; the name has the event."""
     k = F.col("event_id")
-    line = F.concat((F.col("user_id") % 8).cast("string"), F.lit(", device A , "), F.when(k % 5 == 1, "lots").otherwise(F.col("value").cast("string")), F.lit(", 80.0, 7,"),
-                    F.when(F.col("event_type") == "error", " [N/A]").otherwise(" 50.0"), F.when(k % 7 == 1, ", extra").otherwise(""))
-    rows = R.parse_device_lines(table(spark, sf, "events").select("event_id", line.alias("value")))
-    return rows.select("event_id", "gpu_index", "memory_used_mib", "power_watts")
+    return table(spark, sf, "events").select(k, F.concat(
+        (F.col("user_id") % 8).cast("string"), F.lit(", device "), k.cast("string"), F.lit(" , "), F.when(k % 5 == 1, "lots").otherwise(F.col("value").cast("string")), F.lit(", 80.0, 7,"),
+        F.when(F.col("event_type") == "error", " [N/A]").otherwise(" 50.0"), F.when(k % 7 == 1, ", extra").otherwise("")).alias("value"))
+
+
+def of_devices(lines):
+    rows = R.parse_device_lines(lines)
+    return rows.select(F.regexp_extract("gpu_name", "[0-9]+", 0).cast("long").alias("event_id"), "gpu_index", "memory_used_mib", "power_watts")
+
+
+@query("SRC7", _DEVICE)
+def src7(spark, sf):
+    path = stage_path(spark, "samples")
+    device_lines(spark, sf).select("value").write.text(path)
+    return of_devices(tails.read_lines(spark, path, ".txt", range_bytes=1 << 16))
+
+
+@query("SRC7_stream", _DEVICE)
+def src7_stream(spark, sf):
+    """Three parts arrive one after the other; the stream goes on from its offsets."""
+    path, base = stage_path(spark, "samples"), stage_path(spark, "stream")
+    lines = device_lines(spark, sf)
+    for i in range(3):
+        lines.filter(F.col("event_id") % 3 == i).select("value").write.mode("append").text(path)
+        rows = run_once(of_devices(tails.stream_lines(spark, path, ".txt")), f"{base}/out", f"{base}/checkpoint")
+    return rows
 
 
 @query("SRC8", f"""WITH t AS (SELECT o_orderkey AS k, unnest(generate_series(0, o_orderkey % 4)) AS turn FROM orders) SELECT concat('s', k) AS sample, CAST(turn AS INTEGER) AS turn, turn % 2 = 0 AS is_exploration_phase,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rollframe.functions import draws
 from rollframe.functions import inference as I
 from rollframe.operators import comparison, credit
 from rollframe.operators import exploration as X
@@ -50,7 +51,18 @@ def sta1(spark, sf):
     return b.select("lang", "successes", "trials", ci["low"].alias("low"), ci["high"].alias("high"))
 
 
-@query("STA2")
+def bootstrap_sql(source: str, key: str, x: str, resamples: int = 10000) -> str:
+    """Tables ``hist``, ``resampled`` and ``boot`` (key, n, mean, ci_low, ci_high) of a table with one row per value."""
+    every = f"""(SELECT {key}, n, x, CAST(concat('0x', substr(md5(concat_ws('|', '42', {key}, txt)), 1, 7)) AS BIGINT) AS seed, b FROM hist, range({resamples}) r(b))"""
+    return f"""hist AS (SELECT {key}, printf('%.12e', CAST({x} AS DOUBLE) + 0.0) AS txt, count(*) AS n, min(CAST({x} AS DOUBLE)) AS x FROM {source} GROUP BY 1, 2)
+, resampled AS (SELECT {key}, b, sum(w * x) / nullif(sum(w), 0) AS m FROM ({draws.poisson_draws_sql(every, 'n', 'seed', 'b', 'w')}) GROUP BY 1, 2)
+, ends AS (SELECT {key}, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM resampled GROUP BY 1)
+, boot AS (SELECT {key}, sum(n) AS n, sum(n * x) / sum(n) AS mean, CASE WHEN sum(n) = 1 THEN min(x) ELSE any_value(low) END AS ci_low, CASE WHEN sum(n) = 1 THEN min(x) ELSE any_value(high) END AS ci_high
+  FROM hist JOIN ends USING ({key}) GROUP BY 1)"""
+
+
+@query("STA2", f"""WITH {views.EPISODES}, won AS (SELECT * FROM episodes WHERE success), {bootstrap_sql('won', 'method', 'num_turns')}
+SELECT method, CAST(n AS BIGINT) AS n, {r6('mean')} AS mean, {r6('ci_low')} AS ci_low, {r6('ci_high')} AS ci_high FROM boot""")
 def sta2(spark, sf):
     won = views.episodes(spark, sf).filter("success")
     return S.bootstrap_mean(won, ["method"], "num_turns")
@@ -128,7 +140,21 @@ def sta6(spark, sf):
     return S.compare_success(with_mode(runs(spark, sf)), "mode", MODES).drop("s1", "n1", "s2", "n2")
 
 
-@query("STA7")
+@query("STA7", f"""WITH {views.EPISODES}, e AS (SELECT ['token', 'turn', 'trajectory', 'token', 'turn'][CAST(substr(method, 1, 1) AS INTEGER)] AS mode, CAST(num_turns AS DOUBLE) AS x FROM episodes WHERE success)
+, {bootstrap_sql('e', 'mode', 'x')}
+, v AS (SELECT mode, var_samp(x) AS v FROM e GROUP BY 1)
+, c AS (SELECT mode, x, CAST(count(*) AS DOUBLE) AS c FROM e GROUP BY 1, 2)
+, u AS (SELECT a.mode AS m1, b.mode AS m2, sum(a.c * b.c * CASE WHEN a.x > b.x THEN 1 WHEN a.x = b.x THEN 0.5 ELSE 0 END) AS u FROM c a JOIN c b ON a.mode <> b.mode GROUP BY 1, 2)
+, t AS (SELECT m1, m2, sum(pow(k, 3) - k) AS t FROM (SELECT m1, m2, x, sum(c) AS k FROM u JOIN c ON mode IN (m1, m2) GROUP BY 1, 2, 3) GROUP BY 1, 2)
+, w AS (SELECT concat(m1, '/', m2) AS id, m1, m2, u, a.n AS n1, b.n AS n2, a.mean AS mean1, b.mean AS mean2, a.ci_low AS ci_low1, a.ci_high AS ci_high1, b.ci_low AS ci_low2, b.ci_high AS ci_high2,
+    (a.mean - b.mean) / sqrt(((a.n - 1) * va.v + (b.n - 1) * vb.v) / (a.n + b.n - 2)) AS d,
+    (greatest(u, a.n * b.n - u) - a.n * b.n / 2 - 0.5) / sqrt(a.n * b.n / 12 * ((a.n + b.n + 1) - t / ((a.n + b.n) * (a.n + b.n - 1)))) AS z
+  FROM u JOIN t USING (m1, m2) JOIN boot a ON a.mode = m1 JOIN boot b ON b.mode = m2 JOIN v va ON va.mode = m1 JOIN v vb ON vb.mode = m2
+  WHERE list_position(['token', 'turn', 'trajectory'], m1) < list_position(['token', 'turn', 'trajectory'], m2))
+, p AS ({tail_sql('w', 'id', 'z', 'exp(-x * x / 2) / sqrt(2 * pi())')})
+SELECT m1 AS first, m2 AS second, CAST(n1 AS BIGINT) AS n1, {r6('mean1')} AS mean1, {r6('ci_low1')} AS ci_low1, {r6('ci_high1')} AS ci_high1, CAST(n2 AS BIGINT) AS n2, {r6('mean2')} AS mean2,
+  {r6('ci_low2')} AS ci_low2, {r6('ci_high2')} AS ci_high2, {r6('u')} AS u, {r6('p')} AS p_value, {r6('d')} AS cohens_d,
+  CASE WHEN abs(d) < 0.2 THEN 'negligible' WHEN abs(d) < 0.5 THEN 'small' WHEN abs(d) < 0.8 THEN 'medium' ELSE 'large' END AS effect, p < 0.05 AS significant FROM w JOIN p USING (id)""")
 def sta7(spark, sf):
     return S.compare_turns(with_mode(views.episodes(spark, sf)), "mode", MODES)
 

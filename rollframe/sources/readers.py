@@ -6,7 +6,7 @@ parsing serves batch files, streams and text that already sits in a column.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rollframe import schema as S
@@ -61,14 +61,55 @@ def _top_level(ddl: str) -> list[str]:
 
 
 def strict_rows(rows: DataFrame) -> DataFrame:
-    """Fail on the first bad line, naming its file."""
+    """Fail on the first bad line, naming its file; :func:`bad_lines` tells its number."""
     bad = F.when(F.col("_bad").isNotNull(), F.raise_error(F.concat(
         F.lit("invalid JSON in "), F.col("path"), F.lit(": "), F.substring("_bad", 1, 80))).cast("boolean"))
     return rows.filter(bad.isNull()).drop("_bad")
 
 
+_SPLIT = ["path", "split_start"]
+
+
+def text_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Lines of one or more files or folders with their file, the start of the split they were read
+    in, and a number that grows by one from line to line of a split."""
+    return spark.read.text(paths, recursiveFileLookup=True).select(
+        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split_start"), F.monotonically_increasing_id().alias("at"))
+
+
+def split_counts(lines: DataFrame) -> DataFrame:
+    """Per split of :func:`text_lines`: the number of its first line, and the lines of its file before it.
+
+    A split is one row, whatever it holds, and what is carried over split borders is a sum of
+    line counts. A line that crosses a border belongs to the split where it begins.
+    """
+    counts = lines.groupBy(*_SPLIT).agg(F.min("at").alias("first_at"), F.count("*").alias("n"))
+    before = Window.partitionBy("path").orderBy("split_start").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select(*_SPLIT, "first_at", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+
+
+def numbered_lines(some: DataFrame, lines: DataFrame) -> DataFrame:
+    """Add ``line``, the number in its file from 1, to rows that keep the place columns of ``lines``."""
+    return some.join(split_counts(lines), _SPLIT).withColumn("line", F.col("before") + F.col("at") - F.col("first_at") + 1).drop("split_start", "at", "first_at", "before")
+
+
+def bad_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """path, line and text of every line that is no JSON.
+
+    Lines are parsed and counted where they are read; what is joined is one row per bad line
+    and one per split.
+    """
+    lines = text_lines(spark, paths)
+    rows = parse_rollout_lines(lines).filter("_bad IS NOT NULL").select(*_SPLIT, "at", F.col("_bad").alias("text"))
+    return numbered_lines(rows, lines).select("path", "line", "text")
+
+
 def read_rollouts(spark: SparkSession, paths: str | list[str], strict: bool = True, rescue: bool = False) -> DataFrame:
-    """Rollout lines of one or more files or folders (their union)."""
+    """Rollout lines of one or more files or folders (their union).
+
+    ``strict`` fails on a bad line. Without it bad lines are rows with their text in ``_bad``;
+    :func:`bad_lines` lists them by file and line number.
+    """
     lines = spark.read.text(paths, recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("path"))
     rows = parse_rollout_lines(lines, rescue=rescue)
     return strict_rows(rows) if strict else rows

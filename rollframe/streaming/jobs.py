@@ -43,10 +43,12 @@ def drop_copies(rows: DataFrame, time: str, delay: str, key: list[str] = KEY) ->
 
 
 class TrajectoryAssembler(StatefulProcessor):
-    """Emits a trajectory when its last turn is there and no turn is missing.
+    """Emits a trajectory when its last turn is there and no turn is missing, and by a timer
+    what has come of one that stays incomplete.
 
-    The state is a fixed set of counters, not the turns, so a long trajectory costs no more
-    than a short one. A timer gives up on trajectories that stay incomplete.
+    Turns are a list in the state store: a batch appends its own and reads none back. Counters
+    beside it tell whether the trajectory is whole. Rows that come too late, behind the
+    watermark or after their trajectory is complete, are given out on the side as they are.
     """
 
     def __init__(self, patience_ms: int):
@@ -54,61 +56,78 @@ class TrajectoryAssembler(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("progress", "turns long, low long, high long, last long, reward double, success boolean, timer long, done boolean, ends long")
+        self.counters = handle.getValueState("counters", "n long, low long, high long, last long, terminals long, timer long, done boolean")
+        self.turns = handle.getListState("turns", "turn_idx long, score double, success boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        s = self.state.get() if self.state.exists() else (0, 2 ** 40, -1, -1, 0.0, False, 0, False, 0)
-        turns, low, high, last, reward, success, timer, done, terminals = s
-        if done:
-            for _ in rows:
-                pass
-            return
-        latest = 0
+        n, low, high, last, terminals, timer, done = self.counters.get() if self.counters.exists() else (0, 2 ** 40, -1, -1, 0, 0, False)
+        passed, latest, fresh = timerValues.getCurrentWatermarkInMs(), 0, False
         for pdf in rows:
-            turns += len(pdf)
-            low, high = min(low, int(pdf["turn_idx"].min())), max(high, int(pdf["turn_idx"].max()))
+            late = pdf["event_ms"] < passed
+            aside = pdf if done else pdf[late]
+            if len(aside):
+                yield self._aside(key, aside, late.loc[aside.index])
+            pdf = pdf.iloc[0:0] if done else pdf[~late]
+            if not len(pdf):
+                continue
+            fresh = True
+            self.turns.appendList([(int(t), float(s), bool(w)) for t, s, w in zip(pdf["turn_idx"], pdf["score"].fillna(0.0), pdf["traj_success"].fillna(False))])
             ends = pdf.loc[pdf["last_turn"].astype(bool), "turn_idx"]
+            n, terminals, latest = n + len(pdf), terminals + len(ends), max(latest, int(pdf["event_ms"].max()))
+            low, high = min(low, int(pdf["turn_idx"].min())), max(high, int(pdf["turn_idx"].max()))
             last = max(last, int(ends.max())) if len(ends) else last
-            terminals += len(ends)
-            reward += float(pdf["score"].fillna(0.0).sum())
-            success = bool(success or pdf["traj_success"].fillna(False).any())
-            latest = max(latest, int(pdf["event_ms"].max()))
-        whole = low == 1 and high == turns and last == high and terminals == 1
+        if not fresh:
+            return
         if timer:
             self.handle.deleteTimer(timer)
-        expires = latest + self.patience_ms
-        # A finished trajectory stays marked until the timer, so stray late copies stay out.
-        self.handle.registerTimer(expires)
-        self.state.update((turns, low, high, last, reward, success, expires, whole, terminals))
-        if whole:
-            yield self._row(key, turns, reward, success, True)
+        timer = latest + self.patience_ms
+        self.handle.registerTimer(timer)
+        done = low == 1 and high == n and last == high and terminals == 1
+        # A finished trajectory stays marked until the timer, so stray rows are known as such.
+        self.counters.update((n, low, high, last, terminals, timer, done))
+        if done:
+            yield self._whole(key, "complete")
+            self.turns.clear()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        turns, _, _, _, reward, success, _, done, _ = self.state.get()
-        self.state.clear()
+        done = self.counters.get()[6]
+        self.counters.clear()
         if not done:
-            yield self._row(key, turns, reward, success, False)
+            yield self._whole(key, "incomplete")
+            self.turns.clear()
+
+    def _whole(self, key, kind) -> pd.DataFrame:
+        held = sorted(self.turns.get())
+        return self._rows(key, [(kind, [int(h[0]) for h in held], sum(float(h[1]) for h in held), any(h[2] for h in held))])
+
+    def _aside(self, key, pdf, late) -> pd.DataFrame:
+        return self._rows(key, [("late" if behind else "stray", [int(t)], float(s), bool(w)) for t, s, w, behind in zip(
+            pdf["turn_idx"], pdf["score"].fillna(0.0), pdf["traj_success"].fillna(False), late)])
 
     @staticmethod
-    def _row(key, turns, reward, success, complete) -> pd.DataFrame:
-        return pd.DataFrame([{"group_idx": key[0], "traj_idx": int(key[1]), "turns": int(turns), "reward": float(reward),
-                              "success": bool(success), "complete": complete}])
+    def _rows(key, rows) -> pd.DataFrame:
+        return pd.DataFrame([{"kind": kind, "group_idx": key[0], "traj_idx": int(key[1]), "turns": len(held), "turn_list": held, "reward": reward,
+                              "success": success, "complete": kind == "complete"} for kind, held, reward, success in rows])
 
     def close(self) -> None:
         pass
 
 
-ASSEMBLED = "group_idx string, traj_idx int, turns long, reward double, success boolean, complete boolean"
+ASSEMBLED = "kind string, group_idx string, traj_idx int, turns long, turn_list array<int>, reward double, success boolean, complete boolean"
 
 
 def assemble(rows: DataFrame, time: str, delay: str = "10 minutes", patience_ms: int = 600_000) -> DataFrame:
-    """Trajectory records as soon as they are whole, incomplete ones after ``patience_ms``.
+    """Trajectory records by ``kind``: ``complete`` as soon as they are whole, ``incomplete`` with the
+    turns they have after ``patience_ms``; and on the side every row that is ``late`` (behind the
+    watermark) or ``stray`` (of a trajectory that is already complete).
 
-    Expects deduplicated rows (see :func:`drop_copies`) and the RocksDB state store.
+    Expects deduplicated rows (see :func:`drop_copies`) and the RocksDB state store. The event
+    time goes on as a number, so that no operator drops late rows before they are told.
     """
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    slim = rows.select(*KEY, "last_turn", "traj_success", "score", F.unix_millis(F.col(time).cast("timestamp")).alias("event_ms"), F.col(time).alias("event_time"))
-    return slim.withWatermark("event_time", delay).groupBy(*TRAJECTORY).transformWithStateInPandas(
+    timed = rows.select(*KEY, "last_turn", "traj_success", "score", F.col(time).cast("timestamp").alias("event_time")).withWatermark("event_time", delay)
+    slim = timed.select(*KEY, "last_turn", "traj_success", "score", F.unix_millis("event_time").alias("event_ms"))
+    return slim.groupBy(*TRAJECTORY).transformWithStateInPandas(
         statefulProcessor=TrajectoryAssembler(patience_ms), outputStructType=StructType.fromDDL(ASSEMBLED),
         outputMode="append", timeMode="EventTime")
 
@@ -130,53 +149,74 @@ def device_windows(samples: DataFrame, time: str = "ts", delay: str = "10 minute
 
 
 class EnergyPieces(StatefulProcessor):
-    """Trapezoid between a device's last sample and the next one, across batches.
+    """Trapezoid between consecutive samples of a device, in the order of their time whatever
+    the order of their arrival.
 
-    A device that is silent for ``patience_ms`` of event time is forgotten; its next sample
-    starts anew.
+    Samples wait in a map by time slot until the watermark has passed the slot, so none can
+    still come in between; then the slot's pairs are given out and the slot is evicted. What
+    a device holds is what lies inside the watermark's delay. A device that is silent for
+    ``patience_ms`` of event time is forgotten; its next sample starts anew.
     """
 
-    def __init__(self, patience_ms: int):
-        self.patience_ms = patience_ms
+    def __init__(self, slot_ms: int, patience_ms: int):
+        self.slot_ms, self.patience_ms = slot_ms, patience_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "t double, p double, timer long")
+        self.last = handle.getValueState("last", "t double, p double, ms long")
+        self.waiting = handle.getMapState("waiting", "slot long", "t array<double>, s array<long>, p array<double>, ms array<long>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["elapsed_seconds", "sample"])
-        t, p = pdf["elapsed_seconds"].astype(float), pdf["power_watts"].astype(float)
-        before = self.last.get() if self.last.exists() else (None, None, 0)
-        t0, p0 = t.shift(1), p.shift(1)
-        if before[0] is not None:
-            t0.iloc[0], p0.iloc[0] = before[0], float("nan") if before[1] is None else before[1]
-        out = pd.DataFrame({"run": key[0], "gpu_index": int(key[1]), "ts": pdf["ts"], "kwh": (p + p0) / 2 * (t - t0) / 3600 / 1000})
-        end = p.iloc[-1]
-        if before[2]:
-            self.handle.deleteTimer(before[2])
-        expires = int(pdf["ts"].max().timestamp() * 1000) + self.patience_ms
-        self.handle.registerTimer(expires)
-        self.last.update((float(t.iloc[-1]), None if pd.isna(end) else float(end), expires))
-        yield out[out["kwh"].notna()]
+        for pdf in rows:
+            for slot, own in pdf.groupby(pdf["event_ms"] // self.slot_ms):
+                known = self.waiting.containsKey((int(slot),))
+                held = [list(c) for c in self.waiting.getValue((int(slot),))] if known else [[], [], [], []]
+                held[0] += own["elapsed_seconds"].astype(float).tolist()
+                held[1] += own["sample"].astype(int).tolist()
+                held[2] += [None if pd.isna(x) else float(x) for x in own["power_watts"]]
+                held[3] += own["event_ms"].astype(int).tolist()
+                self.waiting.updateValue((int(slot),), tuple(held))
+                if not known:  # one timer per slot, when nothing of it can come any more
+                    self.handle.registerTimer((int(slot) + 1) * self.slot_ms)
+        return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.last.clear()
-        return iter([])
+        passed = expiredTimerInfo.getExpiryTimeInMs()
+        last = self.last.get() if self.last.exists() else None
+        slots = sorted(int(k[0]) for k in self.waiting.keys())
+        due = [s for s in slots if (s + 1) * self.slot_ms <= passed]
+        if not due and last is not None and last[2] + self.patience_ms <= passed:
+            self.last.clear()
+            return
+        for slot in due:
+            held = self.waiting.getValue((slot,))
+            out = []
+            for t, _, p, ms in sorted(zip(*held), key=lambda r: (r[0], r[1])):
+                if last is not None and ms - last[2] <= self.patience_ms and p is not None and last[1] is not None:
+                    out.append((key[0], int(key[1]), pd.Timestamp(ms, unit="ms"), (p + last[1]) / 2 * (t - last[0]) / 3600 / 1000))
+                last = (t, p, ms)
+            self.waiting.removeKey((slot,))
+            if out:
+                yield pd.DataFrame(out, columns=["run", "gpu_index", "ts", "kwh"])
+        if due:
+            self.last.update(last)
+            self.handle.registerTimer(last[2] + self.patience_ms)
 
     def close(self) -> None:
         pass
 
 
-def energy_pieces(samples: DataFrame, time: str = "ts", delay: str = "10 minutes", patience_ms: int = 86_400_000) -> DataFrame:
+def energy_pieces(samples: DataFrame, time: str = "ts", delay: str = "10 minutes", patience_ms: int = 86_400_000, slot_ms: int = 600_000) -> DataFrame:
     """Energy between consecutive samples, stamped with the later one; sum it per window or run.
 
-    A device's samples must arrive in time order from batch to batch, as its sampler writes
-    them; inside a batch they are sorted.
+    Samples may arrive in any order within ``delay``; pieces are given out once the watermark has
+    passed their time slot. Later samples are dropped.
     """
     samples.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     slim = samples.select("run", "gpu_index", "sample", "elapsed_seconds", "power_watts", F.col(time).cast("timestamp").alias("ts"))
-    return slim.withWatermark("ts", delay).groupBy("run", "gpu_index").transformWithStateInPandas(
-        statefulProcessor=EnergyPieces(patience_ms), outputStructType=StructType.fromDDL("run string, gpu_index int, ts timestamp, kwh double"),
+    timed = slim.withWatermark("ts", delay).withColumn("event_ms", F.unix_millis("ts"))
+    return timed.groupBy("run", "gpu_index").transformWithStateInPandas(
+        statefulProcessor=EnergyPieces(slot_ms, patience_ms), outputStructType=StructType.fromDDL("run string, gpu_index int, ts timestamp, kwh double"),
         outputMode="append", timeMode="EventTime")
 
 

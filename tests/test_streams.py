@@ -3,6 +3,8 @@
 import datetime as dt
 import json
 
+import pytest
+
 from rollframe.streaming import jobs as J
 
 TURN = "group_idx string, traj_idx int, turn_idx int, last_turn boolean, traj_success boolean, score double, ts timestamp"
@@ -20,16 +22,20 @@ def feed(spark, path, schema, *batches):
 
 
 def test_assembly_over_batches(spark, tmp_path):
-    first = [("g", 0, 1, False, False, 0.5, at(0)), ("g", 1, 2, True, True, 1.0, at(0)), ("g", 2, 1, False, False, 0.0, at(0))]
+    first = [("g", 0, 1, False, False, 0.5, at(0)), ("g", 1, 2, True, True, 1.0, at(0)), ("g", 2, 1, False, False, 0.25, at(0)), ("g", 2, 3, True, False, 0.5, at(0))]
     second = [("g", 0, 2, True, True, 0.25, at(1)), ("g", 1, 1, False, False, 0.5, at(1))]
+    stray = [("g", 0, 2, True, True, 0.125, at(2)), ("g", 2, 4, False, None, None, at(2))]
     later = [("h", 0, 1, True, False, 0.0, at(500))]
-    last = [("h", 1, 1, True, False, 0.0, at(1000))]
-    stream = feed(spark, str(tmp_path / "in"), TURN, first, second, later, last)
+    last = [("h", 1, 1, True, False, 0.0, at(1000)), ("g", 2, 2, False, False, 0.75, at(3)), ("k", 0, 1, True, True, 2.0, at(3))]
+    stream = feed(spark, str(tmp_path / "in"), TURN, first, second, stray, later, last)
     out = J.run_once(J.assemble(stream, "ts", "1 minute", patience_ms=600_000), str(tmp_path / "out"), str(tmp_path / "ck"))
-    got = {(r.group_idx, r.traj_idx, r.complete): (r.turns, r.reward, r.success) for r in out.collect()}
-    assert got[("g", 0, True)] == (2, 0.75, True) and got[("g", 1, True)] == (2, 1.5, True)
-    assert got[("g", 2, False)] == (1, 0.0, False), "an incomplete trajectory is given up after its patience"
-    assert ("h", 0, True) in got and len(got) == 5
+    got = sorted((r.kind, r.group_idx, r.traj_idx, tuple(r.turn_list), r.turns, r.reward, r.success, r.complete) for r in out.collect())
+    assert got == [
+        ("complete", "g", 0, (1, 2), 2, 0.75, True, True), ("complete", "g", 1, (1, 2), 2, 1.5, True, True),
+        ("complete", "h", 0, (1,), 1, 0.0, False, True), ("complete", "h", 1, (1,), 1, 0.0, False, True),
+        ("incomplete", "g", 2, (1, 3, 4), 3, 0.75, False, False),
+        ("late", "g", 2, (2,), 1, 0.75, False, False), ("late", "k", 0, (1,), 1, 2.0, True, False),
+        ("stray", "g", 0, (2,), 1, 0.125, True, False)]
 
 
 def test_dedup_over_batches(spark, tmp_path):
@@ -47,12 +53,24 @@ def samples():
     return rows[:4], rows[4:]
 
 
-def test_energy_over_batches(spark, tmp_path):
-    stream = feed(spark, str(tmp_path / "in"), SAMPLE, *samples())
-    out = J.run_once(J.energy_pieces(stream), str(tmp_path / "out"), str(tmp_path / "ck"))
+@pytest.mark.parametrize("mixed", [False, True])
+def test_energy_over_batches(spark, tmp_path, mixed):
+    """Samples out of order between and inside batches give the same pieces; the last row moves the watermark."""
+    every = [r for part in samples() for r in part]
+    parts = [[every[i] for i in own] for own in ([5, 0, 2], [7, 1], [6, 3, 4])] if mixed else samples()
+    end = [("end", 0, 99, 0.0, 1.0, 1.0, 1.0, at(5000))]
+    stream = feed(spark, str(tmp_path / "in"), SAMPLE, *parts, end)
+    out = J.run_once(J.energy_pieces(stream), str(tmp_path / "out"), str(tmp_path / "ck")).collect()
     pairs = [(0, 1), (1, 2), (4, 5), (5, 6), (6, 7)]
     want = sum((200.0 + a + b) / 2 * 60 / 3600 / 1000 for a, b in pairs)
-    assert abs(out.agg({"kwh": "sum"}).first()[0] - want) < 1e-12
+    assert len(out) == 5 and abs(sum(r.kwh for r in out) - want) < 1e-12
+
+
+def test_energy_forgets_silent_devices(spark, tmp_path):
+    rows = [("r", 0, i, m * 60.0, 60.0, 1.0, 1.0, at(m)) for i, m in enumerate([0, 1, 200, 201])]
+    stream = feed(spark, str(tmp_path / "in"), SAMPLE, rows[:2], rows[2:], [("end", 0, 99, 0.0, 1.0, 1.0, 1.0, at(5000))])
+    out = J.run_once(J.energy_pieces(stream, patience_ms=3_600_000), str(tmp_path / "out"), str(tmp_path / "ck")).collect()
+    assert [round(r.kwh, 9) for r in out] == [0.001, 0.001]
 
 
 def test_windows_and_sessions(spark, tmp_path):
