@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rollframe.llm.words import slices
 from rollframe.session import stage_path
@@ -54,7 +55,7 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, ours)
 
 
-def map_slices(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | dict | None], schema: str, column: str = "text") -> DataFrame:
+def map_slices(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | dict | None], schema: str | StructType, column: str = "text") -> DataFrame:
     """``work`` on slices of about ``SLICE_BYTES`` of text; it returns columns by name, or nothing."""
     small_batches(df.sparkSession)
 
@@ -66,6 +67,21 @@ def map_slices(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch |
     return df.mapInArrow(run, schema)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """Whole rows as one struct ``row`` beside doc_id, text and the hash of the text: no column of
+    the table can clash with one that an operator adds, whatever its name."""
+    every = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return docs.select(every, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn(
+        "fp", F.xxhash64("text"))
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name``, longer by underscores until no column of the table has it."""
+    while name.lower() in [c.lower() for c in docs.columns]:
+        name += "_"
+    return name
+
+
 def texts(df: DataFrame, *more: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The key and text columns alone, under fixed names, whatever else the table holds."""
     return df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), *more)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollframe.llm.common import map_slices, query, staged, table, texts
+from rollframe.llm.common import map_slices, packed, query, staged, table, texts
 from rollframe.llm.words import LETTER_OR_DIGIT, Words
 
 WINDOW = 13
@@ -216,10 +216,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, share: int = SHARE) ->
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: int = SHARE) -> DataFrame:
     """The rows that are not contaminated, with all their columns."""
-    found = contamination(docs, benchmark, share).filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")).distinct()
-    own = docs.withColumn("_own", F.xxhash64(F.col("text").cast("string")))
-    match = (F.col("_own") == F.col("_fp")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
-    return own.join(staged(found), match, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    found = contamination(docs, benchmark, share).filter("contaminated").select(F.col("doc_id").alias("its_id"), F.col("fp").alias("its_fp")).distinct()
+    match = (F.col("fp") == F.col("its_fp")) & F.col("doc_id").eqNullSafe(F.col("its_id"))
+    return packed(docs).join(staged(found), match, "left_anti").select("row.*")
 
 
 SQL = r"""

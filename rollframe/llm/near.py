@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollframe.llm.common import map_slices, query, staged, table
+from rollframe.llm.common import map_slices, packed, query, staged, table
 from rollframe.llm.components import components
 from rollframe.llm.words import LETTER_OR_DIGIT, Words, mix, span_hashes
 
@@ -46,6 +46,8 @@ REGISTERS = 97
 SKETCH_BITS, SKETCH_REGISTERS = 2048, 2053
 DEVIATIONS = 4
 SEED = 0x5851F42D4C957F2D
+#: A byte of a word, as an expression.
+HAS_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
 
 
 def shingles(words: Words, hashes: np.ndarray, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -215,7 +217,7 @@ def find_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFra
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, fp, class_id, class_size), and the one row (doc_id, fp) that stays of each class."""
+    """Rows (doc_id, fp, class_id, class_size), and the one row (doc_id, fp) that stays of each class of texts with words."""
     signed, classes = find_classes(docs, threshold)
     texts_of = signed.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("one"), F.count("*").alias("n"))
     known = staged(texts_of.filter("node is not null").join(classes, "node"))
@@ -223,17 +225,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[Data
     of_node = known.select("node", "class").join(per_class, "class").select("node", F.col("one.doc_id").alias("class_id"), "class_size")
     worded = signed.filter("node is not null").join(of_node, "node").select("doc_id", "fp", "class_id", "class_size")
     alone = signed.filter("node is null").select("doc_id", "fp", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
-    kept = per_class.select("one.doc_id", "one.fp").unionByName(alone.select("doc_id", "fp"))
-    return worded.unionByName(alone), kept
+    return worded.unionByName(alone), per_class.select("one.doc_id", "one.fp")
 
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row of each class, with all its columns; rows without words all stay."""
     _, kept = near_duplicates(docs, threshold)
-    kept = kept.distinct().select(F.col("doc_id").alias("_kept"), F.col("fp").alias("_kept_fp"))
-    rows = docs.withColumn("_fp", F.xxhash64(F.col("text").cast("string")))
-    found = rows.join(kept, (F.col("_fp") == F.col("_kept_fp")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")))
-    return found.dropDuplicates(["doc_id", "_fp"]).select(*docs.columns)
+    kept = staged(kept.distinct().select(F.col("doc_id").alias("stays"), F.col("fp").alias("stays_fp")))
+    rows, worded = packed(docs), F.coalesce(F.col("text").rlike(HAS_WORD), F.lit(False))
+    found = rows.filter(worded).join(kept, (F.col("fp") == F.col("stays_fp")) & F.col("doc_id").eqNullSafe(F.col("stays")))
+    return found.dropDuplicates(["doc_id", "fp"]).select("row.*").unionByName(rows.filter(~worded).select("row.*"))
 
 
 @query("op3_near_dedup")

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rollframe.llm.common import query, staged, table
+from rollframe.llm.common import packed, query, staged, table
 
 SCOPE = 200
 #: Kinds in the order of ties: name, role, whether strong, pattern, and what a match must hold.
@@ -125,21 +125,22 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, replacement: str = REPLACEMENT) -> DataFrame:
     """The rows with every reported span replaced; ``n_chars`` follows, where there is one."""
-    found = find_secrets(docs).filter(F.size("parts") > 0).groupBy(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")).agg(
-        F.first("parts").alias("_parts"))
-    rows = docs.withColumn("_own", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    both = rows.join(found, (F.col("_own") == F.col("_fp")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left")
+    found = find_secrets(docs).filter(F.size("parts") > 0).groupBy(F.col("doc_id").alias("its_id"), F.col("fp").alias("its_fp")).agg(
+        F.first("parts").alias("parts"))
+    rows = packed(docs).withColumn("fp", F.xxhash64(F.coalesce("text", F.lit(""))))
+    both = rows.join(found, (F.col("fp") == F.col("its_fp")) & F.col("doc_id").eqNullSafe(F.col("its_id")), "left")
     # Walk the spans by start: what lies between them stays, overlapping ones become one mark.
     start = F.struct(F.lit(0).cast("long").alias("upto"), F.array().cast("array<string>").alias("kept"))
-    walked = F.aggregate("_parts", start, lambda a, p: F.struct(
+    walked = F.aggregate("parts", start, lambda a, p: F.struct(
         F.greatest(a["upto"], p["end"]).alias("upto"),
         F.when(p["start"] >= a["upto"], F.concat(a["kept"], F.array(F.substring("text", (a["upto"] + 1).cast("int"), (p["start"] - a["upto"]).cast("int")))))
         .otherwise(a["kept"]).alias("kept")),
         lambda a: F.array_join(F.concat(a["kept"], F.array(F.substring("text", (a["upto"] + 1).cast("int"), F.length("text")))), replacement))
-    both = both.withColumn("text", F.when(F.col("_parts").isNotNull(), walked).otherwise(F.col("text")))
+    both, hit = both.withColumn("masked", F.when(F.col("parts").isNotNull(), walked)), F.col("parts").isNotNull()
+    row = F.col("row").withField("text", F.when(hit, F.col("masked")).otherwise(F.col("row.text")))
     if "n_chars" in docs.columns:
-        both = both.withColumn("n_chars", F.when(F.col("_parts").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return both.select(*docs.columns)
+        row = row.withField("n_chars", F.when(hit, F.length("masked").cast("long")).otherwise(F.col("row.n_chars")))
+    return both.select(row.alias("row")).select("row.*")
 
 
 @query("op2_secret_scan")
