@@ -64,7 +64,8 @@ class Encoder:
     """Ids of whole texts as little-endian 32-bit bytes, equal to those of the tokenizer file.
 
     A byte-level vocabulary is merged by rank, which gives the same ids several times faster;
-    texts that hold an added token, and other kinds of tokenizer, go to the file's own library.
+    texts that hold an added token or a very long run of blanks, and other kinds of tokenizer, go
+    to the file's own library.
     """
 
     def __init__(self, path: str):
@@ -90,7 +91,10 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if self.ranked is None or any(t in text for t in self.added):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return self.ranked.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        try:
+            return self.ranked.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        except ValueError:  # its pattern gives up on runs of about a million blanks
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def cuts(length: int, capacity: int) -> list[tuple[int, int]]:
