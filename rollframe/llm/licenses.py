@@ -1,7 +1,8 @@
 """Licence scan with a positional index of rare words, in DataFrame functions only.
 
-Short licence notices are the templates. Each is indexed by its ``INDEXED`` rarest words, by
-document frequency over the whole corpus, with their positions. A file's occurrences of these
+Short licence notices are the templates. Each is indexed by its ``INDEXED`` rarest words that occur
+at all, by document frequency over the whole corpus, and by the rarest such word of each of its
+mandatory phrases, with their positions. A file's occurrences of these
 words are looked up in the index; occurrences that agree on where a template would start are
 added up by inverse document frequency. Starts with enough of a template's indexed weight are
 candidates; the words of the file must then hold one of the template's mandatory phrases at
@@ -76,10 +77,11 @@ def index(n: int, frequency: dict[str, int], indexed: int = INDEXED) -> list[tup
     """(template, word, position, share of the template's indexed weight) of the rarest words."""
     import math
     rows = []
-    for t, (text, _, _) in enumerate(TEMPLATES):
+    for t, (text, _, phrases) in enumerate(TEMPLATES):
         words = text.split()
-        rare = sorted(set(words), key=lambda w: (frequency.get(w, 0), w))[:indexed]
-        weight = {w: math.log((n + 1) / (frequency.get(w, 0) + 1)) + 1e-3 for w in rare}
+        rarest = lambda own, most: sorted({w for w in own if frequency.get(w)}, key=lambda w: (frequency[w], w))[:most]
+        rare = {*rarest(words, indexed), *(w for p in phrases for w in rarest(p.split(), 1))}
+        weight = {w: math.log((n + 1) / (frequency[w] + 1)) + 1e-3 for w in rare}
         places = [(w, p) for p, w in enumerate(words) if w in weight]
         total = sum(weight[w] for w, _ in places)
         rows += [(t, w, p, weight[w] / total) for w, p in places]
@@ -156,24 +158,27 @@ def _sql() -> str:
     words = ", ".join(f"({t}, {quote(w)}, {p})" for t, (text, _, _) in enumerate(TEMPLATES) for p, w in enumerate(text.split()))
     phrases = ", ".join(f"({t}, {quote(label)}, {len(re.split(rf'\b{re.escape(p)}\b', text)[0].split())}, {quote(p)}, {len(p.split())})"
                         for t, (text, label, ps) in enumerate(TEMPLATES) for p in ps)
+    parts = ", ".join(f"({t}, {quote(p)}, {quote(w)})" for t, (_, _, ps) in enumerate(TEMPLATES) for p in ps for w in sorted(set(p.split())))
     base = ", ".join(f"({quote(p)}, {quote(label)}, {len(p.split())})" for p, label in BASE)
     return f"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{WORD}') AS words FROM documents),
 tw(template, word, position) AS (VALUES {words}),
 ph(template, label, before, phrase, n) AS (VALUES {phrases}),
+pw(template, phrase, word) AS (VALUES {parts}),
 bp(phrase, label, n) AS (VALUES {base}),
 total AS (SELECT count(*) AS n FROM documents),
 pos AS (SELECT doc_id, word, spot FROM (SELECT doc_id, unnest(words) AS word, unnest(range(0, len(words))) AS spot FROM w)
         WHERE word IN (SELECT word FROM tw)),
 df AS (SELECT word, count(DISTINCT doc_id) AS df FROM pos GROUP BY 1),
 rare AS (
-  SELECT template, word, ln((total.n + 1) / (coalesce(df, 0) + 1)) + 1e-3 AS weight,
-         row_number() OVER (PARTITION BY template ORDER BY coalesce(df, 0), word) AS r
-  FROM (SELECT DISTINCT template, word FROM tw) LEFT JOIN df USING (word), total),
+  SELECT template, word, ln((total.n + 1) / (df + 1)) + 1e-3 AS weight, row_number() OVER (PARTITION BY template ORDER BY df, word) AS r
+  FROM (SELECT DISTINCT template, word FROM tw) JOIN df USING (word), total),
+must AS (
+  SELECT DISTINCT template, word FROM (SELECT template, word, row_number() OVER (PARTITION BY template, phrase ORDER BY df, word) AS r FROM pw JOIN df USING (word)) WHERE r = 1),
 post AS (
   SELECT template, word, position, weight / sum(weight) OVER (PARTITION BY template) AS weight
-  FROM tw JOIN rare USING (template, word) WHERE r <= {INDEXED}),
+  FROM tw JOIN rare USING (template, word) LEFT JOIN (SELECT template, word, true AS needed FROM must) USING (template, word) WHERE r <= {INDEXED} OR needed),
 cand AS (
   SELECT doc_id, template, spot - position AS start, round(sum(weight), 9) AS matched FROM pos JOIN post USING (word)
   GROUP BY 1, 2, 3 HAVING round(sum(weight), 9) >= {SHARE}),
