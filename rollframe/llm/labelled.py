@@ -1,7 +1,16 @@
-"""Bounded samples of labelled documents, for training on the driver."""
+"""Bounded samples of labelled documents, and training on them in a task.
+
+Defined cases: labels other than 0 and 1, of null ids or of ids without a document drop out; of
+repeated labels of one id the larger one counts; of documents that share an id, the one whose
+text has the least hash; null and longer texts are not drawn.
+"""
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +41,19 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, rows
         drawn = own if drawn is None else drawn.unionByName(own)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "lang").filter(
         F.col("text").isNotNull() & (F.length("text") <= chars))
-    return texts.join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"]), {0: counts.get(0, 0), 1: counts.get(1, 0)}
+    one = F.min_by(F.struct("text", "lang", "label"), F.struct(F.xxhash64("text"), "text", "lang")).alias("one")
+    return (texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(one).select("doc_id", "one.*"),
+            {0: counts.get(0, 0), 1: counts.get(1, 0)})
+
+
+def trained(rows: DataFrame, train: Callable[[list[dict]], object]):
+    """What ``train`` makes of a bounded sample, by doc_id. It runs in one task: the sample never
+    comes to the driver, the model alone does."""
+    def run(batches):
+        held = [b for b in batches if b.num_rows]
+        got = pa.Table.from_batches(held).sort_by("doc_id").to_pylist() if held else []
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(train(got), protocol=5)], pa.binary())})
+    return pickle.loads(rows.repartition(1).mapInArrow(run, "model binary").first().model)
 
 
 def prior_shift(counts: dict[int, int], positives: int, negatives: int) -> float:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollframe.llm.common import map_slices, query, table
-from rollframe.llm.labelled import SAMPLE_ROWS, prior_shift, remainder, sample
+from rollframe.llm.labelled import SAMPLE_ROWS, prior_shift, remainder, sample, trained
 from rollframe.llm.words import NOT_BLANK, Words
 
 #: Rows for words, and as many for n-grams.
@@ -142,13 +142,14 @@ def fit(docs: DataFrame, labels: DataFrame, allowed, rows: int = SAMPLE_ROWS, ep
             out.append((ids.astype(np.int32).tobytes(), (n / max(1, n.sum())).astype(np.float32).tobytes()))
         return {"doc_id": piece.column("doc_id"), "label": piece.column("label"), "ids": pa.array([o[0] for o in out], pa.binary()),
                 "share": pa.array([o[1] for o in out], pa.binary())}
-    got = map_slices(drawn, hashed, "doc_id long, label int, ids binary, share binary").toArrow().sort_by("doc_id").to_pylist()
-    y = np.array([r["label"] for r in got], np.int64)
-    if len(set(y.tolist())) < 2:
-        return Constant(counts[1] / sum(counts.values()) if sum(counts.values()) else 0.5)
-    model, epochs = Model(), max(epochs, LEAST_STEPS * BATCH // len(got))
-    model.train([(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["share"], np.float32)) for r in got], y, epochs)
-    return model.fold(prior_shift(counts, int(y.sum()), int((y == 0).sum())))
+    def train(got: list[dict]):
+        y = np.array([r["label"] for r in got], np.int64)
+        if len(set(y.tolist())) < 2:
+            return Constant(counts[1] / sum(counts.values()) if sum(counts.values()) else 0.5)
+        model, rounds = Model(), max(epochs, LEAST_STEPS * BATCH // len(got))
+        model.train([(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["share"], np.float32)) for r in got], y, rounds)
+        return model.fold(prior_shift(counts, int(y.sum()), int((y == 0).sum())))
+    return trained(map_slices(drawn, hashed, "doc_id long, label int, ids binary, share binary"), train)
 
 
 def score(docs: DataFrame, model) -> DataFrame:
