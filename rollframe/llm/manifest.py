@@ -12,7 +12,7 @@ likewise into the root. A proof is the list of sibling digests from a leaf up to
    joins the table to itself: the segment up to the ancestor, then the ancestor's own segment.
    The distance doubles, so rounds grow with the logarithm of the depth. Inner nodes stay only
    where a later jump can land: those at multiples of the distance, and the few above subroots.
-   The side looked up shrinks from a third of the leaves to a handful of rows.
+   The side looked up shrinks from half the leaves to a handful of rows.
 4. Folding a leaf along its segment gives the root again, or does not if the row was changed.
 
 Defined cases: a null doc_id comes first, and counts as empty text where its checksum is asked
@@ -104,8 +104,8 @@ class Trees:
         return out
 
 
-def _jumps(leaves: DataFrame) -> tuple[DataFrame, str, int]:
-    """Every leaf and node with the segment to its parent; the root; the greatest depth."""
+def _jumps(leaves: DataFrame) -> tuple[DataFrame, DataFrame, str, int]:
+    """The leaves and the inner nodes with the segment to their parents; the root; the greatest depth."""
     trees = Trees(leaves.select("tree", "idx", F.col("leaf").alias("digest")))
     tops = staged(row_numbers(trees.tops(), [], ["tree"], "k").withColumn("k", F.col("k") - 1))
     above = Trees(tops.select(F.lit("t").alias("tree"), F.col("k").alias("idx"), "digest"))
@@ -122,11 +122,9 @@ def _jumps(leaves: DataFrame) -> tuple[DataFrame, str, int]:
     renamed = up.filter("level = 0").drop("tree", "level").join(tops.select(F.col("k").alias("idx"), "tree", "level"), "idx").withColumn("idx", F.lit(0).cast("long"))
     nodes = inside.unionByName(up.filter("level > 0")).unionByName(renamed).select(
         *NODE, *names, "top", F.array(F.struct("l", "r", "top")).alias("segment"))
-    own = leaves.withColumn("level", F.lit(0)).join(nodes.filter("level = 0"), NODE, "left").withColumn("is_leaf", F.lit(True))
+    own = leaves.withColumn("level", F.lit(0)).join(nodes.filter("level = 0"), NODE, "left")
     none = F.array().cast(dict(nodes.dtypes)["segment"])
-    own = own.withColumn("segment", F.coalesce("segment", none)).withColumn("top", F.coalesce("top", F.lit(False)))
-    inner = nodes.filter("level > 0").withColumn("is_leaf", F.lit(False))
-    return own.unionByName(inner, allowMissingColumns=True), root.digest, depth
+    return own.withColumn("segment", F.coalesce("segment", none)), nodes.filter("level > 0"), root.digest, depth
 
 
 def prove(docs: DataFrame, claimed: Column | None = None) -> DataFrame:
@@ -141,18 +139,21 @@ def prove(docs: DataFrame, claimed: Column | None = None) -> DataFrame:
     leaves = staged(numbered.withColumn("idx", F.col("place") - 1).drop("place", "source"))
     if not leaves.head(1):
         return _folded(leaves.withColumn("segment", F.array().cast("array<struct<l:string,r:string,top:boolean>>")), "")
-    jumps, root, depth = _jumps(leaves)
-    rows, done, distance = staged(jumps), [], 1
+    own, inner, root, depth = _jumps(leaves)
+    # Two tables, so that Spark knows the size of the side that is looked up in each round.
+    own, inner, done, distance = staged(own), staged(inner), [], 1
     while distance < depth:
-        done.append(rows.filter("is_leaf AND a_tree IS NULL"))
-        landing = rows.filter(~F.col("is_leaf") & (F.col("top") | (F.col("level") % distance == 0))).select(
-            *[F.col(c).alias(f"on_{c}") for c in NODE], *[F.col(f"a_{c}").alias(f"to_{c}") for c in NODE], F.col("segment").alias("rest"))
-        going = rows.filter(F.col("a_tree").isNotNull() & (F.col("is_leaf") | F.col("top") | (F.col("level") % (2 * distance) == 0)))
-        jumped = going.join(landing, [F.col(f"a_{c}") == F.col(f"on_{c}") for c in NODE]).withColumn("segment", F.concat("segment", "rest"))
-        jumped = jumped.select(*[F.col(f"to_{c[2:]}").alias(c) if c.startswith("a_") else F.col(c) for c in rows.columns])
-        rows = staged(jumped.unionByName(rows.filter("NOT is_leaf AND a_tree IS NULL")))
+        landing = inner.select(*[F.col(c).alias(f"on_{c}") for c in NODE], *[F.col(f"a_{c}").alias(f"to_{c}") for c in NODE], F.col("segment").alias("rest"))
+        finished, further = F.col("a_tree").isNull(), F.col("top") | (F.col("level") % (2 * distance) == 0)
+
+        def jump(rows: DataFrame, landing: DataFrame = landing) -> DataFrame:
+            met = rows.join(landing, [F.col(f"a_{c}") == F.col(f"on_{c}") for c in NODE]).withColumn("segment", F.concat("segment", "rest"))
+            return met.select(*[F.col(f"to_{c[2:]}").alias(c) if c.startswith("a_") else F.col(c) for c in rows.columns])
+        done.append(own.filter(finished))
+        own = staged(jump(own.filter(~finished)))
+        inner = staged(jump(inner.filter(~finished & further)).unionByName(inner.filter(finished & further)))
         distance *= 2
-    out = rows.filter("is_leaf")
+    out = own
     for early in done:
         out = out.unionByName(early)
     return _folded(out, root)
