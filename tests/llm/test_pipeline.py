@@ -63,4 +63,4 @@ def test_empty_documents(spark):
 def test_entry_point():
     names = entry.queries()
     assert set(QUERIES) | {"pipeline"} <= set(names)
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
