@@ -238,15 +238,15 @@ def nearest_explored(points: Column, explored: Column) -> Column:
 def probe_summary(logs: DataFrame, sample: str = "sample") -> DataFrame:
     """Micro precision, recall, F1 over turns, and how distance goes with being found.
 
-    Every correct cell with a known distance counts as one observation; both sides sit in
-    the row, so cells are looked up in place and only moments leave it.
+    Every correct cell with a known distance, and not an infinite one, counts as one
+    observation; both sides sit in the row, so cells are looked up in place and only moments leave it.
     """
     p, c = F.array_distinct("predicted"), F.array_distinct("correct")
     tp = F.size(F.array_intersect(p, c))
     at = lambda cell: F.array_position(F.col("candidates"), cell).cast("int")
     known = F.filter(F.transform(c, lambda cell: F.struct(
         F.when(at(cell) > 0, F.try_element_at(F.col("distances"), at(cell))).alias("d"),
-        F.when(F.array_contains(p, cell), 1.0).otherwise(0.0).alias("h"))), lambda z: z["d"].isNotNull())
+        F.when(F.array_contains(p, cell), 1.0).otherwise(0.0).alias("h"))), lambda z: F.abs(z["d"]) < float("inf"))
     rows = logs.filter(F.size("correct") > 0).select(sample, tp.alias("tp"), (F.size(p) - tp).alias("fp"), (F.size(c) - tp).alias("fn"), known.alias("k"))
     rows = rows.select(sample, "tp", "fp", "fn", F.size("k").alias("n"), *[
         _sum(F.col("k"), f).alias(name) for name, f in (

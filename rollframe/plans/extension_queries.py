@@ -30,6 +30,19 @@ def ext2(spark, sf):
     return registry.metrics.get("reward_variance")(trajectory_rewards(spark, sf), ddof=1)
 
 
+@query("EXT2_fused", f"""WITH {views.TRAJ}, a AS (SELECT run, avg(reward) AS mean_reward, max(turns) AS longest, count(*) FILTER (success) / count(*) AS solved FROM traj GROUP BY 1)
+SELECT run, concat('own/', name) AS metric, {r6('value')} AS metric_value FROM (SELECT run, 'mean_reward' AS name, mean_reward AS value FROM a UNION ALL SELECT run, 'longest', longest FROM a UNION ALL SELECT run, 'solved', solved FROM a)""")
+def ext2_fused(spark, sf):
+    own = registry.Registry("metric")
+    own.register("mean_reward")(lambda rows: F.avg("reward"))
+    own.register("longest")(lambda rows: F.max("turns"))
+    own.register("solved")(lambda rows: F.avg(F.col("success").cast("double")))
+    own.register("broken")(lambda rows: F.sum("no_such_column"))
+    per = views.turns(spark, sf).groupBy("run", *credit.TRAJECTORY).agg(
+        F.sum("score").alias("reward"), F.count("*").alias("turns"), F.bool_or("traj_success").alias("success"))
+    return registry.all_metrics(per, "own", ["run"], own)
+
+
 @query("EXT3", "WITH " + SCORES + WHOLE + f"""
 , g AS (SELECT group_idx, avg(outcome) AS m, stddev_pop(outcome) AS s FROM scored GROUP BY 1)
 SELECT group_idx, traj_idx, turn_idx, CAST(copy_no AS BIGINT) AS copy_no, {r6('CASE WHEN s <= 1e-6 THEN 0.0 ELSE (outcome - m) / s END')} AS advantage
@@ -63,3 +76,9 @@ def ext5(spark, sf):
                                               F.array(F.col("o_custkey")).alias("seed"), F.lit(None).cast("array<bigint>").alias("seed_list"))
     owner = table(spark, sf, "orders").select(F.col("o_orderkey").alias("spec_idx"), (F.col("o_custkey") % 7).alias("grp"))
     return contracts.expand_tasks(specs).join(owner, "spec_idx").groupBy("grp").agg(F.count("*").alias("tasks"))
+
+
+@query("EXT5_table", "SELECT o_custkey % 7 AS grp, CAST(slot AS INTEGER) AS slot, CAST(count(*) AS BIGINT) AS tasks FROM (SELECT o_custkey, unnest(range(0, o_orderkey % 6 + 1)) AS slot FROM orders) GROUP BY 1, 2")
+def ext5_table(spark, sf):
+    specs = table(spark, sf, "orders").select((F.col("o_custkey") % 7).alias("grp"), (F.col("o_orderkey") % 6 + 1).alias("n_envs"))
+    return registry.expand_rows(specs, "slots", "n_envs").groupBy("grp", "slot").agg(F.count("*").alias("tasks"))

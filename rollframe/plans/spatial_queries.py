@@ -347,18 +347,18 @@ def join13(spark, sf):
         "event_id", F.col("i").cast("long").alias("i"), text.finite(F.col("distance")).alias("distance"))
 
 
-@query("SPA21", f"""WITH {PROBES}, t AS (SELECT sample, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM ps WHERE k % 10 <> 0 GROUP BY 1)
-, c AS (SELECT sample, CASE WHEN stddev_pop(d) > 1e-9 AND stddev_pop(CASE WHEN picked THEN 1 ELSE 0 END) > 0 THEN corr(d, CASE WHEN picked THEN 1 ELSE 0 END) END AS r FROM u WHERE correct AND k % 10 <> 0 GROUP BY 1)
+@query("SPA21", f"""WITH {PROBES}, t AS (SELECT sample, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM ps WHERE tp + fn > 0 GROUP BY 1)
+, c AS (SELECT sample, CASE WHEN stddev_pop(d) > 1e-9 AND stddev_pop(CASE WHEN picked THEN 1 ELSE 0 END) > 0 THEN corr(d, CASE WHEN picked THEN 1 ELSE 0 END) END AS r FROM u WHERE correct AND isfinite(d) GROUP BY 1)
 SELECT sample, {r6(_P)} AS precision, {r6(_R)} AS recall, {r6(_F1)} AS f1, {r6('r')} AS distance_hit_corr FROM t LEFT JOIN c USING (sample)""")
 def spa21(spark, sf):
-    return M.probe_summary(probes(spark, sf).filter("event_id % 10 <> 0"))
+    return M.probe_summary(probes(spark, sf))
 
 
-@query("JOIN14", f"WITH {PROBES} SELECT k AS event_id, x, y, {r6('d')} AS distance, picked AS hit FROM u WHERE correct AND k % 10 <> 0")
+@query("JOIN14", f"WITH {PROBES} SELECT k AS event_id, x, y, {r6('CASE WHEN isfinite(d) THEN d END')} AS distance, picked AS hit FROM u WHERE correct")
 def join14(spark, sf):
-    rows = probes(spark, sf).filter("event_id % 10 <> 0").select("event_id", "predicted", "candidates", "distances", F.explode(F.array_distinct("correct")).alias("c"))
+    rows = probes(spark, sf).select("event_id", "predicted", "candidates", "distances", F.explode(F.array_distinct("correct")).alias("c"))
     at = F.array_position("candidates", F.col("c")).cast("int")
-    return rows.select("event_id", "c.x", "c.y", F.element_at("distances", at).alias("distance"), F.array_contains("predicted", F.col("c")).alias("hit"))
+    return rows.select("event_id", "c.x", "c.y", text.finite(F.element_at("distances", at)).alias("distance"), F.array_contains("predicted", F.col("c")).alias("hit"))
 
 
 @query("JOIN19", f"WITH {LOGS} SELECT sample, turn, {r6('gain')} AS information_gain, {r6('global_overall')} AS overall FROM ms WHERE phase AND global_overall IS NOT NULL")

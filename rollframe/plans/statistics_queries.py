@@ -171,12 +171,17 @@ def sta7_effect(spark, sf):
         "first", "second", "mean1", "mean2", "u", "cohens_d")
 
 
-@query("STA8", f"""WITH {RUNS} SELECT method, environment, seed, {r6('success_rate / gpu_hours')} AS success_per_gpu_hour,
-  {r6('gpu_hours / greatest(success_rate, 1e-6)')} AS gpu_hours_per_success_point FROM runs WHERE gpu_hours > 0""")
+_INF = "CAST('inf' AS DOUBLE)"
+
+
+# Runs of one method have no hours on record.
+@query("STA8", f"""WITH {RUNS}, h AS (SELECT * EXCLUDE (gpu_hours), CASE WHEN method LIKE '5%' THEN 0 ELSE gpu_hours END AS gpu_hours FROM runs)
+SELECT method, environment, seed, {r6('CASE WHEN gpu_hours > 0 THEN success_rate / gpu_hours ELSE 0 END')} AS success_per_gpu_hour,
+  {r6(f'CASE WHEN gpu_hours > 0 THEN gpu_hours / greatest(success_rate, 1e-6) ELSE {_INF} END')} AS gpu_hours_per_success_point FROM h""")
 def sta8(spark, sf):
-    return runs(spark, sf).filter("gpu_hours > 0").select(
-        "method", "environment", "seed", I.efficiency(F.col("success_rate"), F.col("gpu_hours")).alias("e")).select(
-            "method", "environment", "seed", "e.*")
+    hours = F.when(F.col("method").startswith("5"), 0.0).otherwise(F.col("gpu_hours"))
+    return runs(spark, sf).select("method", "environment", "seed", I.efficiency(F.col("success_rate"), hours).alias("e")).select(
+        "method", "environment", "seed", "e.*")
 
 
 def pair_verdicts(spark, sf):
@@ -229,15 +234,20 @@ def sta12(spark, sf):
     return S.matrix_aggregate(runs(spark, sf)).withColumn("issues", F.concat_ws("; ", "issues"))
 
 
-@query("STA13", f"""WITH {RUNS}, s AS (SELECT method, environment, count(*) AS n, stddev_samp(success_rate) / nullif(avg(success_rate), 0) AS cv,
-  stddev_samp(mean_turns) / avg(mean_turns) AS tcv, min(success_rate) AS lo, max(success_rate) AS hi FROM runs GROUP BY 1, 2)
+# Runs of one method have no successes, those of another one seed.
+@query("STA13", f"""WITH {RUNS}, r AS (SELECT method, environment, seed, CASE WHEN method LIKE '5%' THEN 0 ELSE success_rate END AS success_rate, CASE WHEN method NOT LIKE '5%' THEN mean_turns END AS mean_turns
+  FROM runs WHERE method NOT LIKE '4%' OR seed = 0)
+, s AS (SELECT method, environment, count(*) AS n, CASE WHEN avg(success_rate) > 0 THEN stddev_samp(success_rate) / avg(success_rate) ELSE {_INF} END AS cv,
+  CASE WHEN avg(mean_turns) > 0 THEN stddev_samp(mean_turns) / avg(mean_turns) ELSE {_INF} END AS tcv, min(success_rate) AS lo, max(success_rate) AS hi FROM r GROUP BY 1, 2)
 SELECT method, environment, {r6('CASE WHEN n >= 2 THEN cv END')} AS success_rate_cv, {r6('CASE WHEN n >= 2 THEN tcv END')} AS mean_turns_cv,
   {r6('CASE WHEN n >= 2 THEN hi - lo END')} AS success_rate_range, {r6('CASE WHEN n >= 2 THEN lo END')} AS success_rate_min, {r6('CASE WHEN n >= 2 THEN hi END')} AS success_rate_max,
   CASE WHEN n < 2 THEN 'insufficient_seeds' WHEN cv < 0.1 THEN 'highly_stable' WHEN cv < 0.2 THEN 'stable' WHEN cv < 0.5 THEN 'moderate_variance' ELSE 'high_variance' END AS interpretation
-FROM s WHERE hi > 0""")
+FROM s""")
 def sta13(spark, sf):
-    return S.seed_stability(runs(spark, sf), ["method", "environment"]).filter(
-        F.col("success_rate_max").isNull() | (F.col("success_rate_max") > 0))
+    none = F.col("method").startswith("5")
+    some = runs(spark, sf).filter(~F.col("method").startswith("4") | (F.col("seed") == 0))
+    return S.seed_stability(some.withColumn("success_rate", F.when(none, 0.0).otherwise(F.col("success_rate"))).withColumn(
+        "mean_turns", F.when(~none, F.col("mean_turns"))), ["method", "environment"])
 
 
 @query("STA14", f"""WITH {MODED}, a AS (SELECT mode, s / n AS r, s / n / h AS e, t / s AS t FROM pooled)

@@ -1,7 +1,8 @@
 """Extension points: filters, metrics and advantage estimators by name.
 
-A filter maps ``(rows, **options)`` to ``(rows, report)``, a metric maps rows to a one-row
-DataFrame, an estimator maps turns to turns with ``advantage`` and ``turn_return``.
+A filter maps ``(rows, **options)`` to ``(rows, report)``; a metric maps rows to an aggregate
+column or to a one-row DataFrame; an estimator maps turns to turns with ``advantage`` and
+``turn_return``; an expander is a table function class that makes rows out of rows.
 """
 
 from __future__ import annotations
@@ -9,8 +10,10 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from rollframe.distributed import null_safe, with_row
 from rollframe.functions import tokens as T
@@ -41,7 +44,7 @@ class Registry:
         return self.entries[name]
 
 
-filters, metrics, estimators = Registry("filter"), Registry("metric"), Registry("estimator")
+filters, metrics, estimators, expanders = Registry("filter"), Registry("metric"), Registry("estimator"), Registry("expander")
 
 
 @filters.register("reward_variance")
@@ -120,15 +123,54 @@ def group_relative(turns: DataFrame, eps: float = 1e-6, **_) -> DataFrame:
     return _to_rows(turns, credit.group_advantages(totals, sample_std=True, eps=eps))
 
 
-def all_metrics(rows: DataFrame, prefix: str = "custom_metrics") -> DataFrame:
-    """Every registered metric as one long table; one that cannot be planned is skipped with a warning."""
-    out = None
-    for name, fn in sorted(metrics.entries.items()):
+def all_metrics(rows: DataFrame, prefix: str = "custom_metrics", by: list[str] | None = None, known: Registry = metrics) -> DataFrame:
+    """Every registered metric as one long table; one that cannot be planned is skipped with a warning.
+
+    Aggregate columns are fused: all of them are one aggregate of one pass over the rows, per
+    group of ``by`` if that is given. Metrics that come as tables are for the rows as a whole.
+    """
+    by, out, fused = by or [], None, {}
+    for name, fn in sorted(known.entries.items()):
         try:
             one = fn(rows)
+            if isinstance(one, Column):
+                rows.groupBy(*by).agg(one)  # plans it, so that a bad one is known by name
+                fused[name] = one.cast("double")
+                continue
+            if by:
+                continue
             part = one.select(F.lit(f"{prefix}/{name}").alias("metric"), F.col(one.columns[0]).cast("double").alias("metric_value"))
         except Exception as error:  # noqa: BLE001
             log.warning("metric %s skipped: %s", name, error)
             continue
         out = part if out is None else out.unionByName(part)
+    if fused:
+        together = rows.groupBy(*by).agg(*[c.alias(f"m{i}") for i, c in enumerate(fused.values())])
+        listed = F.array(*[F.struct(F.lit(f"{prefix}/{n}").alias("metric"), F.col(f"m{i}").alias("metric_value")) for i, n in enumerate(fused)])
+        part = together.select(*by, F.inline(listed))
+        out = part if out is None else out.unionByName(part)
     return out
+
+
+@expanders.register("slots")
+class Slots:
+    """A row for each of the ``count`` column's slots, numbered from 0; a null or negative count gives none."""
+
+    @staticmethod
+    def analyze(row: AnalyzeArgument, count: AnalyzeArgument) -> AnalyzeResult:
+        if not row.isTable or count.value not in row.dataType.fieldNames():
+            raise ValueError("slots takes a table and the name of one of its columns")
+        return AnalyzeResult(StructType(list(row.dataType.fields)).add("slot", IntegerType()))
+
+    def eval(self, row, count):
+        for slot in range(row[count] or 0):
+            yield (*row, slot)
+
+
+def expand_rows(rows: DataFrame, name: str, *options) -> DataFrame:
+    """What a registered table function makes of the rows, where they are.
+
+    The function says from the rows' own schema what it returns (``analyze``); its work is done
+    by the tasks that hold the rows, and nothing is shuffled.
+    """
+    return F.udtf(expanders.get(name))(rows.asTable(), *[F.lit(o) for o in options])

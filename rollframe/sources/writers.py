@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +31,8 @@ def publish(rows: DataFrame, registry: DataFrame, base: str) -> str:
     """Publish a result table: refused while the registry is incomplete.
 
     Rows go to a new version folder; only when that is written does a pointer row follow,
-    which names the version it replaces. Readers follow the newest pointer.
+    which names the version it replaces. Readers follow the newest pointer. A version number is
+    claimed by creating a file that must not be there yet, so two publishers never share one.
     """
     spark = rows.sparkSession
     if registry.select("registry_complete").first()[0] is not True:
@@ -38,12 +40,27 @@ def publish(rows: DataFrame, registry: DataFrame, base: str) -> str:
     target = f"{base}/versions/{uuid.uuid4().hex}"
     rows.write.parquet(target)
     current = current_pointer(spark, base)
-    version, previous = (current.version + 1, current.path) if current else (1, None)
+    version, previous = _claim(spark, base, current.version + 1 if current else 1), current.path if current else None
     count = spark.read.parquet(target).count()
     spark.createDataFrame([(target, version, count, previous)], POINTER).coalesce(1).write.mode("append").json(f"{base}/pointers")
     return target
 
 
+def _claim(spark: SparkSession, base: str, version: int) -> int:
+    """The first free version from this one on, claimed by an exclusive create."""
+    jvm = spark.sparkContext._jvm
+    while True:
+        where = jvm.org.apache.hadoop.fs.Path(f"{base}/claims/{version}")
+        files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        try:
+            files.create(where, False).close()
+            return version
+        except Py4JJavaError as error:
+            if not files.exists(where):
+                raise error
+            version += 1
+
+
 def current_pointer(spark: SparkSession, base: str):
     """The newest pointer row, or None before the first publication."""
     try:

@@ -96,3 +96,14 @@ def test_csv_columns(spark, tmp_path):
     writers.write_csv(spark.createDataFrame([(1, 2)], "a int, b int"), str(tmp_path / "c"), ["b", "missing"])
     r = spark.read.csv(str(tmp_path / "c"), header=True).first()
     assert r.asDict() == {"b": "2", "missing": None}
+
+
+def test_publishers_never_share_a_version(spark, tmp_path):
+    """A number that another publisher has claimed, but not yet pointed to, is passed over."""
+    base = str(tmp_path / "out")
+    rows = spark.createDataFrame([(1.0,)], "v double")
+    yes = spark.createDataFrame([(True,)], "registry_complete boolean")
+    writers.publish(rows, yes, base)
+    (tmp_path / "out" / "claims" / "2").touch()
+    writers.publish(rows, yes, base)
+    assert writers.current_pointer(spark, base).version == 3

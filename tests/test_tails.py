@@ -46,7 +46,7 @@ def test_a_growing_file(spark, tmp_path):
     assert run() == [(0, 10.0), (1, 11.0), (2, 12.0), (3, 13.0)]
     assert run() == [(0, 10.0), (1, 11.0), (2, 12.0), (3, 13.0)], "nothing new, nothing twice"
     batch = readers.parse_device_lines(tails.read_lines(spark, str(source), ".log", range_bytes=7))
-    assert sorted((r.gpu_index, r.memory_used_mib, r.offset) for r in batch.collect()) == [(0, 10.0, 0), (1, 11.0, 29), (2, 12.0, 48), (3, 13.0, 0)]
+    assert sorted((r.gpu_index, r.memory_used_mib, r.offset) for r in batch.collect()) == [(0, 10.0, 0), (1, 11.0, 29), (2, 12.0, 49), (3, 13.0, 0)]
 
 
 def test_an_empty_folder(spark, tmp_path):
