@@ -432,6 +432,22 @@ def spa24_retention(spark, sf):
     return M.unchanged_retention(beliefs(spark, sf), "unchanged_retention")
 
 
+# By the remainder of the event: what is named, and what the room and the observation hold. The sofa stands 1 to 9 steps ahead of the lamp.
+@query("SPA25_view", f"""SELECT event_id, {r6("""CASE event_id % 8 WHEN 0 THEN CASE WHEN user_id % 9 IN (2, 3) THEN 1 ELSE 0 END WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 0 WHEN 4 THEN 0 WHEN 5 THEN 1
+  WHEN 6 THEN CASE WHEN user_id % 2 = 0 THEN 1 ELSE 0 END ELSE CASE WHEN user_id % 9 IN (4, 5, 6, 7) THEN 1 ELSE 0 END END""")} AS score FROM events""")
+def spa25_view(spark, sf):
+    k = F.col("event_id") % 8
+    pred = F.element_at(F.array(*[F.lit(x) for x in (" Lamp ", "chair", "chair", "ghost", "lamp", "NE", "lamp", "LAMP")]), (k + 1).cast("int"))
+    answer = F.expr("""CASE WHEN event_id % 8 = 5 THEN 'north east' ELSE concat('{"answer": "', CASE event_id % 8 WHEN 2 THEN 'Chair' WHEN 1 THEN 'lamp' ELSE 'table' END, '", "room_id": ',
+      CASE WHEN event_id % 8 = 6 THEN '[1]' ELSE '1' END, ', "object_positions": {"Lamp": [', user_id % 5, ', ', user_id % 3, '], "sofa": [', user_id % 5, ', ', user_id % 3 + 1 + user_id % 9,
+      '], "chair": [', user_id % 5 + 12, ', ', user_id % 3, '], "door": [', user_id % 5 + 1, ', ', user_id % 3 + 1, ']}, "object_orientations": {"lamp": [0, 1], "sofa": [0, -2], "door": [0, 1]}',
+      CASE WHEN event_id % 8 = 4 THEN ', "object_rooms": {"sofa": 2}' ELSE ', "object_rooms": {"sofa": [3, 1]}' END,
+      ', "gate_info": {"door": {"room_ids": [1, 2], "ori_by_room": {"1": ', CASE WHEN user_id % 2 = 0 THEN '[0, -1]' ELSE '[1, 0]' END, '}}}, "final_observation": [',
+      CASE WHEN event_id % 8 = 6 THEN '{"name": "Door", "direction": "front right", "distance": "near", "orientation": "on front wall"}'
+        ELSE concat('{"name": "sofa", "direction": "left", "distance": "near"}, {"name": "Sofa ", "direction": "front", "distance": "', CASE WHEN event_id % 8 = 7 THEN 'slightly far' ELSE 'mid' END, '", "orientation": "facing backward"}') END, ']}') END""")
+    return table(spark, sf, "events").select("event_id", scoring.score(F.lit("BackwardPovTextEvaluationTask"), pred, answer).alias("score"))
+
+
 @query("SPA25", f"""SELECT event_id, {r6('''CASE event_id % 6 WHEN 0 THEN CASE WHEN event_id % 4 = 0 THEN 1 ELSE 0 END WHEN 1 THEN CASE event_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 0.5 ELSE 0 END
   WHEN 2 THEN CASE WHEN event_id % 4 = 2 THEN 1 ELSE 0 END WHEN 3 THEN 2.0 / (2 + 1 + event_id % 3) WHEN 4 THEN CASE WHEN event_id % 4 = 0 THEN 1 ELSE 0 END
   ELSE exp(-sqrt(pow(user_id % 9 - user_id % 4, 2)) / sqrt(pow(user_id % 4, 2) + 9)) END''')} AS score FROM events""")
