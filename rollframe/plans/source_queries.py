@@ -100,9 +100,16 @@ _DUMP = f"""SELECT concat('ep', o_orderkey) AS rollout_id, o_orderkey AS seed, o
 FROM orders WHERE {_READABLE}"""
 
 
+def dump_root(spark, sf):
+    """The evaluation folders as files, written once."""
+    root = stage_path(spark, "dump")
+    for files in dump_files(spark, sf):
+        W.write_files(files, root)
+    return root
+
+
 def dump_episodes(spark, sf):
-    metrics, texts, _ = dump_files(spark, sf)
-    return R.parse_episodes(metrics, texts)
+    return R.read_episodes(spark, dump_root(spark, sf))
 
 
 @query("SRC4", _DUMP)
@@ -120,8 +127,7 @@ def join3(spark, sf):
   CASE WHEN o_orderkey % 5 <> 0 THEN 'max_turns' ELSE 'done' END AS finish_reason FROM orders
 WHERE {_READABLE} AND o_orderkey % 4 <> 1 AND CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 7 <> 0 ELSE o_orderstatus = 'F' END""")
 def src9(spark, sf):
-    metrics, _, metas = dump_files(spark, sf)
-    return R.parse_finished(metas, metrics).select("seed", "tag_id", "observation_ablation", "finish_reason")
+    return R.read_finished(spark, dump_root(spark, sf)).select("seed", "tag_id", "observation_ablation", "finish_reason")
 
 
 @query("SRC5", f"""SELECT concat('/runs/c', c_custkey) AS run, CASE WHEN c_custkey % 2 = 0 THEN 'final_test' END AS evaluation_role, c_custkey AS seed, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey % 5 <> 0 END AS gate_passed,
@@ -138,7 +144,11 @@ def src5(spark, sf):
         F.lit('{"gate_passed":'), F.when(c % 5 != 0, "true").otherwise("false"), F.lit(',"metrics":{"ratio_p95":1.25},"attempts":[{"gate_passed":'),
         F.when(c % 7 == 0, "false").otherwise("true"), F.lit("}]}")).alias("value"))
     gpu = rows.filter(c % 4 != 0).select(at("gpu_metrics/gpu_summary.json"), F.concat(F.lit('{"return_code":0,"gpu_hours":'), (c * 0.5).cast("string"), F.lit("}")).alias("value"))
-    return R.select_runs(R.parse_runs(manifests, parity, gpu), "final_test", "BUILDING").select("run", "evaluation_role", "seed", "gate_passed", "ratio_p95", "gpu_hours", "parity_ever_failed")
+    root = stage_path(spark, "runs")
+    for files in (manifests, parity, gpu):
+        W.write_files(files, root)
+    found = R.read_runs(spark, root, "final_test", "BUILDING").withColumn("run", F.concat(F.lit("/runs/"), F.regexp_extract("run", "([^/]+)$", 1)))
+    return found.select("run", "evaluation_role", "seed", "gate_passed", "ratio_p95", "gpu_hours", "parity_ever_failed")
 
 
 @query("SRC6", f"""SELECT CAST(user_id % 8 AS INTEGER) AS gpu_index, CAST(count(*) AS BIGINT) AS samples, {r6("sum(value) FILTER (event_type <> 'error')")} AS power, CAST(count(*) FILTER (event_type <> 'error') AS BIGINT) AS known_power,

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from rollframe import schema as S
 from rollframe.operators.episodes import NORMAL_FINISH, repaired_finish
+from rollframe.sources.folders import read_folders
 
 # Texts that stand for a missing measurement.
 MISSING = ["", "n/a", "[n/a]", "not supported"]
@@ -154,31 +155,45 @@ def parse_episodes(metrics: DataFrame, texts: DataFrame) -> DataFrame:
     Unreadable metrics are skipped; missing or odd texts become an empty list. Validity
     flags are counted at any depth of ``infos``.
     """
-    m = metrics.select(folder(F.col("path")).alias("_path"), F.col("path").alias("metrics_path"), _object("value", S.EPISODE).alias("m")).filter("m is not null")
-    t = texts.select(folder(F.col("path")).alias("_path"), F.from_json("value", "array<string>").alias("assistant_texts"))
+    m = metrics.select(folder(F.col("path")).alias("_path"), "value")
+    t = texts.select(folder(F.col("path")).alias("_path"), F.col("value").alias("texts"))
+    return _episodes(m.join(t, "_path", "left"))
+
+
+def _episodes(rows: DataFrame) -> DataFrame:
+    """From (_path, value, texts)."""
+    m = rows.select("_path", _object("value", S.EPISODE).alias("m"), F.from_json("texts", "array<string>").alias("assistant_texts")).filter("m is not null")
     checks = F.regexp_count(F.coalesce("m.infos", F.lit("")), F.lit(r'(?<!\\)"action_is_valid"\s*:'))
     false = F.regexp_count(F.coalesce("m.infos", F.lit("")), F.lit(r'(?<!\\)"action_is_valid"\s*:\s*(?:false|null|-?0(?:\.0+)?(?:[eE][+-]?\d+)?|""|\[\]|\{\})\s*[,}]'))
-    return m.join(t, "_path", "left").select(
+    return m.select(
         "_path", F.coalesce("m.rollout_id", F.regexp_extract("_path", r"([^/]+)$", 1)).alias("rollout_id"), "m.seed",
         F.coalesce("m.success", F.lit(False)).alias("success"), F.coalesce(F.col("m.num_turns").cast("int"), F.lit(0)).alias("num_turns"),
         F.coalesce("m.cumulative_reward", F.lit(0.0)).alias("cumulative_reward"), "m.finish_reason", F.col("m.env_name").alias("environment"),
         "m.tag_id", "m.split", "m.terminated", "m.concat_multi_turn", "m.error", F.coalesce("m.observation_ablation", F.lit("none")).alias("observation_ablation"),
         F.coalesce("assistant_texts", F.array().cast("array<string>")).alias("assistant_texts"),
-        (checks - false).cast("long").alias("valid_action_count"), checks.cast("long").alias("action_check_count"), "metrics_path",
+        (checks - false).cast("long").alias("valid_action_count"), checks.cast("long").alias("action_check_count"), F.concat("_path", F.lit("/metrics.json")).alias("metrics_path"),
         F.concat("_path", F.lit("/transcript.txt")).alias("transcript_path"))
 
 
 def read_episodes(spark: SparkSession, root: str) -> DataFrame:
-    return parse_episodes(whole_files(spark, root, "metrics.json"), whole_files(spark, root, "assistant_texts.json"))
+    """Episodes of an evaluation dump; a filter on ``_path`` decides which folders are opened."""
+    rows = read_folders(spark, root, "metrics.json", ["assistant_texts.json"])
+    return _episodes(rows.select(F.col("folder").alias("_path"), F.col("metrics").alias("value"), F.col("assistant_texts").alias("texts")))
 
 
 def parse_runs(manifests: DataFrame, parity: DataFrame, gpu: DataFrame) -> DataFrame:
     """One row per run folder; an absent or unreadable side file leaves nulls."""
-    m = manifests.select(folder(F.col("path")).alias("run"), _object("value", S.MANIFEST).alias("m")).filter("m is not null")
-    p = parity.select(folder(F.col("path")).alias("run"), _object("value", S.PARITY).alias("p"))
-    g = gpu.select(folder(folder(F.col("path"))).alias("run"), _object("value", S.GPU_SUMMARY).alias("g"))
+    m = manifests.select(folder(F.col("path")).alias("run"), F.col("value").alias("manifest"))
+    p = parity.select(folder(F.col("path")).alias("run"), F.col("value").alias("parity"))
+    g = gpu.select(folder(folder(F.col("path"))).alias("run"), F.col("value").alias("gpu_summary"))
+    return _runs(m.join(p, "run", "left").join(g, "run", "left"))
+
+
+def _runs(rows: DataFrame) -> DataFrame:
+    """From (run, manifest, parity, gpu_summary)."""
+    parsed = rows.select("run", _object("manifest", S.MANIFEST).alias("m"), _object("parity", S.PARITY).alias("p"), _object("gpu_summary", S.GPU_SUMMARY).alias("g"))
     names = [f.strip().split(" ")[0] for f in _top_level(S.MANIFEST)]
-    return m.join(p, "run", "left").join(g, "run", "left").select(
+    return parsed.filter("m is not null").select(
         "run", *[F.col(f"m.{n}").alias(n) for n in names], F.lit(True).alias("has_manifest"), "p.gate_enabled", "p.gate_passed",
         F.exists("p.attempts", lambda a: a["gate_passed"] == F.lit(False)).alias("parity_ever_failed"), F.col("p.metrics.ratio_p95").alias("ratio_p95"),
         F.col("p.metrics.ratio_p99").alias("ratio_p99"), F.col("p.metrics.mean_abs_logprob_delta").alias("mean_abs_logprob_delta"),
@@ -186,9 +201,17 @@ def parse_runs(manifests: DataFrame, parity: DataFrame, gpu: DataFrame) -> DataF
         "g.peak_vram_mib", "g.gpu_hours", F.coalesce(F.size("g.sampling_errors"), F.lit(0)).alias("gpu_sampling_errors"))
 
 
-def read_runs(spark: SparkSession, root: str, role: str | None = None, environment: str | None = None) -> DataFrame:
-    """Run folders, restricted to a role or environment."""
-    return select_runs(parse_runs(*[whole_files(spark, root, n) for n in ("manifest.json", "parity.json", "gpu_summary.json")]), role, environment)
+def read_runs(spark: SparkSession, root: str, role: str | None = None, environment: str | None = None, runs: list[str] | None = None) -> DataFrame:
+    """Run folders, restricted to a role, an environment or certain runs. The restrictions go into
+    the source: of other runs at most the manifest is opened."""
+    rows = read_folders(spark, root, "manifest.json", ["parity.json", "gpu_metrics/gpu_summary.json"], ["evaluation_role", "environment"])
+    if role is not None:
+        rows = rows.filter(F.col("evaluation_role") == role)
+    if environment is not None:
+        rows = rows.filter(F.col("environment") == environment)
+    if runs is not None:
+        rows = rows.filter(F.col("folder").isin(runs))
+    return _runs(rows.withColumnRenamed("folder", "run"))
 
 
 def select_runs(runs: DataFrame, role: str | None = None, environment: str | None = None) -> DataFrame:
@@ -240,14 +263,20 @@ def read_env_logs(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def parse_finished(metas: DataFrame, metrics: DataFrame) -> DataFrame:
     """Finished episodes for a resume: identity from the meta file, else from the metrics file."""
-    a = metrics.select(folder(F.col("path")).alias("_path"), _object("value", S.EPISODE).alias("a")).filter("a is not null")
-    b = metas.select(folder(F.col("path")).alias("_path"), _object("value", S.EPISODE).alias("b"))
+    a = metrics.select(folder(F.col("path")).alias("_path"), F.col("value").alias("metrics"))
+    b = metas.select(folder(F.col("path")).alias("_path"), F.col("value").alias("meta"))
+    return _finished(a.join(b, "_path", "left"))
+
+
+def _finished(rows: DataFrame) -> DataFrame:
+    """From (_path, metrics, meta)."""
+    both = rows.select("_path", _object("metrics", S.EPISODE).alias("a"), _object("meta", S.EPISODE).alias("b")).filter("a is not null")
     pick = lambda c: F.coalesce(f"b.{c}", f"a.{c}").alias(c)
-    rows = a.join(b, "_path", "left").select(
+    out = both.select(
         "_path", pick("env_name"), pick("seed"), pick("tag_id"), F.coalesce("b.observation_ablation", "a.observation_ablation", F.lit("none")).alias("observation_ablation"),
         pick("concat_multi_turn"), repaired_finish(F.col("a.finish_reason"), F.col("a.terminated"), F.col("a.success")).alias("finish_reason"))
-    return rows.filter(F.col("finish_reason").isin(NORMAL_FINISH) & F.col("concat_multi_turn").isNotNull())
+    return out.filter(F.col("finish_reason").isin(NORMAL_FINISH) & F.col("concat_multi_turn").isNotNull())
 
 
 def read_finished(spark: SparkSession, root: str) -> DataFrame:
-    return parse_finished(whole_files(spark, root, "meta.json"), whole_files(spark, root, "metrics.json"))
+    return _finished(read_folders(spark, root, "metrics.json", ["meta.json"]).withColumnRenamed("folder", "_path"))

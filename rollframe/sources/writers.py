@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rollframe.sources.tails import _open
+
 POINTER = "path STRING, version BIGINT, row_count BIGINT, previous STRING"
 
 
@@ -21,6 +24,27 @@ def write_jsonl(rows: DataFrame, path: str, mode: str = "errorifexists") -> None
     rows.write.mode(mode).json(path)
 
 
+def write_files(files: DataFrame, root: str) -> int:
+    """Write rows of (path, value) as files of that text below ``root``; the number of files.
+
+    Every task writes the rows it holds. A task that runs again writes the same files again.
+    """
+    def save(batches):
+        store, base = _open(root)
+        made: set[str] = set()
+        for batch in batches:
+            for path, value in zip(batch.column("path").to_pylist(), batch.column("value").to_pylist()):
+                where = f"{base.rstrip('/')}/{path.lstrip('/')}"
+                parent = where.rsplit("/", 1)[0]
+                if parent not in made:
+                    store.create_dir(parent, recursive=True)
+                    made.add(parent)
+                with store.open_output_stream(where) as out:
+                    out.write((value or "").encode())
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+    return files.select("path", "value").mapInArrow(save, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def write_rollouts(rows: DataFrame, path: str, fmt: str = "parquet", mode: str = "append") -> None:
     """Rollout rows by step, one folder per step. Tasks write what they hold, so a step with
     most of the rows is still written in parallel."""
