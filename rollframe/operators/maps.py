@@ -153,21 +153,30 @@ def stability(maps: DataFrame, sample: str, turn: str, threshold: int = 1) -> Da
 
     Needs ``pred``, ``gt``, ``observed`` (names) and ``possible`` (name to position count).
     """
-    rows = maps.filter("is_exploration_phase").select(
-        sample, turn, F.struct("pred", "gt", "observed", "possible").alias("now"))
+    # What the comparison needs of a row, and no more, goes through the ordering.
+    def needed(n: Column) -> Column:
+        return F.struct(n.alias("name"), _find(F.col("pred"), n).alias("p"), _find(F.col("gt"), n).alias("g"), F.try_element_at(F.col("possible"), n).alias("c"),
+                        F.coalesce(F.array_contains("observed", n), F.lit(False)).alias("seen"))
+
+    def flat(o: Column) -> Column:
+        place = lambda q: F.struct(*[q[c].alias(c) for c in ("x", "y", "ox", "oy")])
+        return F.struct(o["name"].alias("name"), place(o["p"]).alias("p"), place(o["g"]).alias("g"), o["g"]["has_orientation"].alias("turns"), o["c"].alias("c"), o["seen"].alias("seen"))
+    known = F.filter(F.transform(F.array_distinct(F.transform("gt", lambda g: g["name"])), needed),
+                     lambda o: (o["name"] != "agent") & o["p"].isNotNull() & o["g"].isNotNull())
+    rows = maps.filter("is_exploration_phase").select(sample, turn, F.transform(known, flat).alias("now"))
     pairs = previous(ordered(rows, [sample], [turn]), [sample], [turn], {"old": "now"}).filter("old is not null").drop(SLICE)
 
-    def four(n: Column) -> Column:
-        return F.struct(n.alias("name"), _find(F.col("now.pred"), n).alias("p1"), _find(F.col("old.pred"), n).alias("p0"),
-                        _find(F.col("now.gt"), n).alias("g1"), _find(F.col("old.gt"), n).alias("g0"),
-                        F.try_element_at(F.col("now.possible"), n).alias("c1"), F.try_element_at(F.col("old.possible"), n).alias("c0"))
-    objs = pairs.withColumn("_o", F.filter(
-        F.transform(F.array_distinct("old.observed"), four),
-        lambda o: (o["name"] != "agent") & o["p1"].isNotNull() & o["p0"].isNotNull() & o["g1"].isNotNull() & o["g0"].isNotNull()))
+    def four(o: Column) -> Column:
+        return F.struct(o.alias("old"), _find(F.col("now"), o["name"]).alias("new"))
+
+    def joint(z: Column) -> Column:
+        return F.struct(z["old"]["name"].alias("name"), z["new"]["p"].alias("p1"), z["old"]["p"].alias("p0"), z["new"]["g"].alias("g1"), z["old"]["g"].alias("g0"),
+                        z["new"]["turns"].alias("turns"), z["new"]["c"].alias("c1"), z["old"]["c"].alias("c0"))
+    objs = pairs.withColumn("_o", F.transform(F.filter(F.transform(F.filter("old", lambda o: o["seen"]), four), lambda z: z["new"].isNotNull()), joint))
     dist = lambda p, g: G.distance(p["x"] - g["x"], p["y"] - g["y"])
     same = lambda p, g: (p["ox"] == g["ox"]) & (p["oy"] == g["oy"])
     still = F.filter("_o", lambda o: F.coalesce(F.abs(o["c0"] - o["c1"]) <= threshold, F.lit(False)))
-    faced = F.filter("_o", lambda o: o["g1"]["has_orientation"] & ~F.lower(o["name"]).rlike("door|gate"))
+    faced = F.filter("_o", lambda o: o["turns"] & ~F.lower(o["name"]).rlike("door|gate"))
 
     def facing(o: Column) -> Column:
         before, after = same(o["p0"], o["g0"]), same(o["p1"], o["g1"])
@@ -350,3 +359,16 @@ def navigation_tasks(scenes: DataFrame, per_scene: int, min_distance: float = 2.
         return F.transform(far, task)
     ranked = F.slice(F.array_sort(F.flatten(F.transform(visible, starts))), 1, per_scene)
     return scenes.select("scene", F.inline(ranked)).drop("draw")
+
+
+def object_pairs(maps: DataFrame, objects: str, *keep: str) -> DataFrame:
+    """Every unordered pair of a layout's objects as a row: names, offset and distance.
+
+    Pairs are made inside the row of their layout, so nothing is joined; there are as many as
+    half the square of its objects, which a room bounds.
+    """
+    def with_later(a: Column, i: Column) -> Column:
+        return F.transform(F.slice(objects, i + 2, F.size(objects)), lambda b: F.struct(
+            a["name"].alias("first"), b["name"].alias("second"), (a["x"] - b["x"]).cast("double").alias("dx"), (a["y"] - b["y"]).cast("double").alias("dy")))
+    pairs = maps.select(*keep, F.inline(F.flatten(F.transform(objects, with_later))))
+    return pairs.withColumn("distance", G.distance(F.col("dx"), F.col("dy")))

@@ -34,18 +34,19 @@ def select_checkpoint(candidates: DataFrame, run: str = "run", strict: bool = Fa
     return best.select(run, "candidates", F.col("eligible").alias("eligible_candidates"), "s.*")
 
 
-def seed_set_report(actual: DataFrame, declared: DataFrame, run: str = "run") -> DataFrame:
+def seed_set_report(actual: DataFrame, declared: DataFrame, run: str = "run", **sums: Column) -> DataFrame:
     """Per run: are the episode seeds unique and equal to the declared set?
 
-    Both sides arrive in long form and are counted per (run, seed) before they meet.
+    Both sides arrive in long form and are counted together, once per (run, seed) and once per
+    run. ``sums`` are added up over the episodes on the way. A null seed is a seed.
     """
-    a = actual.groupBy(run, "seed").agg(F.count("*").alias("_a"))
-    d = declared.groupBy(run, "seed").agg(F.count("*").alias("_d"))
-    both = a.join(d, [run, "seed"], "full_outer").groupBy(run).agg(
-        F.coalesce(F.sum("_a"), F.lit(0)).alias("episodes"), F.count("_d").alias("declared_seeds"),
-        F.bool_or(F.coalesce(F.col("_a") > 1, F.lit(False))).alias("_dup"),
-        F.bool_or(F.coalesce(F.col("_d") > 1, F.lit(False))).alias("_bad"),
-        F.bool_or(F.col("_a").isNull() | F.col("_d").isNull()).alias("_diff"))
+    rows = actual.select(run, "seed", F.lit(1).alias("_a"), F.lit(0).alias("_d"), *[c.alias(n) for n, c in sums.items()]).unionByName(
+        declared.select(run, "seed", F.lit(0).alias("_a"), F.lit(1).alias("_d")), allowMissingColumns=True)
+    per = rows.groupBy(run, "seed").agg(*[F.sum(c).alias(c) for c in ("_a", "_d", *sums)])
+    both = per.groupBy(run).agg(
+        F.sum("_a").alias("episodes"), F.count_if(F.col("_d") > 0).alias("declared_seeds"), *[F.sum(c).alias(c) for c in sums],
+        F.bool_or(F.col("_a") > 1).alias("_dup"), F.bool_or(F.col("_d") > 1).alias("_bad"),
+        F.bool_or((F.col("_a") == 0) | (F.col("_d") == 0)).alias("_diff"))
     return both.withColumn("issues", issues(
         (F.col("_dup"), "episode seeds are not unique"),
         ((F.col("declared_seeds") == 0) | F.col("_bad"), "no valid frozen seed set"),
@@ -57,20 +58,19 @@ def _differs(a: str, b: str) -> Column:
     return ~F.col(a).eqNullSafe(F.col(b))
 
 
-def final_records(evaluations: DataFrame, exports: DataFrame, trainings: DataFrame,
-                  seeds: DataFrame, outcomes: DataFrame) -> DataFrame:
+def final_records(evaluations: DataFrame, exports: DataFrame, trainings: DataFrame, seeds: DataFrame) -> DataFrame:
     """One record per final-test run with every break in its lineage.
 
     ``evaluations`` carry ``source_*`` columns; ``exports`` are keyed by ``export``,
-    ``trainings`` by ``run``; ``seeds`` comes from :func:`seed_set_report`, ``outcomes`` has
-    successes and turn sums per run. All joins are many-to-one.
+    ``trainings`` by ``run``; ``seeds`` comes from :func:`seed_set_report`, with successes and
+    turn sums per run. All joins are many-to-one.
     """
     x = exports.select("export", *[F.col(c).alias(f"x_{c}") for c in exports.columns if c != "export"])
     t = trainings.select(F.col("run").alias("t_run"), *[F.col(c).alias(f"t_{c}") for c in trainings.columns if c != "run"])
-    s = seeds.select(F.col("run").alias("s_run"), F.col("episodes"), F.col("issues").alias("s_issues"))
+    s = seeds.select(F.col("run").alias("s_run"), "episodes", "successes", "turn_sum", F.col("issues").alias("s_issues"))
     e = (evaluations.join(x, evaluations.source_export_manifest == x.export, "left")
          .join(t, evaluations.source_run_dir == t.t_run, "left")
-         .join(s, evaluations.run == s.s_run, "left").join(outcomes, "run", "left")
+         .join(s, evaluations.run == s.s_run, "left")
          .withColumn("episodes", F.coalesce("episodes", F.lit(0))))
     present, trained = F.col("export").isNotNull(), F.col("t_run").isNotNull()
     required = ["source_run_dir", "source_selection_manifest", "source_export_manifest", "source_method",

@@ -9,6 +9,7 @@ from rollframe.operators import runs as R
 from rollframe.operators import selection as S
 from rollframe.plans import views
 from rollframe.plans.catalog import query, r6, table
+from rollframe.session import stage
 
 CANDIDATES = views.TRAJ + """, cand AS (SELECT run, step, count(*) AS actual, CASE WHEN step % 2 = 0 THEN count(*) ELSE count(*) + step % 3 END AS expected,
   CASE WHEN step % 7 <> 0 THEN round(avg(CASE WHEN success THEN 1.0 ELSE 0.0 END), 6) END AS success_rate, round(avg(turns) FILTER (success), 6) AS mean_turns, step % 5 <> 0 AS saved
@@ -46,8 +47,10 @@ def lineage_inputs(spark, sf):
     named = lambda p: F.concat(F.lit(p), c.cast("string"))
     orders = table(spark, sf, "orders").select(F.concat(F.lit("eval"), F.col("o_custkey").cast("string")).alias("run"),
                                                F.col("o_orderkey").alias("seed"), (F.col("o_orderstatus") == "F").alias("won"))
-    counts = orders.groupBy("run").agg(F.count("*").alias("_n"))
-    evals = base.withColumn("run", named("eval")).join(counts, "run", "left").select(
+    declared = orders.filter(F.col("seed") % 97 != 0).select("run", "seed")
+    # One pass over the episodes; what is left is a row per run.
+    seeds = stage(S.seed_set_report(orders, declared, successes=F.col("won").cast("long"), turn_sum=F.when(F.col("won"), F.col("seed") % 9)))
+    evals = base.withColumn("run", named("eval")).join(seeds.select("run", F.col("episodes").alias("_n")), "run", "left").select(
         "run", "environment", named("model").alias("model"), (c % 2 == 0).alias("concat_multi_turn"),
         (F.coalesce("_n", F.lit(0)) + F.when(c % 29 == 0, 1).otherwise(0)).alias("n_envs"),
         F.when(c % 17 != 0, named("train")).alias("source_run_dir"), named("sel").alias("source_selection_manifest"),
@@ -62,10 +65,7 @@ def lineage_inputs(spark, sf):
         named("train").alias("run"), "method", "seed", "environment", F.when(c % 23 == 0, c % 2 != 0).otherwise(c % 2 == 0).alias("concat_multi_turn"),
         F.when(c % 11 == 0, "failed").otherwise("complete").alias("status"), (c % 13 != 0).alias("gate_passed"), (1 + (c % 7) * 0.01).alias("ratio_p95"),
         (1 - (c % 5) * 0.02).alias("ratio_p99"), ((c % 9) * 0.01).alias("mean_abs_logprob_delta"), (c * 1.0).alias("peak_vram_mib"), ((c % 10) * 1.5).alias("gpu_hours"))
-    declared = orders.filter(F.col("seed") % 97 != 0).select("run", "seed")
-    seeds = S.seed_set_report(orders.select("run", "seed"), declared)
-    outcomes = orders.groupBy("run").agg(F.count_if("won").alias("successes"), F.sum(F.when(F.col("won"), F.col("seed") % 9)).alias("turn_sum"))
-    return evals, exports, trainings, seeds, outcomes
+    return evals, exports, trainings, seeds
 
 
 _ISSUES = """list_filter([CASE WHEN c % 17 = 0 THEN 'manifest is missing source_run_dir' END, CASE WHEN c % 31 = 0 THEN 'export manifest is unreadable' END,
@@ -101,7 +101,7 @@ def fin2(spark, sf):
 @query("FIN3", f"""WITH {LINEAGE} SELECT concat('eval', c) AS run, CAST(episodes AS BIGINT) AS episodes, CAST(episodes - undeclared AS BIGINT) AS declared_seeds,
   CASE WHEN episodes = undeclared THEN 'no valid frozen seed set' WHEN undeclared > 0 THEN 'episode seeds do not match the frozen set' ELSE '' END AS issues FROM ev""")
 def fin3(spark, sf):
-    return lineage_inputs(spark, sf)[3].withColumn("issues", F.concat_ws("; ", "issues"))
+    return lineage_inputs(spark, sf)[3].drop("successes", "turn_sum").withColumn("issues", F.concat_ws("; ", "issues"))
 
 
 # Nine customers in a row hold each method with each seed once; they stand for an environment.

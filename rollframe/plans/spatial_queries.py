@@ -103,6 +103,12 @@ def join9(spark, sf):
     return scenes(spark, sf).select("scene", (n * (n - 1) / 2).cast("long").alias("pairs"), M._sum(later, lambda v: v).alias("total_distance"))
 
 
+@query("JOIN9_pairs", f"""WITH {SCENES} SELECT a.k AS scene, a.name AS first, b.name AS second, {r6('a.x - b.x')} AS dx, {r6('a.y - b.y')} AS dy,
+  {r6('sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))')} AS distance FROM obj a JOIN obj b ON a.k = b.k AND a.i < b.i""")
+def join9_pairs(spark, sf):
+    return M.object_pairs(scenes(spark, sf), "gt", "scene")
+
+
 @query("PRJ26", f"""WITH {SCENES}, p AS (SELECT a.k AS scene, a.name AS a, b.name AS b, a.x - b.x AS dx, a.y - b.y AS dy FROM obj a JOIN obj b ON a.k = b.k AND a.i < b.i)
 SELECT scene, a, b, ['north', 'north east', 'east', 'south east', 'south', 'south west', 'west', 'north west'][{_BIN('dx', 'dy')} + 1] AS direction,
   CASE WHEN dx = 0 AND dy = 0 THEN 'same distance' ELSE 'near' END AS distance FROM p WHERE sqrt(dx * dx + dy * dy) <= 2.000001""")
