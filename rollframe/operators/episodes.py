@@ -104,17 +104,18 @@ def training_summary(rows: DataFrame) -> DataFrame:
     Copies are dropped and trajectories built once; the trajectory table, far smaller than
     the rows, is staged because several figures are taken from it.
     """
-    unique = drop_copies(rows, ["score", "output", "last_turn", "traj_success"])
-    built = trajectory_records(unique, None, F.sum("copies").alias("all_rows"), F.count("*").alias("own_rows"))
+    valid = F.col("action_is_valid").cast("double")
+    unique = drop_copies(rows, ["score", "output", "last_turn", "traj_success"], more={"valid": F.sum(valid), "checked": F.count(valid)})
+    built = trajectory_records(unique, None, F.sum("copies").alias("all_rows"), F.count("*").alias("own_rows"), F.sum("valid").alias("valid"), F.sum("checked").alias("checked"))
     # Rounding keeps equal sums equal in every order of additions.
     records = stage(built.withColumn("reward", F.round("reward", 6)))
     won = F.col("success")
     total = records.agg(
         F.sum("all_rows").alias("rows"), F.sum("own_rows").alias("unique_rows"), (F.sum("all_rows") - F.sum("own_rows")).alias("padding_duplicates"),
         F.count("*").alias("trajectories"), F.countDistinct("group_idx").alias("groups"), F.avg(won.cast("double")).alias("success_rate"),
-        F.avg(F.when(won, F.col("turns"))).alias("mean_turns_successful"), *_correlation("turns", "reward"))
-    valid = rows.agg((1 - F.avg(F.col("action_is_valid").cast("double"))).alias("invalid_action_fraction"))
-    for part in (comparable_variance(records), valid, template_concentration(rows, X.answer_template(F.col("output")))):
+        F.avg(F.when(won, F.col("turns"))).alias("mean_turns_successful"), (1 - F.sum("valid") / F.nullif(F.sum("checked"), F.lit(0))).alias("invalid_action_fraction"),
+        *_correlation("turns", "reward"))
+    for part in (comparable_variance(records), template_concentration(rows, X.answer_template(F.col("output")))):
         total = with_row(total, part)
     return total
 

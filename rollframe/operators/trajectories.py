@@ -37,21 +37,22 @@ def copy_report(turns: DataFrame, payload: list[str], key: list[str] = KEY) -> D
             .agg(F.count("*").alias("copies"), (F.min("_h") != F.max("_h")).alias("conflict")))
 
 
-def drop_copies(turns: DataFrame, payload: list[str], key: list[str] = KEY, strict: bool = True) -> DataFrame:
+def drop_copies(turns: DataFrame, payload: list[str], key: list[str] = KEY, strict: bool = True, more: dict[str, Column] | None = None) -> DataFrame:
     """One row per key. Copies are folded before the shuffle, so a hot key costs one row per task.
+    ``more`` are aggregates over all copies.
 
     With ``strict`` a key whose copies disagree on ``payload`` fails the job. Columns are
     taken one by one, so those that nobody uses later are not even read.
     """
-    rest = [c for c in turns.columns if c not in key]
+    rest, more = [c for c in turns.columns if c not in key], more or {}
     digest = F.xxhash64(*payload, *[F.col(c).isNull() for c in payload])
     kept = turns.withColumn("_h", digest).groupBy(*key).agg(
         *[F.first(c).alias(c) for c in rest], F.count("*").alias("copies"),
-        F.min("_h").alias("_lo"), F.max("_h").alias("_hi"))
+        F.min("_h").alias("_lo"), F.max("_h").alias("_hi"), *[a.alias(n) for n, a in more.items()])
     if strict:
         kept = kept.filter(F.when(F.col("_lo") != F.col("_hi"), F.raise_error(F.concat(
             F.lit("conflicting copies of "), F.to_json(F.struct(*key)))).cast("boolean")).isNull())
-    return kept.select(*key, *rest, "copies")
+    return kept.select(*key, *rest, "copies", *more)
 
 
 def drop_copies_ungrouped(turns: DataFrame, payload: list[str], row_id: str, strict: bool = True) -> DataFrame:
