@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -46,9 +47,11 @@ class TrajectoryAssembler(StatefulProcessor):
     """Emits a trajectory when its last turn is there and no turn is missing, and by a timer
     what has come of one that stays incomplete.
 
-    Turns are a list in the state store: a batch appends its own and reads none back. Counters
-    beside it tell whether the trajectory is whole. Rows that come too late, behind the
-    watermark or after their trajectory is complete, are given out on the side as they are.
+    A state key is a bucket of trajectories, so a call handles many of them at once. Counters per
+    trajectory tell whether it is whole; turns wait in pieces: a batch adds its own, and reads
+    the others back only when a trajectory of the bucket is to be given out. Rows that come too
+    late, behind the watermark or after their trajectory is complete, are given out on the side
+    as they are.
     """
 
     def __init__(self, patience_ms: int):
@@ -56,78 +59,113 @@ class TrajectoryAssembler(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.counters = handle.getValueState("counters", "n long, low long, high long, last long, terminals long, timer long, done boolean")
-        self.turns = handle.getListState("turns", "turn_idx long, score double, success boolean")
+        self.counters = handle.getValueState("counters", "known binary, timer long, pieces int")
+        self.turns = handle.getMapState("turns", "piece int", "held binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n, low, high, last, terminals, timer, done = self.counters.get() if self.counters.exists() else (0, 2 ** 40, -1, -1, 0, 0, False)
-        passed, latest, fresh = timerValues.getCurrentWatermarkInMs(), 0, False
-        for pdf in rows:
-            late = pdf["event_ms"] < passed
-            aside = pdf if done else pdf[late]
-            if len(aside):
-                yield self._aside(key, aside, late.loc[aside.index])
-            pdf = pdf.iloc[0:0] if done else pdf[~late]
-            if not len(pdf):
-                continue
-            fresh = True
-            self.turns.appendList([(int(t), float(s), bool(w)) for t, s, w in zip(pdf["turn_idx"], pdf["score"].fillna(0.0), pdf["traj_success"].fillna(False))])
-            ends = pdf.loc[pdf["last_turn"].astype(bool), "turn_idx"]
-            n, terminals, latest = n + len(pdf), terminals + len(ends), max(latest, int(pdf["event_ms"].max()))
-            low, high = min(low, int(pdf["turn_idx"].min())), max(high, int(pdf["turn_idx"].max()))
-            last = max(last, int(ends.max())) if len(ends) else last
-        if not fresh:
+        passed = timerValues.getCurrentWatermarkInMs()
+        known, timer, pieces = self._known()
+        new = pd.concat(list(rows), ignore_index=True).fillna({"score": 0.0, "event_ms": passed})
+        for flag in ("last_turn", "traj_success"):
+            new[flag] = new[flag].eq(True)
+        done = new[TRAJECTORY].merge(known[[*TRAJECTORY, "done"]], "left", TRAJECTORY)["done"].eq(True)
+        late = new["event_ms"] < passed
+        aside = new[done | late]
+        if len(aside):
+            yield pd.DataFrame({"kind": late[aside.index].map({True: "late", False: "stray"}), "group_idx": aside["group_idx"], "traj_idx": aside["traj_idx"], "turns": 1,
+                                "turn_list": [[t] for t in aside["turn_idx"]], "reward": aside["score"], "success": aside["traj_success"], "complete": False})
+        fresh = new[~(done | late)]
+        if not len(fresh):
             return
-        if timer:
-            self.handle.deleteTimer(timer)
-        timer = latest + self.patience_ms
-        self.handle.registerTimer(timer)
-        done = low == 1 and high == n and last == high and terminals == 1
+        own = fresh.assign(n=1, low=fresh["turn_idx"], high=fresh["turn_idx"], last=fresh["turn_idx"].where(fresh["last_turn"], -1),
+                           terminals=fresh["last_turn"].astype("int64"), latest=fresh["event_ms"], done=False)
+        known = pd.concat([known, own[known.columns]]).groupby(TRAJECTORY, dropna=False, sort=False, as_index=False).agg(
+            {"n": "sum", "low": "min", "high": "max", "last": "max", "terminals": "sum", "latest": "max", "done": "any"})
+        whole = ~known["done"] & (known["low"] == 1) & (known["high"] == known["n"]) & (known["last"] == known["high"]) & (known["terminals"] == 1)
         # A finished trajectory stays marked until the timer, so stray rows are known as such.
-        self.counters.update((n, low, high, last, terminals, timer, done))
-        if done:
-            yield self._whole(key, "complete")
-            self.turns.clear()
+        known["done"] |= whole
+        self.turns.updateValue((pieces,), (_packed(fresh[HELD]),))
+        self._keep(known, timer, pieces + 1)
+        if whole.any():
+            yield self._taken(known[whole], "complete")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        done = self.counters.get()[6]
-        self.counters.clear()
-        if not done:
-            yield self._whole(key, "incomplete")
-            self.turns.clear()
+        known, timer, pieces = self._known()
+        due = known["latest"] + self.patience_ms <= timerValues.getCurrentWatermarkInMs()
+        self._keep(known[~due], 0, pieces)
+        late = known[due & ~known["done"]]
+        if len(late):
+            yield self._taken(late, "incomplete")
+
+    def _known(self) -> tuple[pd.DataFrame, int, int]:
+        if self.counters.exists():
+            known, timer, pieces = self.counters.get()
+            return _unpacked(known), timer, pieces
+        return pd.DataFrame({c: pd.Series(dtype=t) for c, t in COUNTERS.items()}), 0, 0
+
+    def _keep(self, known: pd.DataFrame, timer: int, pieces: int) -> None:
+        """Counters of the bucket, and one timer for the trajectory that is due first."""
+        if not len(known):
+            self.counters.clear()
+            return
+        first = int(known["latest"].min()) + self.patience_ms
+        if first != timer:
+            if timer:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(first)
+        self.counters.update((_packed(known), first, pieces))
+
+    def _taken(self, chosen: pd.DataFrame, kind: str) -> pd.DataFrame:
+        """The records of the chosen trajectories, whose turns leave the state."""
+        held = pd.concat([_unpacked(piece) for (piece,) in self.turns.values()], ignore_index=True)
+        mine = held[TRAJECTORY].merge(chosen[TRAJECTORY].assign(mine=True), "left", TRAJECTORY)["mine"].eq(True)
+        rest = held[~mine]
+        self.turns.clear()
+        if len(rest):
+            self.turns.updateValue((0,), (_packed(rest),))
+        if self.counters.exists():
+            known, timer, _ = self.counters.get()
+            self.counters.update((bytes(known), timer, 1 if len(rest) else 0))
+        by = held[mine].sort_values(["turn_idx", "score", "traj_success"]).groupby(TRAJECTORY, dropna=False, sort=False, as_index=False)
+        out = by.agg(turns=("turn_idx", "size"), turn_list=("turn_idx", list), reward=("score", "sum"), success=("traj_success", "any"))
+        return out.assign(kind=kind, complete=kind == "complete")[["kind", *TRAJECTORY, "turns", "turn_list", "reward", "success", "complete"]]
 
-    def _whole(self, key, kind) -> pd.DataFrame:
-        held = sorted(self.turns.get())
-        return self._rows(key, [(kind, [int(h[0]) for h in held], sum(float(h[1]) for h in held), any(h[2] for h in held))])
+    def close(self) -> None:
+        pass
 
-    def _aside(self, key, pdf, late) -> pd.DataFrame:
-        return self._rows(key, [("late" if behind else "stray", [int(t)], float(s), bool(w)) for t, s, w, behind in zip(
-            pdf["turn_idx"], pdf["score"].fillna(0.0), pdf["traj_success"].fillna(False), late)])
 
-    @staticmethod
-    def _rows(key, rows) -> pd.DataFrame:
-        return pd.DataFrame([{"kind": kind, "group_idx": key[0], "traj_idx": int(key[1]), "turns": len(held), "turn_list": held, "reward": reward,
-                              "success": success, "complete": kind == "complete"} for kind, held, reward, success in rows])
+HELD = [*TRAJECTORY, "turn_idx", "score", "traj_success"]
+COUNTERS = {"group_idx": "object", "traj_idx": "int64", "n": "int64", "low": "int64", "high": "int64", "last": "int64", "terminals": "int64", "latest": "int64", "done": "bool"}
 
-    def close(self) -> None:
-        pass
+
+def _packed(rows: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(bytes(data)).read_all().to_pandas()
 
 
 ASSEMBLED = "kind string, group_idx string, traj_idx int, turns long, turn_list array<int>, reward double, success boolean, complete boolean"
 
 
-def assemble(rows: DataFrame, time: str, delay: str = "10 minutes", patience_ms: int = 600_000) -> DataFrame:
+def assemble(rows: DataFrame, time: str, delay: str = "10 minutes", patience_ms: int = 600_000, buckets: int = 1024) -> DataFrame:
     """Trajectory records by ``kind``: ``complete`` as soon as they are whole, ``incomplete`` with the
     turns they have after ``patience_ms``; and on the side every row that is ``late`` (behind the
     watermark) or ``stray`` (of a trajectory that is already complete).
 
     Expects deduplicated rows (see :func:`drop_copies`) and the RocksDB state store. The event
     time goes on as a number, so that no operator drops late rows before they are told.
+    State is kept by ``buckets`` of trajectories; the number must stay for a checkpoint.
     """
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     timed = rows.select(*KEY, "last_turn", "traj_success", "score", F.col(time).cast("timestamp").alias("event_time")).withWatermark("event_time", delay)
-    slim = timed.select(*KEY, "last_turn", "traj_success", "score", F.unix_millis("event_time").alias("event_ms"))
-    return slim.groupBy(*TRAJECTORY).transformWithStateInPandas(
+    slim = timed.select(*KEY, "last_turn", "traj_success", "score", F.unix_millis("event_time").alias("event_ms"), F.pmod(F.xxhash64(*TRAJECTORY), F.lit(buckets)).alias("bucket"))
+    return slim.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=TrajectoryAssembler(patience_ms), outputStructType=StructType.fromDDL(ASSEMBLED),
         outputMode="append", timeMode="EventTime")
 
