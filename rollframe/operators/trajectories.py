@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollframe.distributed import SLICE, affine_suffix, in_order, null_safe, ordered, running
+from rollframe.distributed import affine_suffix, in_order, null_safe, row_numbers
 
 KEY = ["group_idx", "traj_idx", "turn_idx"]
 TRAJECTORY = ["group_idx", "traj_idx"]
@@ -124,9 +124,7 @@ def keep_whole_groups(turns: DataFrame, report: DataFrame) -> DataFrame:
 
 def assign_ids(tasks: DataFrame, uid: str, order: list[str], name: str = "traj_idx") -> DataFrame:
     """Number the rows of each uid 0..n-1 in ``order`` (a total order)."""
-    spread = ordered(tasks, [uid], order)
-    return running(spread, [uid], order, {name: F.lit(1)}).withColumn(
-        name, (F.col(name) - 1).cast("int")).drop(SLICE)
+    return row_numbers(tasks, [uid], order, name).withColumn(name, (F.col(name) - 1).cast("int"))
 
 
 def turn_count(rows: str = "rows", low: str = "low", high: str = "high") -> Column:

@@ -11,8 +11,13 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from rollframe import distributed, session
+from rollframe.distributed import row_numbers
+from rollframe.plans import views
 from rollframe.streaming import jobs as J
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_trims_round_as_single_precision(spark, tmp_path):
     """1.02 times 100 is 102 in single precision and a little less in double."""
@@ -55,3 +60,19 @@ def test_assembly_state_is_kept_by_bucket(spark, tmp_path):
     assert [r for r in got[0] if r[0] == "incomplete"] == sorted(("incomplete", str(g), t, (1, 3, 4), 2.0) for g in range(0, 40, 5) for t in range(3))
     many = pd.DataFrame({"a": range(3)})
     assert J._unpacked(J._packed(many)).equals(many)
+
+
+def test_numbering_without_a_hot_key_writes_nothing(spark, monkeypatch):
+    df = spark.range(3000).select((F.col("id") % 7).alias("k"), (F.col("id") * 37 % 3001).alias("o"))
+    held = lambda: len(session._staged.get(spark.sparkContext.applicationId, []))
+    before = held()
+    plain = sorted(row_numbers(df, ["k"], ["o"]).collect())
+    assert held() == before
+    monkeypatch.setattr(distributed, "WINDOW_ROWS", 100)
+    assert sorted(row_numbers(df, ["k"], ["o"]).collect()) == plain and held() > before
+
+
+def test_turns_of_hot_orders_are_the_same(spark, monkeypatch):
+    plain = sorted(map(str, views.turns(spark, SF).collect()))
+    monkeypatch.setattr(distributed, "WINDOW_ROWS", 0)
+    assert sorted(map(str, views.turns(spark, SF + "/").collect())) == plain
