@@ -45,6 +45,12 @@ def write_files(files: DataFrame, root: str) -> int:
     return files.select("path", "value").mapInArrow(save, "n long").agg(F.sum("n")).first()[0] or 0
 
 
+def write_packed(files: DataFrame, root: str) -> None:
+    """Append rows of (path, value) to packs: tables of whole small files by file name. A million
+    files of some hundred bytes would take a disk block each; packed they take their bytes."""
+    files.select("path", "value", F.regexp_extract("path", r"([^/]+)$", 1).alias("name")).write.mode("append").partitionBy("name").parquet(root)
+
+
 def write_rollouts(rows: DataFrame, path: str, fmt: str = "parquet", mode: str = "append") -> None:
     """Rollout rows by step, one folder per step. Tasks write what they hold, so a step with
     most of the rows is still written in parallel."""

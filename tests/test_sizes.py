@@ -3,6 +3,7 @@
 import datetime as dt
 import functools
 import operator
+import pathlib
 import random
 
 import pandas as pd
@@ -14,6 +15,8 @@ import __spark_entry__ as entry
 from rollframe import distributed, session
 from rollframe.distributed import row_numbers
 from rollframe.plans import views
+from rollframe.plans.source_queries import dump_root
+from rollframe.sources import readers as R
 from rollframe.streaming import jobs as J
 
 SF = "/root/testdata/sf0.001"
@@ -76,3 +79,11 @@ def test_turns_of_hot_orders_are_the_same(spark, monkeypatch):
     plain = sorted(map(str, views.turns(spark, SF).collect()))
     monkeypatch.setattr(distributed, "WINDOW_ROWS", 0)
     assert sorted(map(str, views.turns(spark, SF + "/").collect())) == plain
+
+
+def test_folders_of_small_files_are_packed(spark):
+    """SRC9 and its like write some files for each name, not one for each episode."""
+    root = dump_root(spark, SF)
+    parts = [p for p in pathlib.Path(root).rglob("*") if p.is_file() and p.suffix == ".parquet"]
+    assert 0 < len(parts) <= 3 * spark.sparkContext.defaultParallelism
+    assert R.packed_files(spark, root, "metrics.json").count() == spark.read.parquet(SF + "/orders.parquet").count()
