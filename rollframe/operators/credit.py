@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rollframe.distributed import affine_suffix, null_safe, with_row
 from rollframe.functions import tokens as T
 from rollframe.operators.trajectories import KEY, TRAJECTORY, drop_copies, fail_on, sequence_issues, sequence_stats
+from rollframe.session import stage
 
 # Spread below which a group counts as constant, slack of the format gate.
 MIN_STD = 1e-6
@@ -98,7 +99,8 @@ def episode_advantages(turns: DataFrame, payload: list[str], mode: str = "outcom
     """
     unique = drop_copies(turns, payload)
     scores = trajectory_scores(unique, mode, with_issues=True, **options)
-    return group_advantages(whole_groups(fail_on(scores) if strict else scores))
+    # A row per trajectory, read by both group tables and what they are joined to: the turns are folded once.
+    return group_advantages(whole_groups(stage(fail_on(scores) if strict else scores)))
 
 
 def advantage_to_tokens(turns: DataFrame, advantages: DataFrame, mask: str = "response_mask") -> DataFrame:
