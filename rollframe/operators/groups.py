@@ -100,7 +100,8 @@ def state_groups(unique_turns: DataFrame, action: str = "action") -> DataFrame:
 def preflight(unique_turns: DataFrame, action: str = "action", limits: dict[str, float] | None = None) -> DataFrame:
     """One row: can a state-relative advantage be told apart at all, and which checks fail."""
     lim = {**PREFLIGHT_LIMITS, **(limits or {})}
-    groups = state_groups(unique_turns, action)
+    # Read by the totals and by every pass of the quantiles: worked out once.
+    groups = stage(state_groups(unique_turns, action))
     totals = unique_turns.agg(
         F.count("*").alias("rows"),
         F.count_if(F.coalesce(F.length("state_anchor"), F.lit(0)) == 0).alias("missing_anchors"))
