@@ -1,8 +1,8 @@
-"""Bounded samples of labelled documents, and training on them in a task.
+"""Labelled documents: all of them, or bounded samples, and training in a task.
 
 Defined cases: labels other than 0 and 1, of null ids or of ids without a document drop out; of
 repeated labels of one id the larger one counts; of documents that share an id, the one whose
-text has the least hash; null and longer texts are not drawn.
+text has the least hash; null and longer texts are not drawn into a sample.
 """
 
 from __future__ import annotations
@@ -24,6 +24,19 @@ def remainder(mod: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % mod
 
 
+def known_labels(labels: DataFrame, label: str, allowed: Column) -> DataFrame:
+    """doc_id and label of every allowed label."""
+    return labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter(
+        "doc_id is not null and label in (0, 1)").filter(allowed).groupBy("doc_id").agg(F.max("label").alias("label"))
+
+
+def with_labels(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """doc_id, text, lang and label of every labelled document, whatever its length; a null text is empty."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "lang")
+    one = F.min_by(F.struct("text", "lang", "label"), F.struct(F.xxhash64("text"), "text", "lang")).alias("one")
+    return texts.join(known, "doc_id").groupBy("doc_id").agg(one).select("doc_id", "one.*")
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, rows: int = SAMPLE_ROWS,
            chars: int = SAMPLE_CHARS) -> tuple[DataFrame, dict[int, int]]:
     """At most ``rows`` labelled documents of each class, and the class counts over all labels.
@@ -32,8 +45,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, rows
     to broadcast: the documents are scanned once and not shuffled. Repeated labels of one
     document count once (the larger one); ids without a document drop out.
     """
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter(
-        "doc_id is not null and label in (0, 1)").filter(allowed).groupBy("doc_id").agg(F.max("label").alias("label"))
+    known = known_labels(labels, label, allowed)
     counts = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     drawn = None
     for value in (0, 1):
@@ -46,13 +58,14 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, rows
             {0: counts.get(0, 0), 1: counts.get(1, 0)})
 
 
-def trained(rows: DataFrame, train: Callable[[list[dict]], object]):
-    """What ``train`` makes of a bounded sample, by doc_id. It runs in one task: the sample never
-    comes to the driver, the model alone does."""
+def trained(rows: DataFrame, train: Callable[[pa.Table], object]):
+    """What ``train`` makes of rows whose number is bounded (a sample, the parameters of a model). It
+    runs in one task: the rows never come to the driver, the model alone does."""
+    schema = rows.limit(0).toArrow().schema
+
     def run(batches):
         held = [b for b in batches if b.num_rows]
-        got = pa.Table.from_batches(held).sort_by("doc_id").to_pylist() if held else []
-        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(train(got), protocol=5)], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(train(pa.Table.from_batches(held) if held else schema.empty_table()), protocol=5)], pa.binary())})
     return pickle.loads(rows.repartition(1).mapInArrow(run, "model binary").first().model)
 
 

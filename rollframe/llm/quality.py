@@ -149,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed, rows: int = SAMPLE_ROWS, ep
         model, rounds = Model(), max(epochs, LEAST_STEPS * BATCH // len(got))
         model.train([(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["share"], np.float32)) for r in got], y, rounds)
         return model.fold(prior_shift(counts, int(y.sum()), int((y == 0).sum())))
-    return trained(map_slices(drawn, hashed, "doc_id long, label int, ids binary, share binary"), train)
+    return trained(map_slices(drawn, hashed, "doc_id long, label int, ids binary, share binary"), lambda drawn: train(drawn.sort_by("doc_id").to_pylist()))
 
 
 def score(docs: DataFrame, model) -> DataFrame:

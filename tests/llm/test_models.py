@@ -56,6 +56,21 @@ def test_scores_do_not_use_held_out_labels(spark):
     assert one == two
 
 
+def test_all_labelled_documents_train(spark):
+    """A toxic word that one long document alone holds, far beyond any slice, is in the model."""
+    docs, labels = made(spark, 300)
+    ids = [i for i in range(10_000, 10_200)]
+    rare = spark.createDataFrame([(i, f"only{i} " + "w1 " * 12_000, "en") for i in ids[:20]], docs.schema)
+    both = docs.unionByName(rare)
+    known = labels.unionByName(spark.createDataFrame([(i, 1, 1) for i in ids[:20]], labels.schema))
+    model, _ = toxicity.fit(both, known, F.lit(True), rows=40, epochs=1)
+    words = Words(pa.array([f"only{i}" for i in ids[:20]]), LETTER_OR_DIGIT, True)
+    learned = [any(model.tables[j][row[j], 0] > 0 for j in range(2)) for row in toxicity.rows_of(words)]
+    assert sum(learned) >= 10  # the others calibrate
+    again = toxicity.fit(both.repartition(7), known.repartition(3), F.lit(True), rows=40, epochs=1)[0]
+    assert all((a == b).all() for a, b in zip([model.tables, *model.dense()], [again.tables, *again.dense()]))
+
+
 def test_scoring_in_slices_equals_one_by_one(spark):
     docs, labels = made(spark, 120)
     model, _ = toxicity.fit(docs, labels, F.lit(True))
