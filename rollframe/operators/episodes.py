@@ -160,13 +160,14 @@ def validation_metrics(samples: DataFrame, source: str, prompt: str, variables:
             source, prompt, "z.*").filter("x IS NOT NULL")
     keys = [source, prompt, "variable"]
     votes = long.groupBy(*keys, "x").agg(F.count("*").alias("n"))
-    per = votes.groupBy(*keys).agg(F.sum("n").alias("N"), (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean"),
-                                   F.sort_array(F.collect_list(F.struct("x", "n"))).alias("votes"))
+    # Read by the distinct tables and by what they are joined to: folded once.
+    per = stage(votes.groupBy(*keys).agg(F.sum("n").alias("N"), (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean"),
+                                   F.sort_array(F.collect_list(F.struct("x", "n"))).alias("votes")))
     # Equal tables of votes, most of them for a yes-or-no variable, are worked out once.
     tables = per.select("votes").distinct().withColumn("drawn", I.drawn_metrics("votes"))
     drawn = per.join(tables, "votes").select(source, "variable", "N", "mean", F.explode("drawn").alias("d"))
-    at_n = drawn.groupBy(source, "variable", F.col("d.size").cast("long").alias("size")).agg(
-        F.avg(F.when(F.col("d.size") == F.col("N"), F.col("mean"))).alias("mean"), F.avg("d.best").alias("best"), F.avg("d.maj").alias("maj"))
+    at_n = stage(drawn.groupBy(source, "variable", F.col("d.size").cast("long").alias("size")).agg(
+        F.avg(F.when(F.col("d.size") == F.col("N"), F.col("mean"))).alias("mean"), F.avg("d.best").alias("best"), F.avg("d.maj").alias("maj")))
     top = at_n.groupBy(source, "variable").agg(F.max("size").alias("_top"))
     section = F.when((F.col("variable") == core) & (F.col("size") == F.col("_top")), "val-core").otherwise("val-aux")
     return at_n.join(top, [source, "variable"]).select(section.alias("_s"), source, "variable", "size", F.explode(F.array(*[
