@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from rollframe.distributed import affine_suffix
-from rollframe.operators import credit, groups
+from rollframe.operators import credit, episodes, groups, maps
+from rollframe.plans.catalog import enough_tasks
 
 
 def turns(spark):
@@ -36,3 +37,23 @@ def test_a_block_of_the_recurrence_is_walked_once(spark):
         after[i], want = want, i % 7 + 0.5 * want
         after[i] = (want, after[i])
     assert all(abs(r.suffix - after[r.i][0]) < 1e-12 and abs(r.after - after[r.i][1]) < 1e-12 for r in out.collect())
+
+
+def test_votes_are_worked_out_once(spark):
+    rows = spark.createDataFrame([("a", p, float(p % 3), float(i % 2)) for p in range(6) for i in range(3)], "run string, prompt int, reward double, acc double")
+    out = episodes.validation_metrics(rows, "run", "prompt", ["reward", "acc"])
+    assert "Python" not in plan(out) and "Arrow" not in plan(out) and out.count() == 14
+
+
+def test_heavy_rows_get_more_tasks_as_they_grow(spark):
+    small, large = (enough_tasks(spark.range(0, n, 1, 8).select("id")) for n in (1000, 1_000_000))
+    assert small.rdd.getNumPartitions() == 8 and large.rdd.getNumPartitions() == 20
+
+
+def test_scale_of_a_position_is_worked_out_once(spark):
+    scaled, plain = (maps.position_similarity(F.col("m"), allow_scale=s) for s in (True, False))
+    rows = spark.sql("SELECT array(named_struct('g', struct(1 AS x, 2 AS y), 'p', struct(2 AS x, 4 AS y)), named_struct('g', struct(0 AS x, 3 AS y), 'p', NULL)) AS m")
+    text = plan(rows.repartition(1).select(scaled.alias("v")))
+    assert text.count("aggregate(") <= 10
+    assert rows.select(scaled.alias("v")).first().v == 0.5
+    assert abs(rows.select(plain.alias("v")).first().v - 0.5 * 2.718281828459045 ** -1) < 1e-12
