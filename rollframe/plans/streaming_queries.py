@@ -43,7 +43,8 @@ def timed_turns(spark, sf, padded=False):
 @query("STR1", f"""WITH {views.TURNS} SELECT CAST(count(*) FILTER ({_KEPT}) AS BIGINT) AS rows, CAST(count(*) FILTER ({_BAD}) AS BIGINT) AS bad_lines, {r6(f'sum(score) FILTER ({_KEPT})')} AS score_sum FROM turns""")
 def str1(spark, sf):
     source, base = stage_path(spark, "lines"), stage_path(spark, "stream")
-    for part in thirds(rollout_lines(spark, sf).withColumn("part", F.abs(F.xxhash64("value"))), "part"):
+    # The part hangs on the turn and not on its text, so a line is made once.
+    for part in thirds(rollout_lines(spark, sf, F.pmod(F.xxhash64("uid", "turn_idx"), F.lit(3)).alias("part")), "part"):
         part.select("value").write.mode("append").text(source)
         J.ingest(J.rollout_stream(spark, source), f"{base}/good", f"{base}/bad", f"{base}/checkpoint").awaitTermination()
     good, bad = spark.read.parquet(f"{base}/good"), spark.read.parquet(f"{base}/bad")
