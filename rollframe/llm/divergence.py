@@ -72,9 +72,9 @@ def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names = list(own)
             for a in range(0, len(names), 10_000):
                 part = names[a: a + 10_000]
-                yield pa.RecordBatch.from_pydict({
-                    "lang": [lang] * len(part), "source": [source] * len(part), "term": [t.decode("utf-8", "replace") for t in part],
-                    "n": [own[t] for t in part], "docs": [have[t] for t in part]}, _COUNTS)
+                yield pa.RecordBatch.from_arrays([
+                    pa.repeat(pa.scalar(lang, pa.string()), len(part)), pa.repeat(pa.scalar(source, pa.string()), len(part)), pa.array(part, pa.binary()).cast(pa.string()),
+                    pa.array(list(map(own.__getitem__, part)), pa.int64()), pa.array(list(map(have.__getitem__, part)), pa.int64())], schema=_COUNTS)
         number.clear()
         docs.clear()
 
@@ -181,8 +181,9 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, block: int
     """lang, source, part ('pair' or 'term'), item, value, rank; ``block`` and ``tile`` only deal the work."""
     plain = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
     small_batches(docs.sparkSession)
+    # A task has added up what it could: its rows are dealt as they are, and added where they meet.
     counts = staged(plain.mapInArrow(count_terms, "lang string, source string, term string, n long, docs long")
-                    .groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
+                    .repartition("lang", "source", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
     kept = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n")).filter(F.col("docs") >= min_docs)
     vocabulary = staged(row_numbers(kept.select("lang", "term", "lang_n"), ["lang"], ["term"], "id"))
     own = staged(counts.select("lang", "source", "term", "n").join(vocabulary, ["lang", "term"]))
