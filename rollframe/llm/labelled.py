@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 #: Labelled documents per class that a model is trained on, and the longest text among them.
 SAMPLE_ROWS = 2000
 SAMPLE_CHARS = 1 << 15
+#: A trained model comes to the driver in rows of so many bytes.
+PIECE_BYTES = 1 << 18
 
 
 def remainder(mod: int) -> Column:
@@ -60,13 +62,17 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, rows
 
 def trained(rows: DataFrame, train: Callable[[pa.Table], object]):
     """What ``train`` makes of rows whose number is bounded (a sample, the parameters of a model). It
-    runs in one task: the rows never come to the driver, the model alone does."""
+    runs in one task: the rows never come to the driver, the model alone does, in pieces that are
+    small beside the driver's memory."""
     schema = rows.limit(0).toArrow().schema
 
     def run(batches):
         held = [b for b in batches if b.num_rows]
-        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(train(pa.Table.from_batches(held) if held else schema.empty_table()), protocol=5)], pa.binary())})
-    return pickle.loads(rows.repartition(1).mapInArrow(run, "model binary").first().model)
+        whole = pickle.dumps(train(pa.Table.from_batches(held) if held else schema.empty_table()), protocol=5)
+        for place, a in enumerate(range(0, len(whole), PIECE_BYTES)):
+            yield pa.RecordBatch.from_pydict({"place": pa.array([place], pa.int32()), "piece": pa.array([whole[a: a + PIECE_BYTES]], pa.binary())})
+    pieces = rows.repartition(1).mapInArrow(run, "place int, piece binary").toArrow().sort_by("place").column("piece")
+    return pickle.loads(b"".join(p.as_py() for p in pieces))
 
 
 def prior_shift(counts: dict[int, int], positives: int, negatives: int) -> float:

@@ -25,6 +25,7 @@ import copy
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -104,6 +105,18 @@ class Model:
         self.base = np.float32(-1.5)
         self.shift = 0.0
 
+    def __getstate__(self) -> dict:
+        """Most rows of the tables belong to no word seen: the others alone travel."""
+        flat = self.tables.reshape(-1, DIMS)
+        cells = np.flatnonzero(flat.any(axis=1)).astype(np.int32)
+        return self.__dict__ | {"tables": (cells, flat[cells])}
+
+    def __setstate__(self, state: dict) -> None:
+        cells, rows = state["tables"]
+        tables = np.zeros((TABLES, BUCKETS, DIMS), np.float32)
+        tables.reshape(-1, DIMS)[cells] = rows
+        self.__dict__ |= state | {"tables": tables}
+
     def dense(self) -> list[np.ndarray]:
         """The parameters beside the tables, each as one dimension."""
         return [*(f.reshape(-1) for f in self.filters.values()), *self.bias.values(), self.out, np.array([self.base])]
@@ -304,15 +317,20 @@ def fit(docs: DataFrame, labels: DataFrame, allowed, rows: int = SLICE_ROWS, epo
     dealt = own.select("doc_id", "label", "text", F.pmod(F.xxhash64("doc_id", F.lit("slice")), F.lit(parts)).alias("slice"))
     trained_slices = dealt.groupBy("slice").applyInArrow(train, "cell long, " + ", ".join(f"d{i} long" for i in range(DIMS)))
     model = trained(trained_slices.groupBy("cell").agg(F.count("*").alias("n"), *[F.sum(f"d{i}").alias(f"d{i}") for i in range(DIMS)]), end)
+    start.destroy()
+    shared = spark.sparkContext.broadcast(model)
 
     reached = F.size(F.filter(F.array(*[F.lit(c) for c in CUTS]), lambda c: c <= F.col("score")))
-    scored = score(held.select("lang", "label", "text"), model).groupBy("lang", "label", reached.alias("reached")).agg(F.count("*").alias("n"))
-    return model, thresholds([tuple(r) for r in scored.collect()])
+    scored = score(held.select("lang", "label", "text"), shared).groupBy("lang", "label", reached.alias("reached")).agg(F.count("*").alias("n"))
+    counts = [tuple(r) for r in scored.collect()]
+    shared.destroy()
+    return model, thresholds(counts)
 
 
 def score(docs: DataFrame, model, name: str = "score") -> DataFrame:
-    """Add the score to every row, by its whole text; the other columns pass through."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """Add the score to every row, by its whole text; the other columns pass through. The model may be a
+    broadcast already."""
+    shared = model if isinstance(model, Broadcast) else docs.sparkSession.sparkContext.broadcast(model)
     rest = [c for c in docs.columns if c != name]
     # Numbered names for the way through Python, which takes no dots.
     rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)])

@@ -1,12 +1,13 @@
 """The classifiers' scores from their stored weights in plain Python, and a gradient step against finite differences."""
 
 import math
+import pickle
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from rollframe.llm import quality, toxicity
+from rollframe.llm import labelled, quality, toxicity
 from rollframe.llm.words import LETTER_OR_DIGIT, NOT_BLANK, Words
 
 TEXTS = ["you vile person you", "a calm and friendly note on gardens", "x", "", "vile vile vile", "un été calme"]
@@ -162,3 +163,23 @@ def test_quality_step_follows_the_gradient():
             step[i, d] = h
             want = (loss(start[rows] + step, old.layer, old.offset) - loss(start[rows] - step, old.layer, old.offset)) / (2 * h)
             assert (start[rows[i], d] - model.vectors[rows[i], d]) / (20 * speed) == pytest.approx(want, abs=1e-4)
+
+
+def test_a_model_travels_without_the_rows_of_words_never_seen():
+    docs = [toxicity.rows_of(words_of(t)) for t in TEXTS]
+    model = toxicity.Model([docs[0], docs[4]], [docs[1], docs[5]])
+    sent = pickle.dumps(model, protocol=5)
+    back = pickle.loads(sent)
+    assert len(sent) < 100_000 < model.tables.nbytes
+    assert np.array_equal(back.tables, model.tables) and all(np.array_equal(a, b) for a, b in zip(back.dense(), model.dense()))
+    rows = docs[0]
+    back.train([rows], np.array([0]), 1)
+    model.train([rows], np.array([0]), 1)
+    assert np.array_equal(back.tables, model.tables)
+
+
+def test_a_trained_model_comes_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(labelled, "PIECE_BYTES", 1000)
+    made = labelled.trained(spark.range(50), lambda rows: np.arange(rows.num_rows * 100))
+    assert np.array_equal(made, np.arange(5000))
+    assert labelled.trained(spark.range(0), lambda rows: rows.num_rows) == 0
