@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollframe.distributed import affine_suffix, null_safe, with_row
+from rollframe.distributed import affine_suffix, has_hot_key, null_safe, with_row
 from rollframe.functions import tokens as T
 from rollframe.operators.trajectories import KEY, TRAJECTORY, drop_copies, fail_on, sequence_issues, sequence_stats
 from rollframe.session import stage
@@ -169,6 +169,27 @@ def back_to_copies(all_rows: DataFrame, unique: DataFrame, columns: list[str]) -
     return null_safe(all_rows, unique.select(*KEY, *columns), KEY)
 
 
+def advantages_of_copies(all_rows: DataFrame, payload: list[str], carry: list[str], reward: str, value: str,
+                         gamma: float = 1.0, lam: float = 1.0) -> DataFrame:
+    """Key, ``carry``, ``advantage`` and ``turn_return`` of every row, padded copies among them.
+
+    Where no trajectory is hot the rows move once: a trajectory's rows come together, copies are
+    folded with what is to be carried, and the recurrence runs where they are. Else copies are
+    folded before the shuffle and get the results back by a join.
+    """
+    if has_hot_key(all_rows, TRAJECTORY):
+        unique = drop_copies(all_rows, payload)
+        done = generalized_advantages(unique.select(*KEY, reward, value), reward, value, gamma, lam)
+        return back_to_copies(all_rows.select(*KEY, *carry), done, ["advantage", "turn_return"])
+    low, high = all_rows.agg(F.min("turn_idx"), F.max("turn_idx")).first()
+    dealt = all_rows.select(*dict.fromkeys([*KEY, *payload, reward, value, *carry])).repartition(*TRAJECTORY)
+    unique = drop_copies(dealt, payload, more={"_carry_all": F.collect_list(F.struct(*[F.col(c) for c in carry]))})
+    done = generalized_advantages(unique.select(*KEY, reward, value, "_carry_all"), reward, value, gamma, lam,
+                                  high if (low or 0) >= 0 and high is not None else None)
+    return done.select(*KEY, F.explode("_carry_all").alias("_c"), "advantage", "turn_return").select(
+        *KEY, *[F.col(f"_c.{c}").alias(c) for c in carry], "advantage", "turn_return")
+
+
 def advantage_diagnostics(turns: DataFrame, scores: DataFrame, dropped_groups: Column | int = 0) -> DataFrame:
     """One row of counts: rows, copies, trajectories, groups, constant groups."""
     rows = turns.groupBy(*KEY).agg(F.count("*").alias("c")).agg(

@@ -237,11 +237,8 @@ def trj21(spark, sf):
 SELECT padded.group_idx, padded.traj_idx, padded.turn_idx, CAST(copy_no AS BIGINT) AS copy_no, {r6('advantage')} AS advantage
 FROM padded JOIN gae USING (group_idx, traj_idx, turn_idx)""")
 def trj22(spark, sf):
-    padded = views.turns_padded(spark, sf)
-    unique = trajectories.drop_copies(padded, PAYLOAD)
-    done = credit.generalized_advantages(unique.select(*trajectories.KEY, "score", "value"), "score", "value", 0.99, 0.95)
-    return credit.back_to_copies(padded, done, ["advantage"]).select(
-        *trajectories.KEY, F.col("copy_no").cast("long"), "advantage")
+    done = credit.advantages_of_copies(views.turns_padded(spark, sf), PAYLOAD, ["copy_no"], "score", "value", 0.99, 0.95)
+    return done.select(*trajectories.KEY, F.col("copy_no").cast("long"), "advantage")
 
 
 @query("TRJ23", "WITH " + views.TURNS + f"""

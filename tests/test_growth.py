@@ -57,3 +57,17 @@ def test_scale_of_a_position_is_worked_out_once(spark):
     assert text.count("aggregate(") <= 10
     assert rows.select(scaled.alias("v")).first().v == 0.5
     assert abs(rows.select(plain.alias("v")).first().v - 0.5 * 2.718281828459045 ** -1) < 1e-12
+
+
+def test_padded_rows_move_once_for_their_advantages(spark, monkeypatch):
+    rows = turns(spark).withColumn("value", F.lit(0.1)).withColumn("copy_no", F.xxhash64("state_anchor") % 3)
+    rows = rows.unionByName(rows.filter("turn_idx % 2 = 0").withColumn("copy_no", F.lit(9).cast("long")))
+    made = lambda: credit.advantages_of_copies(rows, ["score", "output"], ["copy_no"], "score", "value", 0.99, 0.95)
+    out = made()
+    assert "Join" not in plan(out) and out._jdf.queryExecution().executedPlan().toString().count("Exchange hash") == 1
+    got = sorted(out.collect())
+    monkeypatch.setattr(credit, "has_hot_key", lambda *a: True)
+    want = sorted(made().collect())
+    assert len(got) == len(want) == rows.count()
+    for a, b in zip(got, want):
+        assert a[:4] == b[:4] and abs(a.advantage - b.advantage) < 1e-12 and abs(a.turn_return - b.turn_return) < 1e-12
