@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from rollframe import session
 from rollframe.distributed import affine_suffix
 from rollframe.operators import credit, episodes, groups, maps
+from rollframe.plans import spatial_queries
 from rollframe.plans.catalog import enough_tasks
 
 
@@ -71,3 +73,14 @@ def test_padded_rows_move_once_for_their_advantages(spark, monkeypatch):
     assert len(got) == len(want) == rows.count()
     for a, b in zip(got, want):
         assert a[:4] == b[:4] and abs(a.advantage - b.advantage) < 1e-12 and abs(a.turn_return - b.turn_return) < 1e-12
+
+
+def test_stability_works_out_a_row_once(spark, monkeypatch):
+    rows = spatial_queries.scenes(spark, "/root/testdata/sf0.001")
+    held = lambda: len(session._staged.get(spark.sparkContext.applicationId, []))
+    before = held()
+    out = maps.stability(rows, "sample", "scene")
+    assert plan(out).count("aggregate(") == 2 and held() == before
+    got = sorted(out.collect(), key=lambda r: r.scene)
+    monkeypatch.setattr(maps, "has_hot_key", lambda *a: True)
+    assert got == sorted(maps.stability(rows, "sample", "scene").collect(), key=lambda r: r.scene) and got
