@@ -122,9 +122,9 @@ def keep_whole_groups(turns: DataFrame, report: DataFrame) -> DataFrame:
     return turns.join(bad, F.col("group_idx").eqNullSafe(F.col("_bad")), "left_anti")
 
 
-def assign_ids(tasks: DataFrame, uid: str, order: list[str], name: str = "traj_idx") -> DataFrame:
+def assign_ids(tasks: DataFrame, uid: str, order: list[str], name: str = "traj_idx", within: DataFrame | None = None) -> DataFrame:
     """Number the rows of each uid 0..n-1 in ``order`` (a total order)."""
-    return row_numbers(tasks, [uid], order, name).withColumn(name, (F.col(name) - 1).cast("int"))
+    return row_numbers(tasks, [uid], order, name, within).withColumn(name, (F.col(name) - 1).cast("int"))
 
 
 def turn_count(rows: str = "rows", low: str = "low", high: str = "high") -> Column:

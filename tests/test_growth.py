@@ -2,10 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from rollframe import session
+from rollframe import distributed, session
 from rollframe.distributed import affine_suffix
 from rollframe.operators import credit, episodes, groups, maps
-from rollframe.plans import spatial_queries
+from rollframe.plans import spatial_queries, views
 from rollframe.plans.catalog import enough_tasks
 
 
@@ -84,3 +84,11 @@ def test_stability_works_out_a_row_once(spark, monkeypatch):
     got = sorted(out.collect(), key=lambda r: r.scene)
     monkeypatch.setattr(maps, "has_hot_key", lambda *a: True)
     assert got == sorted(maps.stability(rows, "sample", "scene").collect(), key=lambda r: r.scene) and got
+
+
+def test_orders_are_bounded_without_a_join(spark, monkeypatch):
+    """The ids of turns: all orders bound those with lines, so these are joined once only."""
+    seen, real = [], distributed.has_hot_key
+    monkeypatch.setattr(distributed, "has_hot_key", lambda df, keys: seen.append(plan(df)) or real(df, keys))
+    views.turns(spark, "/root/testdata/sf0.001//")
+    assert len(seen) == 1 and "Join" not in seen[0]
