@@ -326,3 +326,44 @@ def test_answer_scores(spark):
     lines = spark.range(1).select(scoring.numbered_directions(F.lit("1. (N, E)\n2. (s)\nnote"), F.array(F.array(F.lit("n"), F.lit("e")), F.array(F.lit("S")))).alias("s"),
                                   scoring.degree_sequence(F.lit("[90°, -45 degrees]"), F.array(F.lit(90), F.lit(-45))).alias("d")).first()
     assert (lines.s, lines.d) == (1.0, 1.0)
+
+
+def test_map_metrics_of_a_sample_are_whole(spark):
+    """aggregate_per_sample: means, the last map, and every per-turn list, with nulls where a turn is invalid."""
+    metric = lambda v: None if v is None else (v, v, v, v)
+    kinds = "struct<dir double, facing double, pos double, overall double>"
+    schema = f"sample string, turn int, is_exploration_phase boolean, has_map boolean, local {kinds}, global {kinds}, agent {kinds}, newly {kinds}, full {kinds}, consistency {kinds}, probe struct<precision double, recall double, f1 double>"
+    row = lambda s, t, phase, g, full, probe=None, has=True: (
+        s, t, phase, has, None, metric(g), metric(g), None, metric(full), None, probe and (probe, probe / 2, probe / 4))
+    logs = spark.createDataFrame([
+        row("a", 0, True, 0.5, 0.25, 1.0), row("a", 3, True, None, 0.75), row("a", 5, False, 0.9, 0.9), row("a", 7, True, 1.0, None, 0.5), row("a", 9, True, 0.1, 0.1, has=False),
+        row("b", 0, False, 1.0, 1.0), row("c", 2, True, 0.5, 0.5), row(None, 1, True, 0.25, 0.25)], schema)
+    steady = spark.createDataFrame([("a", 3, 0.5, None), ("a", 7, None, 1.0), ("a", 9, 1.0, 0.0), ("b", 1, 1.0, 1.0), ("x", 1, 1.0, 1.0)], "sample string, turn int, p double, f double").selectExpr(
+        "sample", "turn", "p AS position_update", "f AS facing_update", "p AS position_stability", "f AS facing_stability")
+    told = spark.createDataFrame([("a", 0, 0.5, 0.5, 0.5, 0.5), ("a", 4, None, None, None, None), ("b", 1, 1.0, 1.0, 1.0, 1.0)], "sample string, turn int, dir double, facing double, pos double, overall double")
+    belief = spark.createDataFrame([("b", 0.125)], "sample string, fb_inertia double")
+    made = lambda **more: maps.sample_maps(logs, steady, mapped=F.col("has_map"), **more)
+    rows = made(belief=belief, unchanged=told).collect()
+    own = {r.sample: r for r in rows if r.part == "sample"}
+    assert set(own) == {"a", "b", "c", None} and len(own) == sum(r.part == "sample" for r in rows)
+    assert (own["a"].global_error_dir, own["a"].correctness_pos, own["a"].probe_f1, own["a"].position_stability_avg, own["a"].facing_update_avg) == (0.75, None, 0.1875, 0.75, 0.5)
+    assert (own["b"].global_error_dir, own["b"].correctness_pos, own["b"].position_update_avg, own["b"].fb_inertia) == (None, None, None, 0.125)
+    assert own["c"].correctness_dir == 0.5 and own[None].global_error_dir == 0.25
+
+    def listed(sample, part, column):
+        got = sorted((r.position, r[column]) for r in rows if r.sample == sample and r.part == part)
+        assert [p for p, _ in got] == list(range(len(got)))
+        return [v for _, v in got]
+    assert listed("a", "turn", "cogmap_update_per_turn_dir") == listed("a", "turn", "self_tracking_per_turn_overall") == [0.5, None, 1.0]
+    assert listed("a", "turn", "cogmap_full_per_turn_pos") == [0.25, 0.75, None]
+    assert [listed("a", "turn", f"fog_probe_{n}_per_turn") for n in ("p", "r", "f1")] == [[1.0, None, 0.5], [0.5, None, 0.25], [0.25, None, 0.125]]
+    assert listed("a", "stability", "position_stability_per_turn") == listed("a", "stability", "position_update_per_turn") == [None, 0.5, None, 1.0]
+    assert listed("a", "stability", "facing_stability_per_turn") == [None, None, 1.0, 0.0]
+    assert listed("a", "belief", "cogmap_fb_unchanged_per_turn_dir") == [0.5, None] and listed("b", "belief", "cogmap_fb_unchanged_per_turn_dir") == [1.0]
+    assert listed("b", "turn", "cogmap_update_per_turn_dir") == listed("b", "stability", "facing_update_per_turn") == []
+    assert listed("c", "stability", "facing_update_per_turn") == [None] and listed(None, "turn", "cogmap_full_per_turn_dir") == [0.25]
+    assert {r.sample for r in rows} == {"a", "b", "c", None}
+    passive = made(kind="passive")
+    assert passive.columns == ["sample", "part", "position", *[f"correctness_{m}" for m in maps.METRICS]] and passive.count() == 4
+    with pytest.raises(ValueError):
+        made(kind="other")
