@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from rollframe import distributed
 from rollframe.functions import geometry as G
 from rollframe.functions import inference as I
 from rollframe.functions import scoring
@@ -367,3 +368,16 @@ def test_map_metrics_of_a_sample_are_whole(spark):
     assert passive.columns == ["sample", "part", "position", *[f"correctness_{m}" for m in maps.METRICS]] and passive.count() == 4
     with pytest.raises(ValueError):
         made(kind="other")
+
+
+def test_series_of_a_hot_sample_are_the_same(spark, monkeypatch):
+    """A sample with more turns than a window may take is numbered in slices."""
+    kinds = "struct<dir double, facing double, pos double, overall double>"
+    logs = spark.range(600).selectExpr("IF(id % 10 = 0, id % 3, 7) AS sample", "CAST(id AS INT) AS turn", "id % 4 > 0 AS is_exploration_phase", *[
+        f"CAST((id / 8, id / 4, id / 2, id * 1.0) AS {kinds}) AS {s}" for s in ("global", "full", "agent")], "CAST((0.5, 0.25, id / 8) AS struct<precision double, recall double, f1 double>) AS probe")
+    steady = logs.filter("turn % 3 = 0").select("sample", "turn", *[F.col("global.dir").alias(c) for c in maps.STEADY])
+    told = logs.select("sample", "turn", "full.*")
+    made = lambda: sorted(map(str, maps.sample_series(logs, steady, unchanged=told).collect()))
+    plain = made()
+    monkeypatch.setattr(distributed, "WINDOW_ROWS", 1)
+    assert made() == plain and len(plain) == 450 + 4 + 200 + 600
